@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import chat, warc
+from siftwell.llm import chat, kdshard, mixing, warc
 from siftwell.session import table
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shards")
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdshard.kd_shards(table(spark, sf_dir, "documents"), shards=40)
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
 
@@ -19,6 +27,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_mixing": op2_mixing,
+    "op5_sharding": op5_sharding,
     "op7_chat_formatting": op7_chat_formatting,
     "op9_warc": op9_warc,
 }
