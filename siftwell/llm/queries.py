@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftwell.llm import chat, kdshard, mixing, warc
+from siftwell.llm import chat, kdshard, langid, mixing, quality, warc
 from siftwell.session import table
 
 
@@ -12,6 +13,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
+    model = langid.train(docs.where(~F.col("held_out")))
+    return langid.predict(docs, model, ["doc_id", "held_out"])
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdshard.kd_shards(table(spark, sf_dir, "documents"), shards=40)
 
@@ -20,6 +27,13 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged, _ = quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
+    )
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
@@ -28,8 +42,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op3_language_id": op3_language_id,
     "op5_sharding": op5_sharding,
     "op7_chat_formatting": op7_chat_formatting,
+    "op8_quality_rules": op8_quality_rules,
     "op9_warc": op9_warc,
 }
 
