@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import chat, kdshard, langid, mixing, quality, warc
+from siftwell.llm import chat, kdshard, langid, lm, mixing, quality, warc
 from siftwell.session import table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", lm.held_out())
+    model = lm.train_model(docs.where(~F.col("held_out")))
+    return lm.score(docs, model, ["doc_id", "held_out"])
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shards")
 
@@ -41,6 +47,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_mixing": op2_mixing,
     "op3_language_id": op3_language_id,
     "op5_sharding": op5_sharding,

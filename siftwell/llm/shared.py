@@ -103,6 +103,6 @@ def map_array(uri: str, dtype) -> np.ndarray:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the input's size in bytes; it costs no job."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString())
+    """Bytes of the tables that ``df`` reads, by the planner's statistics; it costs no job."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
