@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import chat, kdshard, langid, lm, mixing, quality, warc
+from siftwell.llm import chat, decontam, kdshard, langid, lm, mixing, quality, warc
 from siftwell.session import table
 
 
@@ -46,6 +46,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(decontam.row_key().alias("key"), "doc_id", "text")
+    found = decontam.hits(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "matched", "n_windows", "coverage", "changed_slots")
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_mixing": op2_mixing,
@@ -54,6 +60,7 @@ QUERIES = {
     "op7_chat_formatting": op7_chat_formatting,
     "op8_quality_rules": op8_quality_rules,
     "op9_warc": op9_warc,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES = {
