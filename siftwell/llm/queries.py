@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import chat, decontam, kdshard, langid, lm, mixing, quality, warc
+from siftwell.llm import chat, decontam, jaccard, kdshard, langid, lm, mixing, quality, warc
 from siftwell.session import table
 
 
@@ -25,6 +25,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, ["doc_id", "held_out"])
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdshard.kd_shards(table(spark, sf_dir, "documents"), shards=40)
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_mixing": op2_mixing,
     "op3_language_id": op3_language_id,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_sharding": op5_sharding,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_quality_rules": op8_quality_rules,
