@@ -436,9 +436,9 @@ def with_nodes(docs: DataFrame, carry: list[str]) -> DataFrame:
     return docs.select(*carry, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, node`` for every row."""
-    rows = materialize(with_nodes(docs, ["doc_id"]))
+def jaccard_components(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the ``carry`` columns, ``n_shingles, component_id`` and ``node`` for every row."""
+    rows = materialize(with_nodes(docs, ["doc_id", *carry]))
     names, _ = node_components(docs)
     names = names.select(F.col("node").alias("_n"), "component")
     # The smallest id of each set, then of each component; both are partial aggregates.
@@ -447,14 +447,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     lows = placed.groupBy("component").agg(F.min("low").alias("component_id"))
     known = placed.join(lows, "component").select(F.col("node").alias("_n"), "component_id")
     joined = rows.join(known, (rows["node"] == known["_n"]) & (rows["n_shingles"] > 0), "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node")
+    return joined.select("doc_id", *carry, "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """One row of each component (that of the smallest id; of equal ids, one), all columns kept."""
-    found = jaccard_components(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), F.col("n_shingles").alias("_n")).distinct()
-    # Rows of one id and component differ at most in text; of those one stays.
-    one = keep.groupBy("_id").agg(F.min(F.struct("_node", "_n")).alias("k")).select("_id", F.col("k._node").alias("_keep_node"))
-    marked = docs.withColumn("_id0", F.col("doc_id"))
-    return marked.join(one, marked["_id0"].eqNullSafe(one["_id"]), "left_semi").drop("_id0")
+    """One row of each component, that of the smallest id; documents without words all stay.
+
+    Of rows with equal id and text one stays.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.col("text").isNull(), "text"))
+    found = materialize(jaccard_components(keyed, ("_key",)))
+    empty = F.col("n_shingles") == 0
+    group = F.when(~empty, F.col("component_id"))
+    winners = found.groupBy(group.alias("g"), F.when(group.isNull(), F.col("_key")).alias("own")).agg(F.min(F.struct("doc_id", "_key")).alias("w"))
+    kept = keyed.join(winners.select(F.col("w._key").alias("_key")), "_key", "left_semi")
+    repeated = found.groupBy("_key").count().where("count > 1").limit(1).count()
+    return (kept.dropDuplicates(["_key"]) if repeated else kept).select(*docs.columns)

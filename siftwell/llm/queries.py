@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import chat, decontam, jaccard, kdshard, langid, lm, mixing, quality, warc
+from siftwell.llm import chat, decontam, jaccard, kdshard, langid, lm, mixing, quality, secrets, warc
 from siftwell.session import table
 
 
@@ -33,6 +33,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdshard.kd_shards(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "ordinal", secrets.redact(F.col("candidate")).alias("masked"), F.sha2("candidate", 256).alias("digest"), "score", "is_secret")
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
 
@@ -62,6 +67,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_sharding": op5_sharding,
+    "op6_secret_scan": op6_secret_scan,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_quality_rules": op8_quality_rules,
     "op9_warc": op9_warc,
