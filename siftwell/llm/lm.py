@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.shared import input_bytes, map_array, materialize, put_array, shared_folder
+from siftwell.llm.shared import input_bytes, map_array, materialize, put_array, shared_folder, small_batches
 from siftwell.llm.tokens import STEP, hash_words, mix, slices, text_bytes
 
 LOW = np.uint64((1 << 48) - 1)
 END = np.uint64(1)
 START = np.uint64(2)
 BUCKET_BYTES = 8 << 20
+#: Text bytes that a worker counts at once.
+SLICE = 8 << 20
 # Words per bucket that the driver looks at to find heavy contexts.
 SEEN_PER_BUCKET = 256
 
@@ -168,7 +170,7 @@ def _classes(counts: np.ndarray) -> list[int]:
 def _count_words(train: DataFrame, buckets: int, folder: str) -> list:
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 tokens, _ = _sequences(part.column(0))
                 words, counts = np.unique(tokens, return_counts=True)
                 yield _blob_batch(_word_blobs(words, counts, buckets))
@@ -193,7 +195,7 @@ def _count_pairs(train: DataFrame, layout: Layout) -> tuple[list, DataFrame]:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 w, bounds = _sequences(part.column(0))
                 v = _contexts(w, bounds)
                 order, first, _ = _grouped(_pair_key(v, w))
@@ -279,6 +281,7 @@ def _continuations(blobs: DataFrame, layout: Layout) -> list[int]:
 
 def train_model(train: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> Model:
     """Count the texts of ``train`` into a fresh shared folder."""
+    small_batches(train.sparkSession, SLICE)
     buckets = int(min(max(4, -(-input_bytes(train) // bucket_bytes)), 1 << 16))
     folder = shared_folder(train.sparkSession, "lm")
     layout = Layout(folder, buckets, np.empty(0, np.uint64), np.empty(0, np.int64))
@@ -369,7 +372,7 @@ def score(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
         arrays = _Arrays(model)
         total = model.tokens + 1 * (model.distinct + 1)
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", SLICE // 2):
                 w, bounds = _sequences(part.column(width))
                 v = _contexts(w, bounds)
                 words, which = np.unique(w, return_inverse=True)

@@ -40,6 +40,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Hold the session's Arrow batches to about ``size`` bytes, so workers' memory is bounded by bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def local_path(uri: str) -> str | None:
     """The path of a ``file:`` URI, None for any other scheme."""
     parsed = urlparse(uri)
