@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.llm.shared import carried, small_batches
 from siftwell.llm.tokens import slices, text_bytes
 
 BINS = 1 << 14
@@ -138,18 +139,18 @@ def train(labelled: DataFrame) -> Model | None:
     return fit([r["lang"] for r in rows], bits)
 
 
-def predict(docs: DataFrame, model: Model | None, carry: list[str]) -> DataFrame:
-    """The ``carry`` columns of every row with ``lang_pred`` and ``score``."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    schema += ", lang_pred string, score double"
-    # Inputs go under names of their own, so any column may be carried.
-    inputs = docs.select(*carry, F.col("text").alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+def predict(docs: DataFrame, model: Model | None, carry: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The ``carry`` columns of every row, the predicted language and its score."""
+    small_batches(docs.sparkSession)
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")
+    inputs, schema = carried(docs, carry, F.col("text").alias("text"), letters)
+    schema += "lang_pred string, score double"
     width = len(carry)
 
     def run(batches):
         marks = np.unpackbits(model.landmarks, axis=1).astype(np.float32).T.copy() if model else None
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "text"):
                 best = np.full(part.num_rows, UNKNOWN, object)
                 score = np.zeros(part.num_rows)
                 letters = part.column(width + 1).to_numpy(zero_copy_only=False).astype(bool)
@@ -166,7 +167,7 @@ def predict(docs: DataFrame, model: Model | None, carry: list[str]) -> DataFrame
                     [*(part.schema.names[:width]), "lang_pred", "score"],
                 )
 
-    return inputs.mapInArrow(run, schema)
+    return inputs.mapInArrow(run, schema).toDF(*carry, *names)
 
 
 def held_out():

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.shared import input_bytes, map_array, materialize, put_array, shared_folder, small_batches
+from siftwell.llm.shared import carried, input_bytes, map_array, materialize, put_array, shared_folder, small_batches
 from siftwell.llm.tokens import STEP, hash_words, mix, slices, text_bytes
 
 LOW = np.uint64((1 << 48) - 1)
@@ -282,7 +282,7 @@ def _continuations(blobs: DataFrame, layout: Layout) -> list[int]:
 def train_model(train: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> Model:
     """Count the texts of ``train`` into a fresh shared folder."""
     small_batches(train.sparkSession, SLICE)
-    buckets = int(min(max(4, -(-input_bytes(train) // bucket_bytes)), 1 << 16))
+    buckets = int(min(max(16, -(-input_bytes(train) // bucket_bytes)), 1 << 16))
     folder = shared_folder(train.sparkSession, "lm")
     layout = Layout(folder, buckets, np.empty(0, np.uint64), np.empty(0, np.int64))
     found = _count_words(train, buckets, folder)
@@ -363,16 +363,15 @@ class _Arrays:
 
 def score(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     """The ``carry`` columns with token counts, base score and model score of each whole text."""
-    inputs = docs.select(*carry, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    schema += ", n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    inputs, schema = carried(docs, carry, F.col("text").alias("text"))
+    schema += "n_tokens long, n_known long, train_tokens long, base_score double, score double"
     width = len(carry)
 
     def run(batches):
         arrays = _Arrays(model)
         total = model.tokens + 1 * (model.distinct + 1)
         for batch in batches:
-            for part in slices(batch, "_text", SLICE // 2):
+            for part in slices(batch, "text", SLICE // 2):
                 w, bounds = _sequences(part.column(width))
                 v = _contexts(w, bounds)
                 words, which = np.unique(w, return_inverse=True)
@@ -402,7 +401,7 @@ def score(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
                     [*part.schema.names[:width], "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    return inputs.mapInArrow(run, schema)
+    return inputs.mapInArrow(run, schema).toDF(*carry, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def held_out():

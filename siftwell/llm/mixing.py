@@ -178,24 +178,24 @@ def mix(docs: DataFrame, shards: int = 16, block_words: int | None = 256, seed:
 
 def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The mix as documents: each row as often as it is drawn whole, with its own columns."""
-    key = F.xxhash64("doc_id", "text", F.col("source").isNull(), "source")
-    rows = sized(docs.withColumn("source", F.col("source").cast("string")), key.alias("_key")).drop("h").withColumnRenamed("_key", "h")
+    key = F.xxhash64("doc_id", "text", F.col("source").isNull(), "source").alias("key")
+    rows = sized(docs.select("doc_id", "text", "source"), key).drop("h").withColumnRenamed("key", "h")
     drawn, _ = draw(rows, 1, None, seed)
     times = drawn.groupBy("rid").agg(F.count(F.lit(1)).alias("times"))
     per_key = (
-        rows.select("rid", "h").join(times, "rid", "left").groupBy(F.col("h").alias("_key"))
-        .agg(F.count(F.lit(1)).alias("_copies"), F.coalesce(F.sum("times"), F.lit(0)).alias("_times"))
-        .where("_times > 0")
+        rows.select("rid", "h").join(times, "rid", "left").groupBy(F.col("h").alias("key"))
+        .agg(F.count(F.lit(1)).alias("copies"), F.coalesce(F.sum("times"), F.lit(0)).alias("times"))
+        .where("times > 0")
     )
-    # Rows that are equal in all that the key covers share their draws evenly.
-    number = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    own = F.expr("cast(_times div _copies + if(_number <= _times % _copies, 1, 0) as int)")
+    # Whole rows travel as one struct, so no column of theirs can clash. Rows that are equal in all
+    # that the key covers share their draws evenly.
+    number = F.row_number().over(Window.partitionBy("key").orderBy("key"))
     return (
-        docs.withColumn("_key", key)
-        .join(per_key, "_key")
-        .withColumn("_number", number)
-        .withColumn("_own", own)
-        .where("_own > 0")
-        .withColumn("_again", F.explode(F.expr("sequence(1, _own)")))
-        .select(*docs.columns)
+        docs.select(key, F.struct("*").alias("row"))
+        .join(per_key, "key")
+        .withColumn("number", number)
+        .withColumn("own", F.expr("cast(times div copies + if(number <= times % copies, 1, 0) as int)"))
+        .where("own > 0")
+        .withColumn("again", F.explode(F.expr("sequence(1, own)")))
+        .select("row.*")
     )

@@ -14,7 +14,8 @@ import uuid
 from urllib.parse import urlparse
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
@@ -45,6 +46,24 @@ def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+def carried(docs: DataFrame, columns: list[str], *more: Column) -> tuple[DataFrame, str]:
+    """``docs`` as its columns under names that clash with nothing, then ``more``; and their schema."""
+    named = docs.select(*(F.col(f"`{c}`").alias(f"carry_{i}") for i, c in enumerate(columns)), *more)
+    return named, "".join(f"{f.name} {f.dataType.simpleString()}, " for f in named.schema[: len(columns)])
+
+
+def hash_sample(rows: DataFrame, order: str, size: int, *ties: str) -> DataFrame:
+    """The ``size`` rows with the smallest hashes; ``order`` is a LONG spread over 64 bits.
+
+    A bound from the row count lets few more than ``size`` rows through to the final top-n, so no
+    task ships a full sample of its own.
+    """
+    total = rows.count()
+    share = min(1.0, 1.1 * size / max(1, total) + 1000 / max(1, total))
+    near = rows if share >= 1.0 else rows.where(F.col(order) <= F.lit(int((2 * share - 1) * (2**63 - 1))))
+    return near.orderBy(order, *ties).limit(size)
+
+
 def local_path(uri: str) -> str | None:
     """The path of a ``file:`` URI, None for any other scheme."""
     parsed = urlparse(uri)
