@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.shared import materialize
+from siftwell.llm.shared import hash_sample, materialize, small_batches
 from siftwell.llm.tokens import SPACE, STEP, hash_words, mix, slices, text_bytes, windows
 
 WINDOW = 8
@@ -208,14 +208,12 @@ def learn_from(stats: DataFrame, labels: DataFrame) -> list[list[Condition]]:
     """Rules against ``quality = 0`` among the rows that pass the base rules."""
     features = [feature_column(f).alias(f) for f in FEATURES]
     known = labels.where("quality is not null").select(F.col("doc_id").alias("l_id"), (F.col("quality") == 0).alias("bad"))
-    rows = (
+    examples = (
         stats.where(~base_failed())
         .join(known, stats["doc_id"] == known["l_id"])
         .select(F.xxhash64(F.lit(7), "doc_id").alias("order"), "doc_id", "bad", *features)
-        .orderBy("order", "doc_id", "bad")
-        .limit(SAMPLE)
-        .collect()
     )
+    rows = hash_sample(examples, "order", SAMPLE, "doc_id", "bad").collect()
     if not rows:
         return []
     x = {f: np.array([r[f] for r in rows], float) for f in FEATURES}
@@ -236,6 +234,7 @@ def verdict(rules: list[list[Condition]]) -> Column:
 
 def assess(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[list[Condition]]]:
     """Every row's statistics, ``base_failed``, ``rule`` and ``kept``; and the rules."""
+    small_batches(docs.sparkSession)
     stats = materialize(with_stats(docs))
     rules = learn_from(stats, labels)
     judged = stats.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))

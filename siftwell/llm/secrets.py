@@ -28,7 +28,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.shared import materialize
+from siftwell.llm.shared import hash_sample, materialize
 
 CHARS = "A-Za-z0-9+/_.\\-"
 CANDIDATE = f"(?<![{CHARS}])(?=[^0-9\\s]*+[0-9])[{CHARS}]{{16,}}+={{0,2}}"
@@ -128,12 +128,8 @@ def anchored_labels(found: DataFrame) -> DataFrame:
 
 def fit(labelled: DataFrame):
     """A forest, or the share of secrets where only one class (or none) is known."""
-    rows = (
-        labelled.where("label is not null")
-        .select(F.xxhash64("candidate", "before").alias("order"), "label", *FEATURES)
-        .orderBy("order", "label")
-        .limit(SAMPLE)
-    )
+    known = labelled.where("label is not null").select(F.xxhash64("candidate", "before").alias("order"), "label", *FEATURES)
+    rows = hash_sample(known, "order", SAMPLE, "label")
     rows = materialize(rows)
     classes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(classes) < 2:
