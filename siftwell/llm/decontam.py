@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.shared import materialize
+from siftwell.llm.shared import materialize, small_batches
 from siftwell.llm.tokens import Words, hash_words, slices, text_bytes, windows
 
 WIDTH = 5
@@ -140,9 +140,9 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 
 
 def _bitmap(wanted: DataFrame) -> np.ndarray:
-    """A bitmap over the top bits of the window hashes: 16 bits a window, ``MOST_BITS`` at most."""
+    """A bitmap over the top bits of the window hashes: 512 bits a window, ``MOST_BITS`` at most."""
     n = wanted.count()
-    bits = min(MOST_BITS, max(1 << 16, 1 << (16 * max(1, n)).bit_length()))
+    bits = min(MOST_BITS, max(1 << 16, 1 << (512 * max(1, n)).bit_length()))
     shift = 64 - (bits.bit_length() - 1)
     words = wanted.withColumn("place", F.shiftrightunsigned("h", shift)).selectExpr("place div 8 as byte", "shiftleft(1, cast(place % 8 as int)) as bit")
     out = np.zeros(bits // 8, np.uint8)
@@ -156,6 +156,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFra
 
     ``docs`` needs ``key``, which identifies a row, besides ``doc_id`` and ``text``.
     """
+    small_batches(docs.sparkSession)
     wanted = materialize(benchmark_windows(benchmark))
     bitmap = _bitmap(wanted)
     shift = np.uint64(64 - ((len(bitmap) * 8).bit_length() - 1))
@@ -180,7 +181,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFra
 
     found = docs.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, h long, d_slots array<long>")
     same = found.distinct().join(wanted, "h")
-    same = same.withColumn("pairs", F.arrays_zip(F.col("slots").alias("i"), F.col("d_slots").alias("d")))
+    # Few rows by now; what follows reads them three times, and the texts once.
+    same = materialize(same.withColumn("pairs", F.arrays_zip(F.col("slots").alias("i"), F.col("d_slots").alias("d"))))
     # The most frequent document value of each item value; ties go to the smallest.
     value = same.select("key", "item", F.explode("pairs").alias("p")).groupBy("key", "item", F.col("p.i").alias("i"), F.col("p.d").alias("d")).count()
     best = value.groupBy("key", "item", "i").agg(F.max(F.struct("count", (-F.col("d")).alias("neg"), "d")).alias("b"))
@@ -203,6 +205,7 @@ def row_key():
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no item contaminates."""
-    keyed = docs.withColumn("_key", row_key())
-    bad = hits(docs.select(row_key().alias("key"), "doc_id", "text"), benchmark).select(F.col("key").alias("_key")).distinct()
-    return keyed.join(bad, "_key", "left_anti").select(*docs.columns)
+    bad = hits(docs.select(row_key().alias("key"), "doc_id", "text"), benchmark).select("key").distinct()
+    # Whole rows travel as one struct, so no column of theirs can clash.
+    rows = docs.select(row_key().alias("key"), F.struct("*").alias("row"))
+    return rows.join(bad, "key", "left_anti").select("row.*")
