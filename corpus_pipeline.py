@@ -13,8 +13,11 @@ from siftwell.session import table
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found; those without a letter go."""
     model = langid.train(docs)
-    found = langid.predict(docs, model, docs.columns)
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    names = "predicted", "predicted_score"
+    while set(names) & set(docs.columns):
+        names = tuple(f"{n}_" for n in names)
+    found = langid.predict(docs, model, docs.columns, names)
+    return found.where(F.col(names[0]) != langid.UNKNOWN).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
