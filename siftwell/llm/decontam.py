@@ -51,8 +51,8 @@ def _known_units() -> np.ndarray:
     return np.unique(hash_words(data, offsets).hashes)
 
 
-def templates(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
-    """Template tokens of each row, which of them are placeholders, and every token's own hash."""
+def templates(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """Template tokens with names as words, which are numbers or units, which are names, own hashes."""
     raw, offsets = text_bytes(column)
     base = int(offsets[0])
     raw, offsets = raw[base : int(offsets[-1])], offsets - base
@@ -93,25 +93,42 @@ def templates(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
     unit = np.zeros(len(own), bool)
     after = np.flatnonzero(number[:-1]) + 1 if len(own) > 1 else np.empty(0, np.int64)
     unit[after] = np.isin(own[after], _UNIT_HASHES)
-    token[name], token[number], token[unit] = NAME, NUMBER, UNIT
-    return Words(token, words.starts, words.ends, words.bounds), name | number | unit, own
+    token[number], token[unit] = NUMBER, UNIT
+    return Words(token, words.starts, words.ends, words.bounds), number | unit, name, own
 
 
 _UNIT_HASHES = _known_units()
 
 
-def _windows(column: pa.Array):
-    """Window hashes, first tokens, rows and slots (null-free lists) of informative windows."""
-    words, slot, own = templates(column)
-    h, at = windows(words, WIDTH)
-    filled = np.concatenate((np.zeros(1, np.int32), np.cumsum(slot, dtype=np.int32)))
-    good = filled[at + WIDTH] - filled[at] <= MOST_SLOTS
-    return words, slot, own, h[good], at[good]
+def _windows(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, list[list[int]]]:
+    """Informative windows: the words, window hashes, first tokens and slots.
 
-
-def _slots(slot: np.ndarray, own: np.ndarray, at: np.ndarray) -> list[list[int]]:
+    A window with a name occurs twice, with the name as a placeholder and as a word: capitals
+    tell names only in ordinary prose, not in headlines or shouted copies.
+    """
+    words, values, name, own = templates(column)
+    named = Words(np.where(name, NAME, words.hashes), words.starts, words.ends, words.bounds)
+    holds_name = np.concatenate((np.zeros(1, np.int32), np.cumsum(name, dtype=np.int32)))
+    hashes, firsts, masks = [], [], []
+    for tokens, slot, extra in ((words, values, False), (named, values | name, True)):
+        if extra and not name.any():
+            continue
+        h, at = windows(tokens, WIDTH)
+        filled = np.concatenate((np.zeros(1, np.int32), np.cumsum(slot, dtype=np.int32)))
+        good = filled[at + WIDTH] - filled[at] <= MOST_SLOTS
+        if extra:
+            good &= holds_name[at + WIDTH] > holds_name[at]
+        hashes.append(h[good])
+        firsts.append(at[good])
+        masks.append(np.full(int(good.sum()), extra))
+    return words, np.concatenate(hashes), np.concatenate(firsts), (values, name, own, np.concatenate(masks))
+
+
+def _slots(at: np.ndarray, kept: np.ndarray, parts) -> list[list[int]]:
+    """The slot values of the kept windows."""
+    values, name, own, extra = parts
     signed = own.view(np.int64)
-    return [[int(signed[i]) for i in range(a, a + WIDTH) if slot[i]] for a in at]
+    return [[int(signed[i]) for i in range(a, a + WIDTH) if values[i] or (e and name[i])] for a, e in zip(at, extra[kept], strict=True)]
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -120,9 +137,9 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                words, slot, own, h, at = _windows(part.column("text"))
+                words, h, at, parts = _windows(part.column("text"))
                 row = np.searchsorted(words.bounds, at, side="right") - 1
-                per_row = np.bincount(row, minlength=part.num_rows)
+                per_row = np.bincount(np.searchsorted(words.bounds, np.unique(at), side="right") - 1, minlength=part.num_rows)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("item").take(pa.array(row)),
@@ -130,7 +147,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
                         pa.array((at - words.bounds[row]).astype(np.int32)),
                         pa.array(per_row[row].astype(np.int32)),
                         pa.array(h.view(np.int64)),
-                        pa.array(_slots(slot, own, at), pa.list_(pa.int64())),
+                        pa.array(_slots(at, np.arange(len(at)), parts), pa.list_(pa.int64())),
                     ],
                     ["item", "item_id", "pos", "n_windows", "h", "slots"],
                 )
@@ -164,17 +181,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFra
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
-                words, slot, own, h, at = _windows(part.column("text"))
+                words, h, at, parts = _windows(part.column("text"))
                 place = h >> shift
                 some = (bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                h, at = h[some], at[some]
+                kept = np.flatnonzero(some)
+                h, at = h[kept], at[kept]
                 row = pa.array(np.searchsorted(words.bounds, at, side="right") - 1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("key").take(row),
                         part.column("doc_id").cast(pa.int64()).take(row),
                         pa.array(h.view(np.int64)),
-                        pa.array(_slots(slot, own, at), pa.list_(pa.int64())),
+                        pa.array(_slots(at, kept, parts), pa.list_(pa.int64())),
                     ],
                     ["key", "doc_id", "h", "slots"],
                 )
