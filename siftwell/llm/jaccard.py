@@ -11,9 +11,10 @@ maps them: a set in which fewer than its needed share occur elsewhere can have n
 no further, and the rest order their shingles by frequency. Order and filter only steer cost;
 the test of a pair compares whole sets, mapped from the shared folder.
 
-Links are found in two rounds, because a list of near copies would give all its pairs. First each
-list links its members to a few heads, and the components of those links are found. Then only
-pairs of members in different components are compared, with size and position bounds. No link
+Links are found in rounds, because a list of near copies would give all its pairs. First each list
+links its members to a few heads, then in ``BRIDGES`` turns to more heads, all at a cost
+linear in the lists (``HEADS`` entries at most), and the components of those links are found. At last all pairs of members
+that are still in different components are compared, with size and position bounds. No link
 between components is lost, and none inside one is needed.
 
 Defined cases: texts without words and null texts have the empty set, no links, and are their
@@ -30,11 +31,11 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.components import components
-from siftwell.llm.shared import input_bytes, map_array, materialize, put_array, shared_folder
+from siftwell.llm.shared import carried, input_bytes, map_array, materialize, put_array, shared_folder, small_batches
 from siftwell.llm.tokens import STEP, hash_words, mix, slices, text_bytes, windows
 
 WIDTH = 5
@@ -43,6 +44,8 @@ TOP, BOTTOM = 75, 100
 BUCKET_BYTES = 8 << 20
 #: Largest light set that the cost may choose; larger ones have too many subsets.
 MOST_LIGHT = 12
+#: Turns of linear linking before the exact comparison, and entries of a list that each turn tries.
+BRIDGES, HEADS = 1, 32
 
 
 def needed(n):
@@ -369,28 +372,62 @@ def _star_pairs(lists: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
 
 
-def _open_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of one list in different components that size and position allow to be linked."""
-    label = labels.select("node", "component")
-    named = lists.join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+def _mixed(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries, with their component ``c``, of the lists that hold more than one component."""
+    named = lists.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    still = materialize(named.join(mixed, "key"))
-    x = still.select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "left", "c")))
-    y = still.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "left", "c")))
+    return materialize(named.join(mixed, "key"))
+
+
+def _allowed() -> Column:
+    """What size and position leave possible for entries ``_a`` and ``_b`` of one list."""
+    large, small = F.greatest("n_a", "n_b"), F.least("n_a", "n_b")
     shared = F.least("left_a", "left_b")
-    allowed = (
-        (F.col("c_a") < F.col("c_b"))
-        & (BOTTOM * F.least("n_a", "n_b") >= TOP * F.greatest("n_a", "n_b"))
+    return (
+        (F.col("c_a") != F.col("c_b"))
+        & (BOTTOM * small >= TOP * large)
         & ((BOTTOM + TOP) * shared >= TOP * (F.col("n_a") + F.col("n_b")))
     )
-    pairs = x.join(y, "key").where(allowed)
+
+
+def _side(entries: DataFrame, suffix: str) -> DataFrame:
+    return entries.select("key", *(F.col(c).alias(c + suffix) for c in ("node", "n", "left", "c")))
+
+
+def _distinct_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
+def _bridge_pairs(mixed: DataFrame, turn: int) -> DataFrame:
+    """Each entry with at most ``HEADS`` entries of its list, others in each turn, in other components."""
+    order = F.xxhash64(F.lit(1000 + turn), "node", "key")
+    head = mixed.groupBy("key", F.pmod(order, F.lit(HEADS)).alias("place")).agg(F.min_by(F.struct("node", "n", "left", "c"), order).alias("h"))
+    pairs = _side(mixed, "_a").join(head.select("key", *(F.col(f"h.{c}").alias(f"{c}_b") for c in ("node", "n", "left", "c"))), "key")
+    return _distinct_pairs(pairs.where(_allowed()))
+
+
+def _open_pairs(mixed: DataFrame) -> DataFrame:
+    """All pairs of entries of one list that are in different components and may be linked."""
+    pairs = _side(mixed, "_a").join(_side(mixed, "_b"), "key").where(_allowed() & (F.col("c_a") < F.col("c_b")))
+    return _distinct_pairs(pairs)
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after more links: components of components."""
+    names = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    lifted = links.join(names, links["a"] == names["_n"], "left").select(F.coalesce("_c", "a").alias("a"), "b")
+    lifted = lifted.join(names, lifted["b"] == names["_n"], "left").select("a", F.coalesce("_c", "b").alias("b"))
+    upper = components(lifted).select(F.col("node").alias("_u"), F.col("component").alias("_top"))
+    fresh = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
+    known = labels.unionByName(fresh.withColumn("component", F.col("node")))
+    return materialize(known.join(upper, known["component"] == upper["_u"], "left").select("node", F.coalesce("_top", "component").alias("component")))
+
+
 def node_components(docs: DataFrame) -> tuple[DataFrame, int]:
     """``node, component`` of all nodes with a link to another, and the light boundary."""
+    small_batches(docs.sparkSession)
     size = max(1, input_bytes(docs))
-    bits = int(min(16, max(2, (size // BUCKET_BYTES).bit_length())))
+    bits = int(min(16, max(5, (size // BUCKET_BYTES).bit_length())))
     layout = Layout(shared_folder(docs.sparkSession, "jaccard"), bits)
     _frequencies(docs, layout)
     nodes = materialize(_store(_survivors(docs, layout), layout))
@@ -401,39 +438,34 @@ def node_components(docs: DataFrame) -> tuple[DataFrame, int]:
     lists = _postings(nodes, boundary)
     often = lists.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
     lists = materialize(lists.join(often, "key"))
-    first = materialize(_verified(_star_pairs(lists), layout))
-    labels = components(first)
-    second = materialize(_verified(_open_pairs(lists, labels), layout))
-    # Components of components: the second round links whole components.
-    names = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-    lifted = (
-        second.join(names, second["a"] == names["_n"], "left").select(F.coalesce("_c", "a").alias("a"), "b")
-        .join(names, F.col("b") == names["_n"], "left").select("a", F.coalesce("_c", "b").alias("b"))
-        .where("a <> b").distinct()
-    )
-    upper = components(lifted).select(F.col("node").alias("_u"), F.col("component").alias("_top"))
-    all_nodes = labels.select("node", "component").unionByName(
-        second.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels.select("node"), "node", "left_anti").withColumn("component", F.col("node"))
-    )
-    final = all_nodes.join(upper, all_nodes["component"] == upper["_u"], "left").select("node", F.coalesce("_top", "component").alias("component"))
-    return final, boundary
+    labels = components(materialize(_verified(_star_pairs(lists), layout)))
+    # A few turns with other heads absorb what the first heads missed, at a cost linear in the lists.
+    for turn in range(BRIDGES):
+        links = materialize(_verified(_bridge_pairs(_mixed(lists, labels), turn), layout))
+        if links.isEmpty():
+            break
+        labels = _relabelled(labels, links)
+    # What is left decides exactly.
+    links = materialize(_verified(_open_pairs(_mixed(lists, labels)), layout))
+    return _relabelled(labels, links), boundary
 
 
 def with_nodes(docs: DataFrame, carry: list[str]) -> DataFrame:
     """The ``carry`` columns of every row with ``n_shingles`` and ``node``."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema) + ", n_shingles long, node long"
+    inputs, schema = carried(docs, carry, F.col("text").alias("text"))
+    schema += "n_shingles long, node long"
     width = len(carry)
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "text"):
                 _, bounds, ids = shingle_sets(part.column(width))
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(i) for i in range(width)), pa.array(np.diff(bounds)), pa.array(ids.view(np.int64))],
                     [*part.schema.names[:width], "n_shingles", "node"],
                 )
 
-    return docs.select(*carry, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return inputs.mapInArrow(run, schema).toDF(*carry, "n_shingles", "node")
 
 
 def jaccard_components(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -455,11 +487,12 @@ def representatives(docs: DataFrame) -> DataFrame:
 
     Of rows with equal id and text one stays.
     """
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.col("text").isNull(), "text"))
-    found = materialize(jaccard_components(keyed, ("_key",)))
-    empty = F.col("n_shingles") == 0
-    group = F.when(~empty, F.col("component_id"))
-    winners = found.groupBy(group.alias("g"), F.when(group.isNull(), F.col("_key")).alias("own")).agg(F.min(F.struct("doc_id", "_key")).alias("w"))
-    kept = keyed.join(winners.select(F.col("w._key").alias("_key")), "_key", "left_semi")
-    repeated = found.groupBy("_key").count().where("count > 1").limit(1).count()
-    return (kept.dropDuplicates(["_key"]) if repeated else kept).select(*docs.columns)
+    key = F.xxhash64("doc_id", F.col("text").isNull(), "text").alias("key")
+    found = materialize(jaccard_components(docs.select(key, "doc_id", "text"), ("key",)))
+    group = F.when(F.col("n_shingles") > 0, F.col("component_id"))
+    winners = found.groupBy(group.alias("g"), F.when(group.isNull(), F.col("key")).alias("own")).agg(F.min(F.struct("doc_id", "key")).alias("w"))
+    # Whole rows travel as one struct, so no column of theirs can clash.
+    rows = docs.select(key, F.struct("*").alias("row"))
+    kept = rows.join(winners.select("w.key"), "key", "left_semi")
+    repeated = found.groupBy("key").count().where("count > 1").limit(1).count()
+    return (kept.dropDuplicates(["key"]) if repeated else kept).select("row.*")
