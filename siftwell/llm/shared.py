@@ -127,6 +127,11 @@ def map_array(uri: str, dtype) -> np.ndarray:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Bytes of the tables that ``df`` reads, by the planner's statistics; it costs no job."""
+    """Bytes of the tables that ``df`` reads, by the planner's statistics, which cost no job.
+
+    Rows that come from no table (a checkpoint, local data) have no statistics: their texts are
+    measured.
+    """
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
+    known = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
+    return known if known < 1 << 60 else int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
