@@ -469,7 +469,7 @@ def with_nodes(docs: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id``, the ``carry`` columns, ``n_shingles, component_id`` and ``node`` for every row."""
+    """``doc_id``, the ``carry`` columns, ``n_shingles, component_id, node, component`` for every row."""
     rows = materialize(with_nodes(docs, ["doc_id", *carry]))
     names, _ = node_components(docs)
     names = names.select(F.col("node").alias("_n"), "component")
@@ -477,9 +477,9 @@ def jaccard_components(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFram
     per_node = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
     placed = per_node.join(names, per_node["node"] == names["_n"], "left").select("node", "low", F.coalesce("component", "node").alias("component"))
     lows = placed.groupBy("component").agg(F.min("low").alias("component_id"))
-    known = placed.join(lows, "component").select(F.col("node").alias("_n"), "component_id")
+    known = placed.join(lows, "component").select(F.col("node").alias("_n"), "component", "component_id")
     joined = rows.join(known, (rows["node"] == known["_n"]) & (rows["n_shingles"] > 0), "left")
-    return joined.select("doc_id", *carry, "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node")
+    return joined.select("doc_id", *carry, "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node", "component")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
@@ -489,7 +489,8 @@ def representatives(docs: DataFrame) -> DataFrame:
     """
     key = F.xxhash64("doc_id", F.col("text").isNull(), "text").alias("key")
     found = materialize(jaccard_components(docs.select(key, "doc_id", "text"), ("key",)))
-    group = F.when(F.col("n_shingles") > 0, F.col("component_id"))
+    # Two components may have one smallest id, where ids repeat: group by the component itself.
+    group = F.when(F.col("n_shingles") > 0, F.col("component"))
     winners = found.groupBy(group.alias("g"), F.when(group.isNull(), F.col("key")).alias("own")).agg(F.min(F.struct("doc_id", "key")).alias("w"))
     # Whole rows travel as one struct, so no column of theirs can clash.
     rows = docs.select(key, F.struct("*").alias("row"))
