@@ -2,6 +2,7 @@
 
 Both sides become template tokens: punctuation goes, ASCII letters are lower-cased, numbers,
 names and units (right after a number) become typed placeholders with their values as slots.
+Names are tried as placeholders and as words, and so are capitals at a sentence's start.
 Windows of five template tokens of the benchmark set bits in a bitmap of bounded size; one Arrow
 pass over the documents emits the few windows whose bit is set, a hash join with the
 benchmark's windows makes that exact, and slot consistency keeps the windows in which each slot
@@ -29,6 +30,8 @@ WIDTH = 5
 COVER = 0.5
 #: A window with more placeholders than this says too little.
 MOST_SLOTS = 2
+#: With the words at sentences' starts.
+MOST_OPENING = 3
 MOST_BITS = 1 << 29
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0x11, 0x22, 0x33))
 
@@ -51,8 +54,8 @@ def _known_units() -> np.ndarray:
     return np.unique(hash_words(data, offsets).hashes)
 
 
-def templates(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Template tokens with names as words, which are numbers or units, which are names, own hashes."""
+def templates(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template tokens with names as words, which are numbers or units, names, sentence-initial capitals, own hashes."""
     raw, offsets = text_bytes(column)
     base = int(offsets[0])
     raw, offsets = raw[base : int(offsets[-1])], offsets - base
@@ -72,7 +75,7 @@ def templates(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarr
     token = own.copy()
     head = data[words.starts] if len(own) else data[:0]
     number = _DIGIT[head]
-    # A name starts with a capital (ASCII or Latin-1), not at a sentence's start, and is not all capitals.
+    # A name starts with a capital (ASCII or Latin-1) and is not all capitals; at a sentence's start it may be any word.
     wide = head == 0xC3
     second = np.minimum(words.starts + 1, max(0, len(data) - 1))
     follow = np.minimum(words.starts + 1 + wide, max(0, len(data) - 1))
@@ -82,7 +85,7 @@ def templates(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarr
         capital = np.flatnonzero(initial & ~shout)
     else:
         capital = np.empty(0, np.int64)
-    name = np.zeros(len(own), bool)
+    name, opening = np.zeros(len(own), bool), np.zeros(len(own), bool)
     if len(capital):
         stops = np.concatenate((np.zeros(1, np.int32), np.cumsum(_STOP[raw], dtype=np.int32)))
         first = np.zeros(len(own) + 1, bool)
@@ -90,45 +93,52 @@ def templates(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarr
         before = np.maximum(capital - 1, 0)
         quiet = stops[origin[words.starts[capital]]] == stops[origin[words.ends[before] - 1] + 1]
         name[capital] = quiet & ~first[capital]
+        opening[capital] = ~name[capital]
     unit = np.zeros(len(own), bool)
     after = np.flatnonzero(number[:-1]) + 1 if len(own) > 1 else np.empty(0, np.int64)
     unit[after] = np.isin(own[after], _UNIT_HASHES)
     token[number], token[unit] = NUMBER, UNIT
-    return Words(token, words.starts, words.ends, words.bounds), number | unit, name, own
+    return Words(token, words.starts, words.ends, words.bounds), number | unit, name, opening, own
 
 
 _UNIT_HASHES = _known_units()
 
 
-def _windows(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, list[list[int]]]:
-    """Informative windows: the words, window hashes, first tokens and slots.
+def _windows(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, tuple]:
+    """Informative windows: the words, window hashes, first tokens and what tells their slots.
 
     A window with a name occurs twice, with the name as a placeholder and as a word: capitals
-    tell names only in ordinary prose, not in headlines or shouted copies.
+    tell names only in ordinary prose, not in headlines or shouted copies. A window with a capital
+    at a sentence's start occurs once more, with that word as a name too.
     """
-    words, values, name, own = templates(column)
-    named = Words(np.where(name, NAME, words.hashes), words.starts, words.ends, words.bounds)
-    holds_name = np.concatenate((np.zeros(1, np.int32), np.cumsum(name, dtype=np.int32)))
-    hashes, firsts, masks = [], [], []
-    for tokens, slot, extra in ((words, values, False), (named, values | name, True)):
-        if extra and not name.any():
+    words, values, name, opening, own = templates(column)
+    hashes, firsts, kinds = [], [], []
+    masks = (values, values | name, values | name | opening)
+    for kind, (slot, needed) in enumerate(zip(masks, (None, name, opening), strict=True)):
+        if needed is not None and not needed.any():
             continue
+        tokens = Words(np.where(slot & ~values, NAME, words.hashes), words.starts, words.ends, words.bounds)
         h, at = windows(tokens, WIDTH)
-        filled = np.concatenate((np.zeros(1, np.int32), np.cumsum(slot, dtype=np.int32)))
-        good = filled[at + WIDTH] - filled[at] <= MOST_SLOTS
-        if extra:
-            good &= holds_name[at + WIDTH] > holds_name[at]
+        good = (_counts(slot & ~opening, at) <= MOST_SLOTS) & (_counts(slot, at) <= (MOST_SLOTS if needed is not opening else MOST_OPENING))
+        if needed is not None:
+            good &= _counts(needed, at) > 0
         hashes.append(h[good])
         firsts.append(at[good])
-        masks.append(np.full(int(good.sum()), extra))
-    return words, np.concatenate(hashes), np.concatenate(firsts), (values, name, own, np.concatenate(masks))
+        kinds.append(np.full(int(good.sum()), kind))
+    return words, np.concatenate(hashes), np.concatenate(firsts), (masks, own, np.concatenate(kinds))
+
+
+def _counts(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many flags each window has."""
+    sums = np.concatenate((np.zeros(1, np.int32), np.cumsum(flags, dtype=np.int32)))
+    return sums[at + WIDTH] - sums[at]
 
 
 def _slots(at: np.ndarray, kept: np.ndarray, parts) -> list[list[int]]:
     """The slot values of the kept windows."""
-    values, name, own, extra = parts
+    masks, own, kinds = parts
     signed = own.view(np.int64)
-    return [[int(signed[i]) for i in range(a, a + WIDTH) if values[i] or (e and name[i])] for a, e in zip(at, extra[kept], strict=True)]
+    return [[int(signed[i]) for i in range(a, a + WIDTH) if masks[k][i]] for a, k in zip(at, kinds[kept], strict=True)]
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:

@@ -231,6 +231,16 @@ def test_slots_must_be_consistent(spark):
     assert (1, 0) not in got or got[1, 0].coverage < 1.0
 
 
+def test_names_that_begin_sentences(spark):
+    item = "Tom has 5 apples. Tom buys 3 more. Tom eats 2. How many apples are left?"
+    other = item.replace("Tom", "Anna").replace("5", "8").replace("3", "4")
+    mixed = item.replace("Tom has", "Anna has").replace("Tom buys", "Ben buys").replace("Tom eats", "Carl eats")
+    got = contaminated(spark, [other, f"Now: {other}", mixed, "Anna has 8 pears. How many pears does Anna have now?"], [item])
+    assert {(0, 0), (1, 0)} <= set(got) and (3, 0) not in got
+    assert got[0, 0].coverage == 1.0 and got[0, 0].changed_slots > 0
+    assert (2, 0) not in got or got[2, 0].coverage < got[0, 0].coverage
+
+
 def test_decontamination_matches_brute_force(spark):
     found = {(r.doc_id, r.item_id) for r in queries.op10_decontamination(spark, SF).collect()}
 
