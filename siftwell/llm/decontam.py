@@ -10,8 +10,12 @@ value of the item maps to its most frequent value in the document. A document is
 contaminated by an item when such windows cover ``COVER`` of the item's windows, so a question
 with other numbers or names is caught, and unrelated text that shares a template is not.
 
-Defined cases: null texts have no windows; items under five template tokens, or whose windows
-are mostly placeholders, cannot be told apart and match nothing; repeated document rows are
+Windows that are mostly numbers have their own words as hash instead and match literally. They
+count in a second coverage over all windows; the greater of the two decides, so a question with
+other numbers needs only the windows that can show it. An item under five template tokens is one
+whole window of its own words.
+
+Defined cases: null texts and texts without a word have no windows; repeated document rows are
 judged alone; repeated items are one item per row; empty tables give no hits. Columns besides
 the ids and texts are ignored.
 """
@@ -33,6 +37,8 @@ MOST_SLOTS = 2
 #: With the words at sentences' starts.
 MOST_OPENING = 3
 MOST_BITS = 1 << 29
+#: The kind of a window that matches literally, besides the places of the masks.
+EXACT = 3
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0x11, 0x22, 0x33))
 
 # Units that become placeholders after a number.
@@ -104,12 +110,16 @@ def templates(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarr
 _UNIT_HASHES = _known_units()
 
 
-def _windows(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, tuple]:
-    """Informative windows: the words, window hashes, first tokens and what tells their slots.
+def _windows(column: pa.Array, short: list[int] | None = None) -> tuple[Words, np.ndarray, np.ndarray, tuple]:
+    """The words, window hashes, first tokens and what tells their slots.
+
+    ``short`` are the lengths below ``WIDTH`` at which runs of words are windows as well; None
+    takes each row below ``WIDTH`` as one.
 
     A window with a name occurs twice, with the name as a placeholder and as a word: capitals
     tell names only in ordinary prose, not in headlines or shouted copies. A window with a capital
-    at a sentence's start occurs once more, with that word as a name too.
+    at a sentence's start occurs once more, with that word as a name too. A window with more
+    numbers than ``MOST_SLOTS`` occurs once, as it is (kind ``EXACT``), and so does a short one.
     """
     words, values, name, opening, own = templates(column)
     hashes, firsts, kinds = [], [], []
@@ -125,6 +135,19 @@ def _windows(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, tuple]:
         hashes.append(h[good])
         firsts.append(at[good])
         kinds.append(np.full(int(good.sum()), kind))
+    literal = Words(own, words.starts, words.ends, words.bounds)
+    h, at = windows(literal, WIDTH)
+    exact = [(h[rich], at[rich])] if (rich := _counts(values, at) > MOST_SLOTS).any() else []
+    for n in range(1, WIDTH) if short is None else short:
+        h, at = windows(literal, n)
+        whole = slice(None)
+        if short is None:
+            whole = words.counts[np.searchsorted(words.bounds, at, side="right") - 1] == n
+        exact.append((h[whole], at[whole]))
+    for h, at in exact:
+        hashes.append(h)
+        firsts.append(at)
+        kinds.append(np.full(len(h), EXACT))
     return words, np.concatenate(hashes), np.concatenate(firsts), (masks, own, np.concatenate(kinds))
 
 
@@ -138,32 +161,39 @@ def _slots(at: np.ndarray, kept: np.ndarray, parts) -> list[list[int]]:
     """The slot values of the kept windows."""
     masks, own, kinds = parts
     signed = own.view(np.int64)
-    return [[int(signed[i]) for i in range(a, a + WIDTH) if masks[k][i]] for a, k in zip(at, kinds[kept], strict=True)]
+    return [[] if k == EXACT else [int(signed[i]) for i in range(a, a + WIDTH) if masks[k][i]] for a, k in zip(at, kinds[kept], strict=True)]
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """``item, item_id, pos, n_windows, h, slots`` for each window of each item."""
+    """``item, item_id, pos, n_windows, n_open, n_words, exact, h, slots`` for each window of each item.
+
+    ``n_open`` of the ``n_windows`` are not exact.
+    """
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 words, h, at, parts = _windows(part.column("text"))
                 row = np.searchsorted(words.bounds, at, side="right") - 1
-                per_row = np.bincount(np.searchsorted(words.bounds, np.unique(at), side="right") - 1, minlength=part.num_rows)
+                exact = parts[2] == EXACT
+                per_row, open_row = (np.bincount(np.searchsorted(words.bounds, np.unique(x), side="right") - 1, minlength=part.num_rows) for x in (at, at[~exact]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("item").take(pa.array(row)),
                         part.column("item_id").cast(pa.int64()).take(pa.array(row)),
                         pa.array((at - words.bounds[row]).astype(np.int32)),
                         pa.array(per_row[row].astype(np.int32)),
+                        pa.array(open_row[row].astype(np.int32)),
+                        pa.array(words.counts[row].astype(np.int32)),
+                        pa.array(exact),
                         pa.array(h.view(np.int64)),
                         pa.array(_slots(at, np.arange(len(at)), parts), pa.list_(pa.int64())),
                     ],
-                    ["item", "item_id", "pos", "n_windows", "h", "slots"],
+                    ["item", "item_id", "pos", "n_windows", "n_open", "n_words", "exact", "h", "slots"],
                 )
 
     rows = benchmark.select(F.monotonically_increasing_id().alias("item"), "item_id", "text")
-    return rows.mapInArrow(run, "item long, item_id long, pos int, n_windows int, h long, slots array<long>")
+    return rows.mapInArrow(run, "item long, item_id long, pos int, n_windows int, n_open int, n_words int, exact boolean, h long, slots array<long>")
 
 
 def _bitmap(wanted: DataFrame) -> np.ndarray:
@@ -186,12 +216,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFra
     small_batches(docs.sparkSession)
     wanted = materialize(benchmark_windows(benchmark))
     bitmap = _bitmap(wanted)
+    short = sorted(r["n_words"] for r in wanted.where(F.col("n_words") < WIDTH).select("n_words").distinct().collect())
     shift = np.uint64(64 - ((len(bitmap) * 8).bit_length() - 1))
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
-                words, h, at, parts = _windows(part.column("text"))
+                words, h, at, parts = _windows(part.column("text"), short)
                 place = h >> shift
                 some = (bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
                 kept = np.flatnonzero(some)
@@ -219,12 +250,16 @@ def hits(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFra
         F.forall("pairs", lambda p: F.col("map")[p["i"]] == p["d"]) | (F.size("pairs") == 0)
     )
     per_item = checked.groupBy("key", "doc_id", "item", "item_id").agg(
-        F.countDistinct("pos").alias("matched"),
-        F.first("n_windows").alias("n_windows"),
+        F.countDistinct("pos").alias("of_all"),
+        F.countDistinct(F.when(~F.col("exact"), F.col("pos"))).alias("of_open"),
+        F.first("n_windows").alias("n_all"),
+        F.first("n_open").alias("n_open"),
         F.max(F.size(F.filter("pairs", lambda p: p["i"] != p["d"]))).alias("changed_slots"),
     )
-    share = F.col("matched") / F.col("n_windows")
-    return per_item.withColumn("coverage", share).where(share >= cover).drop("item")
+    # The greater coverage; of equal ones that over all windows.
+    share = F.greatest(*(F.struct(F.try_divide(f"of_{x}", f"n_{x}").alias("coverage"), F.col(f"n_{x}").alias("n_windows"), F.col(f"of_{x}").alias("matched")) for x in ("all", "open")))
+    found = per_item.select("key", "doc_id", "item_id", "changed_slots", share.alias("s")).where(F.col("s.coverage") >= cover)
+    return found.select("key", "doc_id", "item_id", "s.matched", "s.n_windows", "changed_slots", "s.coverage")
 
 
 def row_key():

@@ -241,6 +241,14 @@ def test_names_that_begin_sentences(spark):
     assert (2, 0) not in got or got[2, 0].coverage < got[0, 0].coverage
 
 
+def test_items_of_numbers_and_short_items(spark):
+    items = ["What is 12 + 34 + 56 + 78 + 90?", "Name the capital", "sum 3 and 4 and 5 and add 6 7 8 9 to it"]
+    texts = [f"Quiz. {items[0]} Say it.", "What is 13 + 35 + 57 + 79 + 91?", "now name the Capital of it", "name the new capital", items[1], "name the", items[2].replace("3", "33")]
+    got = contaminated(spark, texts, items)
+    assert set(got) == {(0, 0), (2, 1), (4, 1), (6, 2)}
+    assert (got[0, 0].matched, got[0, 0].n_windows, got[0, 0].changed_slots) == (3, 3, 0)
+
+
 def test_decontamination_matches_brute_force(spark):
     found = {(r.doc_id, r.item_id) for r in queries.op10_decontamination(spark, SF).collect()}
 
