@@ -15,6 +15,10 @@ count in a second coverage over all windows; the greater of the two decides, so
 other numbers needs only the windows that can show it. An item under five template tokens is one
 whole window of its own words.
 
+A run of ``RUN`` template tokens of an item is a hit by itself, whatever its share: it is one
+window too, of nine windows of five in order, with slots that are consistent within the run. A
+run can only start or end where a window of five is the benchmark's, so few are hashed.
+
 Defined cases: null texts and texts without a word have no windows; repeated document rows are
 judged alone; repeated items are one item per row; empty tables give no hits. Columns besides
 the ids and texts are ignored.
@@ -28,17 +32,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.shared import materialize, small_batches
-from siftwell.llm.tokens import Words, hash_words, slices, text_bytes, windows
+from siftwell.llm.tokens import STEP, Words, hash_words, mix, slices, text_bytes, windows
 
 WIDTH = 5
 COVER = 0.5
+#: So many tokens of an item in a row are a hit.
+RUN = 13
+#: A run with more placeholders, or with too many in its first and in its last window, matches literally.
+RUN_SLOTS = 6
 #: A window with more placeholders than this says too little.
 MOST_SLOTS = 2
 #: With the words at sentences' starts.
 MOST_OPENING = 3
 MOST_BITS = 1 << 29
-#: The kind of a window that matches literally, besides the places of the masks.
-EXACT = 3
+#: The kinds of windows with a name at a sentence's start and of literal ones; 0 and 1 are words and names.
+OPENING, EXACT = 2, 3
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0x11, 0x22, 0x33))
 
 # Units that become placeholders after a number.
@@ -151,32 +159,57 @@ def _windows(column: pa.Array, short: list[int] | None = None) -> tuple[Words, n
     return words, np.concatenate(hashes), np.concatenate(firsts), (masks, own, np.concatenate(kinds))
 
 
+def _runs(words: Words, parts, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, first tokens and kinds of the runs whose first or last window begins at one of ``near``."""
+    (values, names, opening), own, _ = parts
+    at = np.unique(np.concatenate((near, near - (RUN - WIDTH))))
+    at = at[at >= 0]
+    at = at[at + RUN <= words.bounds[np.searchsorted(words.bounds, at, side="right").clip(max=len(words.bounds) - 1)]]
+    sums = [np.concatenate((np.zeros(1, np.int32), np.cumsum(m, dtype=np.int32))) for m in (values, names, opening)]
+    n = [x[at + RUN] - x[at] for x in sums]
+    ends = (np.minimum(x[at + WIDTH] - x[at], x[at + RUN] - x[at + RUN - WIDTH]) for x in sums)
+    fit = [(x <= RUN_SLOTS) & (e <= MOST_SLOTS) for x, e in zip(n, ends, strict=True)]
+    found = []
+    for kind, good in enumerate((fit[0], fit[1] & (n[1] > n[0]), fit[2] & (n[2] > n[1]), ~fit[0])):
+        first = at[good]
+        tokens = own if kind == EXACT else np.where(parts[0][kind] & ~values, NAME, words.hashes)
+        h = np.zeros(len(first), np.uint64)
+        for k in range(RUN):
+            h = h * STEP + tokens[first + k]
+        found.append((mix(h), first, np.full(len(first), kind)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def _counts(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     """How many flags each window has."""
     sums = np.concatenate((np.zeros(1, np.int32), np.cumsum(flags, dtype=np.int32)))
     return sums[at + WIDTH] - sums[at]
 
 
-def _slots(at: np.ndarray, kept: np.ndarray, parts) -> list[list[int]]:
-    """The slot values of the kept windows."""
-    masks, own, kinds = parts
+def _slots(at: np.ndarray, kinds: np.ndarray, parts, width: int = WIDTH) -> list[list[int]]:
+    """The slot values of windows."""
+    masks, own, _ = parts
     signed = own.view(np.int64)
-    return [[] if k == EXACT else [int(signed[i]) for i in range(a, a + WIDTH) if masks[k][i]] for a, k in zip(at, kinds[kept], strict=True)]
+    return [[] if k == EXACT else [int(signed[i]) for i in range(a, a + width) if masks[k][i]] for a, k in zip(at, kinds, strict=True)]
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """``item, item_id, pos, n_windows, n_open, n_words, exact, h, slots`` for each window of each item.
+    """``item, item_id, pos, n_windows, n_open, n_words, exact, run, opening, h, slots`` for each window and run of each item.
 
-    ``n_open`` of the ``n_windows`` are not exact.
+    ``n_open`` of the ``n_windows`` are not exact; runs are not among them.
     """
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 words, h, at, parts = _windows(part.column("text"))
-                row = np.searchsorted(words.bounds, at, side="right") - 1
                 exact = parts[2] == EXACT
                 per_row, open_row = (np.bincount(np.searchsorted(words.bounds, np.unique(x), side="right") - 1, minlength=part.num_rows) for x in (at, at[~exact]))
+                run_h, run_at, run_kinds = _runs(words, parts, at)
+                slots = _slots(at, parts[2], parts) + _slots(run_at, run_kinds, parts, RUN)
+                run = np.repeat([False, True], [len(at), len(run_at)])
+                h, at, exact = np.concatenate((h, run_h)), np.concatenate((at, run_at)), np.concatenate((exact, run_kinds == EXACT))
+                row = np.searchsorted(words.bounds, at, side="right") - 1
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("item").take(pa.array(row)),
@@ -186,14 +219,16 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
                         pa.array(open_row[row].astype(np.int32)),
                         pa.array(words.counts[row].astype(np.int32)),
                         pa.array(exact),
+                        pa.array(run),
+                        pa.array(np.concatenate((parts[2], run_kinds)) == OPENING),
                         pa.array(h.view(np.int64)),
-                        pa.array(_slots(at, np.arange(len(at)), parts), pa.list_(pa.int64())),
+                        pa.array(slots, pa.list_(pa.int64())),
                     ],
-                    ["item", "item_id", "pos", "n_windows", "n_open", "n_words", "exact", "h", "slots"],
+                    ["item", "item_id", "pos", "n_windows", "n_open", "n_words", "exact", "run", "opening", "h", "slots"],
                 )
 
     rows = benchmark.select(F.monotonically_increasing_id().alias("item"), "item_id", "text")
-    return rows.mapInArrow(run, "item long, item_id long, pos int, n_windows int, n_open int, n_words int, exact boolean, h long, slots array<long>")
+    return rows.mapInArrow(run, "item long, item_id long, pos int, n_windows int, n_open int, n_words int, exact boolean, run boolean, opening boolean, h long, slots array<long>")
 
 
 def _bitmap(wanted: DataFrame) -> np.ndarray:
@@ -209,13 +244,13 @@ def _bitmap(wanted: DataFrame) -> np.ndarray:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
-    """Contaminated rows: ``key, doc_id, item_id, matched, n_windows, coverage, changed_slots``.
+    """Contaminated rows: ``key, doc_id, item_id, matched, n_windows, coverage, changed_slots``; a run is a hit below ``cover``.
 
     ``docs`` needs ``key``, which identifies a row, besides ``doc_id`` and ``text``.
     """
     small_batches(docs.sparkSession)
     wanted = materialize(benchmark_windows(benchmark))
-    bitmap = _bitmap(wanted)
+    bitmap = _bitmap(wanted.where(~F.col("run")))
     short = sorted(r["n_words"] for r in wanted.where(F.col("n_words") < WIDTH).select("n_words").distinct().collect())
     shift = np.uint64(64 - ((len(bitmap) * 8).bit_length() - 1))
 
@@ -227,38 +262,47 @@ def hits(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFra
                 some = (bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
                 kept = np.flatnonzero(some)
                 h, at = h[kept], at[kept]
-                row = pa.array(np.searchsorted(words.bounds, at, side="right") - 1)
+                run_h, run_at, run_kinds = _runs(words, parts, at)
+                slots = _slots(at, parts[2][kept], parts) + _slots(run_at, run_kinds, parts, RUN)
+                row = pa.array(np.searchsorted(words.bounds, np.concatenate((at, run_at)), side="right") - 1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("key").take(row),
                         part.column("doc_id").cast(pa.int64()).take(row),
-                        pa.array(h.view(np.int64)),
-                        pa.array(_slots(at, kept, parts), pa.list_(pa.int64())),
+                        pa.array(np.concatenate((h, run_h)).view(np.int64)),
+                        pa.array(np.concatenate((parts[2][kept], run_kinds)) == OPENING),
+                        pa.array(slots, pa.list_(pa.int64())),
                     ],
-                    ["key", "doc_id", "h", "slots"],
+                    ["key", "doc_id", "h", "d_opening", "slots"],
                 )
 
-    found = docs.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, h long, d_slots array<long>")
+    found = docs.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, h long, d_opening boolean, d_slots array<long>")
     same = found.distinct().join(wanted, "h")
     # Few rows by now; what follows reads them three times, and the texts once.
     same = materialize(same.withColumn("pairs", F.arrays_zip(F.col("slots").alias("i"), F.col("d_slots").alias("d"))))
-    # The most frequent document value of each item value; ties go to the smallest.
-    value = same.select("key", "item", F.explode("pairs").alias("p")).groupBy("key", "item", F.col("p.i").alias("i"), F.col("p.d").alias("d")).count()
-    best = value.groupBy("key", "item", "i").agg(F.max(F.struct("count", (-F.col("d")).alias("neg"), "d")).alias("b"))
+    # The most frequent document value of each item value; ties go to the smallest. Windows with a
+    # name at a sentence's start only tell the values that no other window tells.
+    sure = F.count(F.when(~(F.col("opening") | F.col("d_opening")), 1))
+    pairs = same.where(~F.col("run")).select("key", "item", "opening", "d_opening", F.explode("pairs").alias("p"))
+    value = pairs.groupBy("key", "item", F.col("p.i").alias("i"), F.col("p.d").alias("d")).agg(sure.alias("sure"), F.count("*").alias("count"))
+    rank = F.struct("sure", F.when(F.col("sure") == 0, F.col("count")).otherwise(0).alias("count"), (-F.col("d")).alias("neg"), "d")
+    best = value.groupBy("key", "item", "i").agg(F.max(rank).alias("b"))
     maps = best.groupBy("key", "item").agg(F.map_from_entries(F.collect_list(F.struct("i", "b.d"))).alias("map"))
-    checked = same.join(maps, ["key", "item"], "left").where(
-        F.forall("pairs", lambda p: F.col("map")[p["i"]] == p["d"]) | (F.size("pairs") == 0)
-    )
+    # Slots of a run are consistent if none of its values has two values in the document.
+    one_each = F.size(F.array_distinct("pairs")) == F.size(F.array_distinct("slots"))
+    mapped = F.forall("pairs", lambda p: F.col("map")[p["i"]] == p["d"]) | (F.size("pairs") == 0)
+    checked = same.join(maps, ["key", "item"], "left").where(F.when(F.col("run"), one_each).otherwise(mapped))
     per_item = checked.groupBy("key", "doc_id", "item", "item_id").agg(
-        F.countDistinct("pos").alias("of_all"),
-        F.countDistinct(F.when(~F.col("exact"), F.col("pos"))).alias("of_open"),
+        F.countDistinct(F.when(~F.col("run"), F.col("pos"))).alias("of_all"),
+        F.countDistinct(F.when(~F.col("run") & ~F.col("exact"), F.col("pos"))).alias("of_open"),
         F.first("n_windows").alias("n_all"),
         F.first("n_open").alias("n_open"),
+        F.max("run").alias("run"),
         F.max(F.size(F.filter("pairs", lambda p: p["i"] != p["d"]))).alias("changed_slots"),
     )
     # The greater coverage; of equal ones that over all windows.
     share = F.greatest(*(F.struct(F.try_divide(f"of_{x}", f"n_{x}").alias("coverage"), F.col(f"n_{x}").alias("n_windows"), F.col(f"of_{x}").alias("matched")) for x in ("all", "open")))
-    found = per_item.select("key", "doc_id", "item_id", "changed_slots", share.alias("s")).where(F.col("s.coverage") >= cover)
+    found = per_item.select("key", "doc_id", "item_id", "changed_slots", "run", share.alias("s")).where((F.col("s.coverage") >= cover) | F.col("run"))
     return found.select("key", "doc_id", "item_id", "s.matched", "s.n_windows", "changed_slots", "s.coverage")
 
 

@@ -249,6 +249,24 @@ def test_items_of_numbers_and_short_items(spark):
     assert (got[0, 0].matched, got[0, 0].n_windows, got[0, 0].changed_slots) == (3, 3, 0)
 
 
+def test_a_long_run_is_a_hit(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(250)]
+    noise = ["".join(rng.choices("qrstuvwxyz", k=6)) for _ in range(200)]
+    numbers = [str(rng.randrange(100, 999)) for _ in range(100)]
+    items = [" ".join(words), " ".join(f"{w} {n}" for w, n in zip(words[:100], numbers, strict=True))]
+
+    def quote(text, start, n):
+        return " ".join(noise[:50] + text.split()[start : start + n] + noise[50:])
+
+    # Scattered pieces of twelve words, numbers changed in a run of less than half numbers, and of more.
+    pieces = " ".join(" ".join(words[i : i + 12] + noise[i : i + 1]) for i in range(0, 100, 20))
+    changed = items[1].replace(numbers[30], "7")
+    got = contaminated(spark, [quote(items[0], 70, 100), quote(items[0], 10, 13), quote(items[0], 10, 12), pieces, quote(items[1], 50, 40), quote(changed, 58, 9)], items)
+    assert set(got) == {(0, 0), (1, 0), (4, 1)}
+    assert (got[0, 0].matched, got[0, 0].n_windows) == (96, 246)
+
+
 def test_decontamination_matches_brute_force(spark):
     found = {(r.doc_id, r.item_id) for r in queries.op10_decontamination(spark, SF).collect()}
 
