@@ -1,6 +1,9 @@
 """Secret scan with a random forest that removes false positives (native).
 
-Candidates are maximal runs of 16 or more token characters with a digit. Splitting the text at
+Candidates are maximal runs of 16 or more token characters with a digit, and where the context is
+strong also values without either: whole values that are assigned to a key that names a secret,
+quoted values of eight characters or more that are assigned to any key, user info in URLs, and
+PEM headers of private keys. Splitting the text at
 the same pattern gives each candidate's neighbourhood without positions, and only short
 neighbourhoods are exploded. The forest reads the candidate's length and character mix, its
 character transitions, how much of it dictionary words cover, its path (the source), and the
@@ -31,13 +34,15 @@ from pyspark.sql import functions as F
 from siftwell.llm.shared import hash_sample, materialize
 
 CHARS = "A-Za-z0-9+/_.\\-"
-CANDIDATE = f"(?<![{CHARS}])(?=[^0-9\\s]*+[0-9])[{CHARS}]{{16,}}+={{0,2}}"
+RUN = f"(?<![{CHARS}])(?=[^0-9\\s]*+[0-9])[{CHARS}]{{16,}}+={{0,2}}"
 BEFORE, AFTER = 64, 32
 SAMPLE = 20_000
 TREES, DEPTH, SEED = 20, 6, 29
 
 # Words that introduce secrets, words of placeholders, issuer formats, and common words.
 KEYWORDS = "pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|bearer|credential|private[_-]?key|client[_-]?secret"
+# What may stand between such a word and its value.
+ASSIGN = "(?:[_-][A-Za-z0-9]{1,16})?[0-9]{0,2}[\"'`]?\\s{0,3}(?::=|=>|[:=])\\s{0,3}"
 PLACEHOLDERS = "example|sample|dummy|test|fake|changeme|placeholder|your[_-]|xxxx|0000|1234"
 ISSUERS = (
     r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|glpat-[0-9A-Za-z_\-]{20}|xox[abprs]-[0-9A-Za-z\-]{10,}|"
@@ -53,10 +58,31 @@ WORDS = (
     "time title type update upload url user value version view web window work"
 ).split()
 
+_URL = "[A-Za-z][A-Za-z0-9+.\\-]{0,15}://"
+_SCHEME = "(?:bearer|basic|token)\\s{1,3}"
+# Cheap looks behind first: only starts of values get to the long one.
+_VALUE = f"(?<=[:=>\\s\"'`])(?<=[:=>]\\s{{0,3}}[\"'`]?)(?!{_URL})(?!(?i:{_SCHEME}))"
+_KEYED = f"(?<=(?i:{KEYWORDS}){ASSIGN}"
+_BARE = "(?:(?![&;,][A-Za-z0-9_. \\-]{1,64}[:=])[^\\s\"'`])+(?<![,;.)\\]}>])"
+PEM = "-----BEGIN (?:[A-Z0-9]{1,12} ){0,3}PRIVATE KEY(?: BLOCK)?-----"
+USER_INFO = "://[^\\s/@:]{0,64}:"
+CANDIDATE = "|".join(
+    [
+        PEM,
+        *(f"{_VALUE}{_KEYED}{q})[^{q}\\r\\n]{{1,512}}+(?={q})" for q in "\"'`"),
+        f"{_VALUE}{_KEYED})(?![\"'`]){_BARE}",
+        f"(?<=\\s)(?<=(?i:authorization)[\"']?\\s{{0,3}}[:=]\\s{{0,3}}[\"']?(?i:{_SCHEME})){_BARE}",
+        RUN,
+        *(f"(?<={q})(?<=[:=]\\s{{0,3}}{q})(?!{_URL})[^{q}\\s]{{8,512}}+(?={q})" for q in "\"'`"),
+        f"(?<=:)(?<={USER_INFO})[^\\s/@]{{1,256}}+(?=@)",
+        "(?<=//)(?<=https?://)[^\\s/@:]{4,256}+(?=@)",
+    ]
+)
+
 FEATURES = (
     "length", "digits", "uppers", "lowers", "marks", "distinct", "to_digit", "to_letter", "case_turns", "vowel_turns",
     "longest_letters", "dictionary", "dots", "path_test", "path_depth", "keyword_near", "keyword_far", "assigned", "quoted",
-    "at_sign", "in_url", "placeholder", "words_before",
+    "at_sign", "in_url", "placeholder", "words_before", "keyed", "user_info", "issued",
 )
 
 
@@ -112,6 +138,9 @@ def features(found: DataFrame) -> DataFrame:
             "at_sign": flag(F.col("before").rlike("@$") | F.col("after").rlike("^@")),
             "in_url": flag(F.col("before").rlike("://\\S*$") | c.rlike("^www\\.")),
             "placeholder": flag(F.concat_ws(" ", low, F.lower("before")).rlike(PLACEHOLDERS)),
+            "keyed": flag(F.col("before").rlike(f"(?i)(?:{KEYWORDS}){ASSIGN}[\"'`]?$")),
+            "user_info": flag(F.col("before").rlike(f"{USER_INFO}$") & F.col("after").rlike("^@")),
+            "issued": flag(c.rlike(f"^(?:{ISSUERS}|{PEM})$")),
             "words_before": count("\\S+", F.col("before")),
         }
     )
@@ -120,9 +149,11 @@ def features(found: DataFrame) -> DataFrame:
 def anchored_labels(found: DataFrame) -> DataFrame:
     """Candidates with features whose kind is clear, with ``label``."""
     c = F.col("candidate")
+    # User info is in a URL and before an at sign, but it is no address.
+    sure = (F.col("user_info") == 1) | c.rlike(f"^{PEM}$")
     plain = c.rlike("^[0-9.+/_-]+$") | (F.col("at_sign") == 1) | (F.col("in_url") == 1) | c.rlike("^[a-z0-9-]+(\\.[a-z0-9-]+)*\\.[a-z]{2,6}$")
-    secret = c.rlike(f"^(?:{ISSUERS})$") | ((F.col("keyword_near") == 1) & (F.col("assigned") == 1) & (F.col("digits") > 0.1) & (F.col("dictionary") < 0.4))
-    label = F.when(plain, 0.0).when(secret & (F.col("placeholder") == 0), 1.0).when(F.col("placeholder") == 1, 0.0)
+    secret = sure | c.rlike(f"^(?:{ISSUERS})$") | ((F.col("keyword_near") == 1) & (F.col("assigned") == 1) & (F.col("digits") > 0.1) & (F.col("dictionary") < 0.4))
+    label = F.when(plain & ~sure, 0.0).when(secret & (F.col("placeholder") == 0), 1.0).when(F.col("placeholder") == 1, 0.0)
     return found.withColumn("label", label).where("label is not null")
 
 
@@ -156,7 +187,12 @@ def judge(found: DataFrame, model, threshold: float = 0.5) -> DataFrame:
 def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """Every candidate with its score; ``labelled`` are reviewed findings, if there are any."""
     found = materialize(features(candidates(docs)))
-    return judge(found, fit(anchored_labels(found) if labelled is None else labelled))
+    if labelled is not None:
+        return judge(found, fit(labelled))
+    # Too rare for a forest to learn from the tables' own rows, and clear.
+    key = F.col("candidate").rlike(f"^{PEM}$")
+    judged = judge(found, fit(anchored_labels(found)))
+    return judged.withColumn("score", F.when(key, 1.0).otherwise(F.col("score"))).withColumn("is_secret", F.col("is_secret") | key)
 
 
 def redact(candidate: Column) -> Column:

@@ -132,6 +132,25 @@ def test_secret_scan_learns(spark):
     assert any(r.is_secret for r in found)
 
 
+SHORT = {
+    "password=hunter2secret": "hunter2secret", 'password = "Tr0ub4dor&3!x"': "Tr0ub4dor&3!x", "db at postgres://admin:hunter2@db now": "hunter2",
+    "-----BEGIN RSA PRIVATE KEY-----\nabc": "-----BEGIN RSA PRIVATE KEY-----", "{'client_secret': 'correct horse battery'}": "correct horse battery",
+    "Server=x;Pwd=ab;c=d": "ab", "SECRET_KEY: qwertzuiop.": "qwertzuiop", "Authorization: Bearer abcXYZ": "abcXYZ", 'x = "no-digits-Here"': "no-digits-Here",
+}
+
+
+def test_secrets_that_are_short_or_have_no_digit(spark):
+    plain = ["the token is here", "a secret of theirs: none", "see https://example.com/a", "mail me@host", "say: 'it' and = 'that'"]
+    rows = [(i, "src/app", t) for i, t in enumerate([*SHORT, *plain])]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id: r.candidate for r in secrets.candidates(docs).collect()}
+    assert got == dict(enumerate(SHORT.values()))
+    corpus = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source", "text")
+    found = secrets.scan(corpus.unionByName(docs.withColumn("doc_id", -1 - F.col("doc_id")))).where("doc_id < 0").collect()
+    assert len(found) == len(SHORT)
+    assert {-1 - r.doc_id for r in found if r.is_secret} >= {0, 1, 2, 3}, [(r.candidate, r.score) for r in found]
+
+
 def test_secret_scan_odd_tables(spark):
     docs = spark.createDataFrame(DOC, "doc_id long, source string, text string")
     assert secrets.scan(docs).count() == sum(len(brute_candidates(t)) for _, _, t in DOC)
