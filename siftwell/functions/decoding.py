@@ -13,71 +13,41 @@ STEP = 1 << 16
 ENCODINGS = ("", "identity", "gzip", "x-gzip", "deflate")
 
 
-class BodyTooLarge(Exception):
-    """More bytes than allowed."""
-
-
-class BodyDecodeError(Exception):
-    """Not a valid stream."""
-
-
-class UnsupportedEncoding(Exception):
-    """An encoding that is not one of ``ENCODINGS``."""
-
-
-def decode(chunks, encoding: str | None, max_bytes: int) -> bytes:
-    """The decoded body; inflates in steps, so no more than the limit is ever held.
-
-    A gzip stream must reach its end; a deflate stream (with or without zlib wrapper) may stop.
-    """
-    name = (encoding or "").strip().lower()
-    if name not in ENCODINGS:
-        raise UnsupportedEncoding(name)
-    out = bytearray()
-
-    def keep(block: bytes) -> None:
-        out.extend(block)
-        if len(out) > max_bytes:
-            raise BodyTooLarge
-
-    if name in ("", "identity"):
-        for chunk in chunks:
-            keep(chunk)
-        return bytes(out)
-    gzip = name != "deflate"
+def _inflated(chunks, gzip: bool):
+    """The blocks of a compressed stream, at most ``STEP`` bytes each; EOFError if gzip stops early."""
     stream = zlib.decompressobj(31) if gzip else None
     for chunk in chunks:
-        while chunk:
-            if stream is None:
-                # A zlib header is two bytes that divide by 31; anything else is raw deflate.
-                wrapped = len(chunk) > 1 and chunk[0] & 15 == 8 and (chunk[0] * 256 + chunk[1]) % 31 == 0
-                stream = zlib.decompressobj(15 if wrapped else -15)
-            if stream.eof:
-                break
-            try:
-                keep(stream.decompress(chunk, STEP))
-            except zlib.error as e:
-                raise BodyDecodeError(str(e)) from e
+        if stream is None and chunk:
+            # A zlib header is two bytes that divide by 31; anything else is raw deflate.
+            wrapped = len(chunk) > 1 and chunk[0] & 15 == 8 and int.from_bytes(chunk[:2], "big") % 31 == 0
+            stream = zlib.decompressobj(15 if wrapped else -15)
+        while chunk and not stream.eof:
+            yield stream.decompress(chunk, STEP)
             chunk = stream.unconsumed_tail
     if stream is not None:
-        try:
-            keep(stream.flush())
-        except zlib.error as e:
-            raise BodyDecodeError(str(e)) from e
+        yield stream.flush()
     if gzip and not stream.eof:
-        raise BodyDecodeError("truncated")
-    return bytes(out)
+        raise EOFError
 
 
-def decode_status(raw: bytes | None, encoding: str | None, max_bytes: int) -> tuple[bytes | None, str]:
-    if raw is None:
+def decode(chunks, encoding: str | None, most: int) -> tuple[bytes | None, str]:
+    """The decoded body and its status; a body of more than ``most`` bytes is dropped on the way."""
+    name = (encoding or "").strip().lower()
+    if name not in ENCODINGS:
         return None, "INVALID_RESPONSE"
+    out = bytearray()
     try:
-        return decode([raw], encoding, max_bytes), "OK"
-    except BodyTooLarge:
-        return None, "RESPONSE_TOO_LARGE"
-    except (BodyDecodeError, UnsupportedEncoding):
+        for block in chunks if name in ("", "identity") else _inflated(chunks, name != "deflate"):
+            out += block
+            if len(out) > most:
+                return None, "RESPONSE_TOO_LARGE"
+    except (zlib.error, EOFError):
         return None, "INVALID_RESPONSE"
+    return bytes(out), "OK"
+
+
+def decode_body(raw: bytes | None, encoding: str | None, most: int) -> tuple[bytes | None, str]:
+    return (None, "INVALID_RESPONSE") if raw is None else decode([raw], encoding, most)
 
 
 def decode_udf(max_bytes: int):
@@ -85,6 +55,6 @@ def decode_udf(max_bytes: int):
 
     @F.pandas_udf(struct(body="binary", status="string"))
     def run(bodies: pd.Series, encodings: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([decode_status(b, e, max_bytes) for b, e in zip(bodies, encodings, strict=True)], columns=["body", "status"])
+        return pd.DataFrame([decode_body(b, e, max_bytes) for b, e in zip(bodies, encodings, strict=True)], columns=["body", "status"])
 
     return run

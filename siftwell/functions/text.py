@@ -1,12 +1,16 @@
 """Text cleaning and measures.
 
-``clean_*`` need NFC, which Catalyst lacks: they are Python, with Arrow UDFs below. Counts,
-hashes and redaction are Catalyst expressions.
+A cleaner is a table of regex steps that means the same in Catalyst and in Python: tables run it
+as ``regexp_replace`` calls, the HTML renderer runs it with ``re``. NFC is the one step that
+Catalyst lacks; only texts with a character from U+0300 on need it, and only they reach Python.
+Counts, hashes and redaction are Catalyst expressions.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
+from functools import cached_property, reduce
 from unicodedata import normalize
 
 import pandas as pd
@@ -15,75 +19,92 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.types import of
 
-# Code points to remove, spaces to make plain, and whitespace of inline text.
-REMOVED = [*range(0x00, 0x09), *range(0x0B, 0x20), *range(0x7F, 0xA0), 0xAD, 0x200B, 0x2060, 0xFEFF]
-ODD_SPACES = [0xA0, 0x2007, 0x202F]
-INLINE_SPACES = [0x09, 0x0A, 0x0C, 0x0D]
+# Characters that go, spaces that become plain ones, white space inside a line.
+INVISIBLE = r"\u0000-\u0008\u000B\u000E-\u001F\u007F-\u009F\u00AD\u200B\u2060\uFEFF"
+ODD_SPACES = r"\u00A0\u2007\u202F"
+IN_LINE = r"\t\n\f\r"
+#: Every character below is its own NFC form.
+COMPOSED = r"\A[\u0000-\u02FF]*+\z"
 
-_PRE = dict.fromkeys(REMOVED)
-_PLAIN = _PRE | dict.fromkeys(ODD_SPACES, " ")
-_INLINE = _PLAIN | dict.fromkeys(INLINE_SPACES, " ")
+_LINES = ("\r\n?", "\n")
+_LINE_ENDS = (r"(?<![ \t])[ \t]++\n", "\n")
+_OUTER_LINES = (r"\A\n+|\n+(?![\s\S])", "")
 
 
-def line_endings(value: str) -> str:
-    return re.sub("\r\n?", "\n", value)
+@F.pandas_udf(of("string"))
+def _nfc_udf(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: normalize("NFC", v), na_action="ignore")
 
 
-def clean_inline(value: str) -> str:
-    return normalize("NFC", re.sub("  +", " ", value.translate(_INLINE))).strip()
+def nfc(value: Column) -> Column:
+    """The value in NFC; plain values never leave the JVM."""
+    plain = value.rlike(COMPOSED)
+    return F.when(plain, value).otherwise(_nfc_udf(F.when(~plain, value)))
 
 
-def clean_pre(value: str) -> str:
-    return normalize("NFC", line_endings(value).translate(_PRE))
+@dataclass(frozen=True)
+class Cleaner:
+    """Regex steps in order, then NFC, then (if ``trim``) no white space at either end."""
 
+    steps: tuple[tuple[str, str], ...]
+    trim: bool = False
+    compose: bool = True
 
-def clean_block(value: str) -> str:
-    value = re.sub("[ \t]+\n", "\n", value)
-    return re.sub("\n{3,}", "\n\n", value).strip("\n")
+    @cached_property
+    def _compiled(self) -> list[tuple[re.Pattern, str]]:
+        return [(re.compile(pattern), put) for pattern, put in self.steps]
 
+    def text(self, value: str) -> str:
+        for pattern, put in self._compiled:
+            value = pattern.sub(put, value)
+        if self.compose:
+            value = normalize("NFC", value)
+        return value.strip() if self.trim else value
 
-def clean_plain_text(value: str) -> str:
-    value = normalize("NFC", line_endings(value).translate(_PLAIN))
-    return re.sub("\n{4,}", "\n\n\n", re.sub("[ \t]+\n", "\n", value)).strip("\n")
+    def column(self, value: Column) -> Column:
+        value = reduce(lambda v, step: F.regexp_replace(v, *step), self.steps, value)
+        if self.compose:
+            value = nfc(value)
+        return strip(value) if self.trim else value
 
 
-def clean_value(value: str, limit: int) -> tuple[str | None, bool]:
-    clean = clean_inline(value)
-    return (clean[:limit].rstrip() if len(clean) > limit else clean) or None, len(clean) > limit
+INLINE = Cleaner(((f"[{INVISIBLE}]+", ""), (f"[{ODD_SPACES}{IN_LINE}]", " "), ("  +", " ")), trim=True)
+VERBATIM = Cleaner((_LINES, (rf"[{INVISIBLE}\f]+", "")))
+BLOCK = Cleaner((_LINE_ENDS, ("\n{3,}", "\n\n"), _OUTER_LINES), compose=False)
+PLAIN = Cleaner((_LINES, (rf"[{INVISIBLE}\f]+", ""), (f"[{ODD_SPACES}]", " "), _LINE_ENDS, ("\n{4,}", "\n\n\n"), _OUTER_LINES))
 
+#: Control characters that no query may hold, and how long it may be.
+FORBIDDEN = r"[\u0000-\u0008\u000B\u000C\u000E-\u001F\u007F-\u009F]"
+QUERY_LENGTH = (3, 500)
 
-def clean_query(value: str | None) -> str | None:
-    """A search query of 3 to 500 characters with single spaces, or None."""
-    if value is None:
-        return None
-    value = normalize("NFC", value)
-    if any(ord(c) < 32 and c not in "\t\n\r" or 0x7F <= ord(c) < 0xA0 for c in value):
-        return None
-    value = " ".join(value.split())
-    return value if 3 <= len(value) <= 500 else None
 
+def limited(value: str, most: int) -> tuple[str | None, bool]:
+    """A value on one line of at most ``most`` characters, None if empty; and whether it was cut."""
+    line = INLINE.text(value)
+    return line[:most].rstrip() or None, len(line) > most
 
-def _udf(f):
-    @F.pandas_udf(of("string"))
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(f, na_action="ignore")
 
-    return run
+def limited_column(value: Column, most: int) -> Column:
+    """``struct(value, cut)``, as ``limited``."""
+    line = INLINE.column(value)
+    return F.struct(F.nullif(F.regexp_replace(F.substring(line, 1, most), r"(?U)[\s\x1c-\x1f]+\z", ""), F.lit("")).alias("value"), (F.char_length(line) > most).alias("cut"))
 
 
-clean_inline_udf = _udf(clean_inline)
-clean_pre_udf = _udf(clean_pre)
-clean_plain_text_udf = _udf(clean_plain_text)
-clean_query_udf = _udf(clean_query)
+def clean_query(value: str | None) -> str | None:
+    """A search query as it is stored, None if it is none."""
+    words = [] if value is None or re.search(FORBIDDEN, value) else normalize("NFC", value).split()
+    query = " ".join(words)
+    return query if QUERY_LENGTH[0] <= len(query) <= QUERY_LENGTH[1] else None
 
 
-def native_line_endings(value: Column) -> Column:
-    return F.regexp_replace(value, "\r\n?", "\n")
+def query_column(value: Column) -> Column:
+    """``clean_query`` as an expression."""
+    query = collapse(nfc(value))
+    return F.when(~value.rlike(FORBIDDEN) & F.char_length(query).between(*QUERY_LENGTH), query)
 
 
-def native_clean_block(value: Column) -> Column:
-    value = F.regexp_replace(F.regexp_replace(value, "[ \t]+\n", "\n"), "\n{3,}", "\n\n")
-    return F.regexp_replace(value, r"\A\n+|\n+\z", "")
+def line_endings(value: Column) -> Column:
+    return F.regexp_replace(value, *_LINES)
 
 
 def strip(value: Column) -> Column:

@@ -70,11 +70,8 @@ def idempotent_requests(requests: DataFrame) -> DataFrame:
 
 
 def valid_request(query: Column, language: Column, country: Column) -> Column:
-    clean = tx.collapse(query)
-    bad = query.rlike("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f]")
     return (
-        ~F.coalesce(bad, F.lit(True))
-        & F.char_length(clean).between(3, 500)
+        F.coalesce(tx.query_column(query).isNotNull(), F.lit(False))
         & F.coalesce(language.rlike(r"\A[a-z]{2}\z"), F.lit(True))
         & F.coalesce(country.rlike(r"\A[A-Z]{2}\z"), F.lit(True))
     )

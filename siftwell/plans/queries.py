@@ -200,18 +200,18 @@ _PLAIN_SQL = r"""regexp_replace(regexp_replace(regexp_replace(nfc_normalize(tran
 
 @query(f"SELECT doc_id, {_PLAIN_SQL} AS clean FROM documents")
 def clean_plain_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.clean_plain_text_udf("text").alias("clean"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.PLAIN.column(F.col("text")).alias("clean"))
 
 
 @query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g') AS clean FROM documents""")
 def clean_block(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.native_clean_block(F.col("text")).alias("clean"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.BLOCK.column(F.col("text")).alias("clean"))
 
 
 @query(r"""SELECT conv_id, turn, trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g')) AS clean FROM conversations
            WHERE length(trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g'))) BETWEEN 3 AND 500""")
 def clean_queries(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.clean_query_udf("text").alias("clean"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.query_column(F.col("text")).alias("clean"))
     return rows.where("clean is not null")
 
 

@@ -93,7 +93,7 @@ def _finish(answer: dict, most: int, page: bool) -> dict:
         return out | {"status": "UNSUPPORTED_CONTENT_TYPE", "message": "content type not supported"}
     if len(answer["raw"]) > most + most // 10 + 65_536:
         return out | {"status": "RESPONSE_TOO_LARGE", "message": "response body over limit"}
-    body, status = decoding.decode_status(answer["raw"], head.get("content-encoding"), most)
+    body, status = decoding.decode_body(answer["raw"], head.get("content-encoding"), most)
     return out | {"status": status, "body": body, "message": "ok" if status == "OK" else "body not usable"}
 
 

@@ -67,15 +67,32 @@ def test_links_resolve():
     assert urls.resolve_link(" b\n?x=1#f ", "https://e.com/a/") == ("https://e.com/a/b?x=1", "https://e.com/a/b?x=1", None)
 
 
-def test_clean_text():
-    assert text.clean_inline("  a ​ b\t\n é ") == "a b é"
-    assert text.clean_pre("a\r\n\tb\x07\r") == "a\n\tb\n"
-    assert text.clean_block("a  \n\n\n\nb\n") == "a\n\nb"
-    assert text.clean_plain_text("\n a \r\n\n\n\n\n\nb c\n") == " a\n\n\nb c"
-    assert text.clean_value(" ab  cd ", 3) == ("ab", True)
-    assert text.clean_value(" ​ ", 3) == (None, False)
-    assert text.clean_query("a\x00bc") is None
-    assert text.clean_query(" a \n b  c") == "a b c"
+CLEANED = [
+    (text.INLINE, "  a\u200b \u00a0b\t\n e\u0301 ", "a b \u00e9"), (text.VERBATIM, "a\r\n\tb\x07\r", "a\n\tb\n"), (text.BLOCK, "a  \n\n\n\nb\n", "a\n\nb"),
+    (text.PLAIN, "\n\u00a0a \r\n\n\n\n\n\nb\u00adc\n", " a\n\n\nbc"), (text.INLINE, "\u2003 x\x0by \x1f", "xy"), (text.VERBATIM, "\f\ufeff", ""), (text.PLAIN, "", ""),
+]
+
+
+def test_clean_text(spark):
+    for cleaner, raw, clean in CLEANED:
+        assert cleaner.text(raw) == clean
+    (row,) = spark.range(1).select(*(c.column(F.lit(raw)).alias(f"c{i}") for i, (c, raw, _) in enumerate(CLEANED))).collect()
+    assert list(row) == [clean for _, _, clean in CLEANED]
+    assert text.limited(" ab  cd ", 3) == ("ab", True)
+    assert text.limited(" \u200b ", 3) == (None, False)
+    queries = ["a\x00bc", " a \n b  c", "ab", "e\u0301" * 3, None, "x" * 501]
+    df = spark.createDataFrame([(i, q) for i, q in enumerate(queries)], "i int, q string").orderBy("i")
+    expected = [None, "a b c", None, "\u00e9" * 3, None, None]
+    assert [text.clean_query(q) for q in queries] == expected
+    assert [r.c for r in df.select(text.query_column(F.col("q")).alias("c")).collect()] == expected
+    (row,) = spark.range(1).select(text.limited_column(F.lit(" ab  cd "), 3).alias("a"), text.limited_column(F.lit(" \u200b "), 3).alias("b")).collect()
+    assert (tuple(row.a), tuple(row.b)) == (("ab", True), (None, False))
+
+
+@given(st.text(alphabet="a \t\n\r\f\u00a0\u200b\u0301e\x07\x1c\u2003", max_size=30))
+def test_inline_text_is_stable(value):
+    once = text.INLINE.text(value)
+    assert text.INLINE.text(once) == once and "  " not in once
 
 
 def test_text_expressions(spark):
@@ -142,13 +159,12 @@ def test_robots_ties_and_group_without_rules():
 def test_decoding():
     body = b"x" * 1000
     raw = zlib.compressobj(wbits=-15)
-    assert decoding.decode([body], None, 1000) == body
-    assert decoding.decode([gzip.compress(body)], "GZIP", 1000) == body
-    assert decoding.decode([zlib.compress(body)], "deflate", 1000) == body
-    assert decoding.decode([raw.compress(body) + raw.flush()], "deflate", 1000) == body
-    with pytest.raises(decoding.BodyTooLarge):
-        decoding.decode([gzip.compress(body)], "gzip", 999)
-    with pytest.raises(decoding.BodyDecodeError):
-        decoding.decode([gzip.compress(body)[:-9]], "gzip", 1000)
-    with pytest.raises(decoding.UnsupportedEncoding):
-        decoding.decode([body], "br", 1000)
+    assert decoding.decode([body], None, 1000) == (body, "OK")
+    assert decoding.decode([gzip.compress(body)], "GZIP", 1000) == (body, "OK")
+    assert decoding.decode([zlib.compress(body)], "deflate", 1000) == (body, "OK")
+    assert decoding.decode([raw.compress(body) + raw.flush()], "deflate", 1000) == (body, "OK")
+    assert decoding.decode([gzip.compress(body)], "gzip", 999) == (None, "RESPONSE_TOO_LARGE")
+    assert decoding.decode([gzip.compress(body)[:-9]], "gzip", 1000) == (None, "INVALID_RESPONSE")
+    assert decoding.decode([gzip.compress(body)[:7], gzip.compress(body)[7:] + b"tail"], "gzip", 1000) == (body, "OK")
+    assert decoding.decode([body], "br", 1000) == (None, "INVALID_RESPONSE")
+    assert decoding.decode_body(None, None, 1000) == (None, "INVALID_RESPONSE")
