@@ -1,6 +1,7 @@
 """Fetch results to extracted documents.
 
-Rows that cannot be parsed never reach Python: they are told apart first and joined after.
+One pass over the fetches: a body reaches the parser only if its row can be parsed; other rows go
+through with none. Workers hold a few bodies at a time, whatever the size of a batch.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from siftwell.functions import headers
 from siftwell.functions import text as tx
 from siftwell.functions.html import extract
+from siftwell.session import spread
 
 # Fixed values.
 HTML_TYPES = ("text/html", "application/xhtml+xml")
@@ -31,15 +33,19 @@ _ARROW = {
 }
 NOTHING = {
     "content_source": "NONE", "title": None, "title_source": "NONE", "text": "", "claimed_language": None, "language_source": "NONE", "links": [],
-    "claimed_metadata": [], "json_ld": [], "stats": [], "removed_chars": [], "links_dropped": [], "part_warnings": [], "partial": False, "failed": True,
+    "claimed_metadata": [], "json_ld": [], "stats": [], "removed_chars": [], "links_dropped": [], "part_warnings": [], "partial": False, "failed": False,
 }
+#: Bodies that a worker turns into Python strings at once.
+BODIES = 32
 
 
-def _parts(content: str, content_type: str, url: str, limits: dict | None) -> dict:
+def _parts(content: str | None, content_type: str, url: str, limits: dict | None) -> dict:
+    if content is None:
+        return NOTHING
     try:
         out = extract(content, content_type, url, limits)
     except Exception:  # noqa: BLE001  a page's failure is its status, whatever the page did
-        return NOTHING
+        return NOTHING | {"failed": True}
     metadata = out["metadata"]
     return {
         "content_source": out["content_source"],
@@ -69,43 +75,25 @@ def extract_documents(fetches: DataFrame, limits: dict | None = None) -> DataFra
     ok = F.col("status") == "OK"
     supported = F.coalesce(F.col("content_type").isin(*HTML_TYPES, "text/plain"), F.lit(False))
     reason = F.when(~ok, "NOT_FETCHED").when(~supported, "UNSUPPORTED").when(F.col("content").isNull(), "FAILED")
-    named = fetches.withColumn("_reason", reason).withColumnRenamed("status", "fetch_status")
+    named = spread(fetches).withColumn("_reason", reason).withColumnRenamed("status", "fetch_status")
     keep = [c for c in named.columns if c not in ("content", "title", "_reason")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.select(*keep).schema) + ", " + PARTS + ", _warned array<string>"
-    width = len(keep)
+    fit = F.col("_reason").isNull()
+    warned = F.when(fit, headers.charset_warnings(F.col("content"), F.col("charset"))).otherwise(F.array().cast("array<string>"))
+    inputs = named.select(*keep, "_reason", warned.alias("_warned"), F.when(fit, F.col("content")).alias("content"))
+    width = len(keep) + 2
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.schema[:width]) + ", " + PARTS
 
     def run(batches):
-        for batch in batches:
-            at = {n: i for i, n in enumerate(batch.schema.names)}
-            content, kind = batch.column(at["content"]).to_pylist(), batch.column(at["content_type"]).to_pylist()
-            final, asked = batch.column(at["final_url"]).to_pylist(), batch.column(at["requested_url"]).to_pylist()
-            rows = [_parts(c, k, f or a or "", limits) for c, k, f, a in zip(content, kind, final, asked, strict=True)]
-            columns = [pa.array([r[n] for r in rows], t) for n, t in _ARROW.items()]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(width)), *columns, batch.column(at["_warned"])], [*batch.schema.names[:width], *_ARROW, "_warned"]
-            )
-
-    warned = headers.charset_warnings(F.col("content"), F.col("charset"))
-    parsed = named.where("_reason is null").select(*keep, F.col("content"), warned.alias("_warned")).mapInArrow(run, schema)
-    rest = named.where("_reason is not null").select(
-        *keep,
-        F.lit("NONE").alias("content_source"),
-        F.lit(None).cast("string").alias("title"),
-        F.lit("NONE").alias("title_source"),
-        F.lit("").alias("text"),
-        F.lit(None).cast("string").alias("claimed_language"),
-        F.lit("NONE").alias("language_source"),
-        F.array().cast(LINK).alias("links"),
-        F.create_map().cast("map<string,string>").alias("claimed_metadata"),
-        F.array().cast("array<string>").alias("json_ld"),
-        *(F.create_map().cast("map<string,int>").alias(c) for c in ("stats", "removed_chars", "links_dropped")),
-        F.array().cast("array<string>").alias("part_warnings"),
-        F.lit(False).alias("partial"),
-        F.lit(False).alias("failed"),
-        F.array().cast("array<string>").alias("_warned"),
-        F.col("_reason"),
-    )
-    every = parsed.withColumn("_reason", F.lit(None).cast("string")).unionByName(rest)
+        for whole in batches:
+            at = {n: i for i, n in enumerate(whole.schema.names)}
+            for first in range(0, whole.num_rows, BODIES):
+                batch = whole.slice(first, BODIES)
+                content, kind, final, asked = (batch.column(at[c]).to_pylist() for c in ("content", "content_type", "final_url", "requested_url"))
+                rows = [_parts(c, k, f or a or "", limits) for c, k, f, a in zip(content, kind, final, asked, strict=True)]
+                columns = [pa.array([r[n] for r in rows], t) for n, t in _ARROW.items()]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(width)), *columns], [*whole.schema.names[:width], *_ARROW])
+
+    every = inputs.mapInArrow(run, schema)
     status = F.coalesce("_reason", F.when(F.col("failed"), "FAILED").when(F.col("partial"), "PARTIAL").when(F.col("text") == "", "EMPTY").otherwise("SUCCESS"))
     return every.select(
         *keep,

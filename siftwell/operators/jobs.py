@@ -55,11 +55,14 @@ def current_jobs(jobs: DataFrame) -> DataFrame:
 
 
 def idempotent_requests(requests: DataFrame) -> DataFrame:
-    """Requests with the job each one gets: the first of its key; ``conflict`` if it asks for something else."""
-    w = Window.partitionBy("key").orderBy("arrival")
+    """Requests with the job each one gets: the first of its key; ``conflict`` if it asks for something else.
+
+    The first request of each key is a partial aggregate that joins back, so a key with a third of
+    all requests needs no task of its own; requests without a key join nothing.
+    """
     ask = F.struct("query", "language", "country")
-    first = F.first(F.struct(F.col("id"), ask.alias("ask"))).over(w)
-    rows = requests.withColumn("_f", F.when(F.col("key").isNotNull(), first))
+    first = requests.where("key is not null").groupBy(F.col("key").alias("_key")).agg(F.min_by(F.struct("id", ask.alias("ask")), "arrival").alias("_f"))
+    rows = requests.join(first, F.col("key") == F.col("_key"), "left")
     same = F.col("_f.ask").eqNullSafe(ask)
     return rows.select(
         *requests.columns,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import urls
 from siftwell.operators import dedup
+from siftwell.session import once
 
 MAX_URLS = 30
 TEXT_BUDGET = 30_000_000
@@ -23,7 +24,8 @@ def state(fetched: Column, extracted: Column, started: Column) -> Column:
 def records(selection: DataFrame, fetches: DataFrame, documents: DataFrame, started: DataFrame | None = None, stop_reason: str | None = None) -> DataFrame:
     """One row per selected source (``job_id, position, result, providers, queries``)."""
     key = ["job_id", "position"]
-    f = fetches.select(*key, F.col("status").alias("fetch_status"), F.lit(True).alias("_f"))
+    more = [c for c in ("http_status", "timeout_kind") if c in fetches.columns]
+    f = fetches.select(*key, F.col("status").alias("fetch_status"), F.col("final_url").alias("final_url"), *more, F.lit(True).alias("_f"))
     d = documents.select(*key, "document_id", F.col("status").alias("document_status"), F.col("warnings").alias("document_warnings"), F.char_length("text").alias("text_chars"), F.lit(True).alias("_d"))
     rows = selection.join(f, key, "left").join(d, key, "left")
     if started is not None:
@@ -40,6 +42,8 @@ def records(selection: DataFrame, fetches: DataFrame, documents: DataFrame, star
         found.alias("state"),
         F.when(found != "EXTRACTED", F.lit(stop_reason)).alias("reason"),
         "fetch_status",
+        *(c if c in more else F.lit(None).cast(t).alias(c) for c, t in (("http_status", "int"), ("timeout_kind", "string"))),
+        "final_url",
         "document_id",
         "document_status",
         F.coalesce("document_warnings", F.array().cast("array<string>")).alias("document_warnings"),
@@ -71,16 +75,22 @@ def timeout_kind(requested_url: Column, final_url: Column, chain: Column, capped
     return F.when(away, "cross_host_redirect").when(capped, "deadline_capped").otherwise("other")
 
 
-def crawl_stats(recs: DataFrame, waits: DataFrame | None = None, not_selected: int = 0) -> DataFrame:
-    """The counters of a crawl stage per job, from ``records``; ``waits`` adds ``job_id, wait_ms``."""
-    s, fs = F.col("state"), F.col("fetch_status")
+def crawl_stats(recs: DataFrame, waits: DataFrame | None = None, not_selected: DataFrame | None = None, deadline_hit: DataFrame | None = None) -> DataFrame:
+    """The counters of a crawl stage per job, from ``records``.
+
+    ``waits`` (``job_id, wait_ms``: one row for each admitted fetch), ``not_selected`` (``job_id,
+    not_selected``) and ``deadline_hit`` (``job_id`` of the jobs that met it) add what records lack.
+    """
+    s, fs, kind = F.col("state"), F.col("fetch_status"), F.col("timeout_kind")
     base = recs.groupBy("job_id").agg(
         F.count(F.lit(1)).alias("selected"),
-        F.lit(not_selected).alias("not_selected"),
         F.count(fs).alias("fetched"),
         F.count_if(fs == "OK").alias("fetch_ok"),
         F.count_if(fs != "OK").alias("fetch_failed"),
         F.count_if(fs == "FETCH_TIMEOUT").alias("fetch_timeout"),
+        F.count_if(kind == "cross_host_redirect").alias("fetch_timeout_cross_host_redirect"),
+        F.count_if(kind == "deadline_capped").alias("fetch_timeout_deadline_capped"),
+        F.count_if(kind == "other").alias("fetch_timeout_other"),
         F.count("document_id").alias("extracted"),
         F.count_if(s == "NOT_RUN").alias("not_run"),
         F.count_if(s == "INTERRUPTED").alias("interrupted"),
@@ -89,10 +99,28 @@ def crawl_stats(recs: DataFrame, waits: DataFrame | None = None, not_selected: i
     )
     base = base.join(_histogram(recs.where(fs.isNotNull()), "fetch_status", "fetch_status_counts"), "job_id", "left")
     base = base.join(_histogram(recs.where("document_status is not null"), "document_status", "extraction_status_counts"), "job_id", "left")
+    none = F.create_map().cast("map<string,int>")
+    base = base.withColumns({c: F.coalesce(c, none) for c in ("fetch_status_counts", "extraction_status_counts")})
+    numbers = {"admitted": F.count(F.lit(1)), "admission_wait_ms_total": F.sum("wait_ms"), "admission_wait_ms_max": F.max("wait_ms")}
     if waits is not None:
-        w = waits.groupBy("job_id").agg(F.count(F.lit(1)).alias("admitted"), F.sum("wait_ms").alias("admission_wait_ms_total"), F.max("wait_ms").alias("admission_wait_ms_max"))
-        base = base.join(w, "job_id", "left")
-    return base
+        base = base.join(waits.groupBy("job_id").agg(*(v.alias(k) for k, v in numbers.items())), "job_id", "left")
+    else:
+        base = base.withColumns(dict.fromkeys(numbers, F.lit(0)))
+    base = base.join(not_selected, "job_id", "left") if not_selected is not None else base.withColumn("not_selected", F.lit(0))
+    late = deadline_hit.select("job_id").distinct().withColumn("deadline_hit", F.lit(True)) if deadline_hit is not None else None
+    base = base.join(late, "job_id", "left") if late is not None else base.withColumn("deadline_hit", F.lit(False))
+    return base.withColumns({**{c: F.coalesce(c, F.lit(0)).cast("long") for c in (*numbers, "not_selected")}, "deadline_hit": F.coalesce("deadline_hit", F.lit(False))})
+
+
+def pipeline_counts(stats: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """What a job's progress shows of its crawl: ``urls_total, urls_done, fetch_failed, documents, groups``."""
+    counted = stats.select(
+        "job_id", F.col("selected").alias("urls_total"), F.col("fetched").alias("urls_done"), "fetch_failed", F.col("extracted").alias("documents")
+    )
+    if found is None:
+        return counted.withColumn("groups", F.lit(0).cast("long"))
+    per_job = found.groupBy("job_id").agg(F.count(F.lit(1)).alias("groups"))
+    return counted.join(per_job, "job_id", "left").na.fill(0, ["groups"])
 
 
 def usable(documents: DataFrame) -> DataFrame:
@@ -114,6 +142,21 @@ def source_views(recs: DataFrame, documents: DataFrame) -> DataFrame:
     return recs.join(keys, ["job_id", "position"], "left").withColumn("group_keys", F.coalesce("group_keys", empty))
 
 
+def group_views(documents: DataFrame) -> DataFrame:
+    """Groups of each job's documents as source positions.
+
+    Grouping numbers the documents it is given; a job's sources without a document leave gaps, so
+    members are mapped back by a join on that number.
+    """
+    dense = dense_positions(documents)
+    places = dense.select("job_id", "dense", F.col("position").alias("source"))
+    found = dedup.groups(dense.withColumn("position", F.col("dense")), ["job_id"])
+    members = found.select("job_id", "level", "key", "warnings", F.explode("members").alias("dense")).join(places, ["job_id", "dense"])
+    return members.groupBy("job_id", "level", "key").agg(
+        F.min("source").alias("representative"), F.array_sort(F.collect_list("source")).alias("members"), F.first("warnings").alias("warnings")
+    )
+
+
 def results_json(recs: DataFrame) -> DataFrame:
     """One JSON document of sources per job."""
     fields = [c for c in recs.columns if c != "job_id"]
@@ -121,10 +164,16 @@ def results_json(recs: DataFrame) -> DataFrame:
 
 
 def run_replay(selection: DataFrame, fetches: DataFrame, limits: dict | None = None) -> dict[str, DataFrame]:
-    """Selection and recorded fetches to documents, records and groups: one lazy plan each."""
+    """Selection and recorded fetches to documents, records and groups.
+
+    Documents are extracted once; the other tables are lazy plans over them.
+    """
     from siftwell.operators.extract import extract_documents
 
     wanted = fetches.join(selection.select("job_id", "position"), ["job_id", "position"], "left_semi")
-    documents = extract_documents(wanted, limits)
+    documents = once(extract_documents(wanted, limits))
     recs = records(selection, wanted, documents)
-    return {"documents": documents, "records": recs, "groups": dedup.groups(documents, ["job_id"]), "views": source_views(recs, documents)}
+    return {
+        "documents": documents, "records": recs, "stats": crawl_stats(recs), "groups": dedup.groups(documents, ["job_id"]),
+        "views": source_views(recs, documents), "group_views": group_views(documents), "exclusions": dedup.exclusions(documents, ["job_id"]), "errors": dedup.errors(documents, ["job_id"]),
+    }

@@ -229,12 +229,6 @@ def redact(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.redact_text(line).alias("line"))
 
 
-@query(r"""SELECT page_id, lower(regexp_extract(html, '<html lang="([^"]*)"', 1)) AS language FROM pages""")
-def claimed_language(spark, sf_dir):
-    raw = F.regexp_extract("html", '<html lang="([^"]*)"', 1)
-    return table(spark, sf_dir, "pages").select("page_id", headers.claimed_language(raw).alias("language"))
-
-
 @query(r"""WITH h AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Text/HTML; charset="UTF-8"' WHEN 1 THEN 'text/plain' WHEN 2 THEN 'bad type' ELSE 'application/xhtml+xml;charset=latin1;charset=l1' END AS v,
                           CASE event_id % 3 WHEN 0 THEN '7.5' WHEN 1 THEN '-2' ELSE 'soon' END AS r FROM events)
            SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'text/html' WHEN 1 THEN 'text/plain' WHEN 3 THEN 'application/xhtml+xml' END AS media,
@@ -409,8 +403,8 @@ def dedup_l3_groups(spark, sf_dir):
         F.col("doc_id").alias("position"), F.lit(None).cast("string").alias("requested_url"), F.lit(None).cast("string").alias("final_url"), F.lit("SUCCESS").alias("status"),
         F.lit("OK").alias("fetch_status"), F.lit(None).cast("string").alias("content_sha256"), "text", F.when(F.col("text") != "", sha).alias("text_sha256"),
     )
-    found = dedup.groups(rows).where("level = 'L3'")
-    return found.select("level", "key", "representative", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"), F.size("members").cast("long").alias("n"))
+    found = dedup.groups(rows, levels=("L3",), sources=False)
+    return found.select("level", "key", "representative", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"), "n")
 
 
 @query(f"""WITH {_DOCUMENTS_SQL}
@@ -426,6 +420,14 @@ def dedup_groups(spark, sf_dir):
     return _flat_groups(dedup.groups(_documents(spark, sf_dir)))
 
 
+@query(f"""WITH {_DOCUMENTS_SQL}, j AS (SELECT *, 'j' || (position % 50) AS job_id FROM levels WHERE key IS NOT NULL), g AS (SELECT job_id, level, key, min(position) AS representative, count(*) AS n FROM j GROUP BY 1, 2, 3 HAVING count(*) > 1)
+           SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY level, representative) - 1 AS ord FROM g""")
+def dedup_order(spark, sf_dir):
+    """Groups of each of fifty jobs in their order."""
+    d = _documents(spark, sf_dir).withColumn("job_id", F.concat(F.lit("j"), (F.col("position") % 50).cast("string")))
+    return dedup.ordered(dedup.groups(d, ["job_id"]), ["job_id"]).select("job_id", "level", "key", "representative", "n", "ord")
+
+
 @query(f"WITH {_DOCUMENTS_SQL} SELECT level, key, position, min(position) OVER (PARTITION BY level, key) AS representative FROM members")
 def dedup_members(spark, sf_dir):
     return dedup.group_members(_documents(spark, sf_dir))
@@ -468,16 +470,22 @@ def response_rules(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", status.alias("status"))
 
 
-@query("""WITH a AS (SELECT user_id AS crawl_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS attempt, event_id FROM events QUALIFY attempt <= 1 + user_id % 2),
+@query("""WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events),
+          a AS (SELECT 'c' || user_id || '.' || (i // 2) AS crawl_id, i % 2 + 1 AS attempt, event_id FROM n),
           l AS (SELECT crawl_id, max(attempt) AS attempts, arg_max(event_id, attempt) AS e FROM a GROUP BY crawl_id)
-          SELECT 'c' || crawl_id AS crawl_id, CASE WHEN attempts > 1 AND e % 4 IN (0, 1) THEN 'RETRY_EXHAUSTED' WHEN e % 4 = 0 THEN 'CONNECTION_ERROR' WHEN e % 4 = 1 THEN 'HTTP_ERROR' WHEN e % 4 = 2 THEN 'OK' ELSE 'DNS_ERROR' END AS status,
+          SELECT crawl_id, CASE WHEN attempts > 1 AND e % 4 IN (0, 1) THEN 'RETRY_EXHAUSTED' WHEN e % 4 = 0 THEN 'CONNECTION_ERROR' WHEN e % 4 = 1 THEN 'HTTP_ERROR' WHEN e % 4 = 2 THEN 'OK' ELSE 'DNS_ERROR' END AS status,
                  attempts, CASE WHEN attempts > 1 AND e % 4 = 0 THEN 'CONNECTION_ERROR' WHEN attempts > 1 AND e % 4 = 1 THEN 'HTTP_ERROR' END AS cause FROM l""")
 def retry_outcome(spark, sf_dir):
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    """Each user's events in turn are the attempts of fetches, two to a fetch."""
+    i = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
     k = F.col("event_id") % 4
-    rows = table(spark, sf_dir, "events").withColumn("attempt", n).where(F.col("attempt") <= 1 + F.col("user_id") % 2)
     status = F.when(k == 0, "CONNECTION_ERROR").when(k == 1, "HTTP_ERROR").when(k == 2, "OK").otherwise("DNS_ERROR")
-    rows = rows.select(F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("crawl_id"), "attempt", status.alias("status"), F.when(k == 1, 503).alias("http_status"))
+    rows = table(spark, sf_dir, "events").withColumn("i", i).select(
+        F.concat(F.lit("c"), F.col("user_id").cast("string"), F.lit("."), F.floor(F.col("i") / 2).cast("string")).alias("crawl_id"),
+        (F.col("i") % 2 + 1).alias("attempt"),
+        status.alias("status"),
+        F.when(k == 1, 503).alias("http_status"),
+    )
     return crawl.final_attempts(rows).select("crawl_id", "status", "attempts", "cause")
 
 
@@ -532,61 +540,191 @@ def idempotency(spark, sf_dir):
 
 
 def _replay(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Pages as a selection of twenty jobs and as recorded fetches, some failed, some missing."""
+    """Pages as a selection of twenty jobs and as recorded fetches: some failed, some timed out, some missing."""
     pages = table(spark, sf_dir, "pages")
+    n = F.col("page_id") % 10
     job = F.concat(F.lit("j"), (F.col("page_id") % 20).cast("string"))
     selection = pages.select(
         job.alias("job_id"), F.col("page_id").cast("int").alias("position"), F.struct(F.col("url").alias("url"), F.col("url").alias("original_url")).alias("result"),
         F.array(F.lit("view")).alias("providers"), F.array(F.lit("q")).alias("queries"),
     )
-    fetched = extract.fetches_from_pages(pages).withColumn("job_id", F.concat(F.lit("j"), (F.col("position") % 20).cast("string"))).where("position % 10 <> 7")
-    fetched = fetched.withColumns({"status": F.when(F.col("position") % 10 == 3, "HTTP_ERROR").otherwise("OK")})
+    fetched = extract.fetches_from_pages(pages.where(n != 7)).withColumn("job_id", F.concat(F.lit("j"), (F.col("position") % 20).cast("string")))
+    k = F.col("position") % 10
+    hop = F.struct(F.col("requested_url").alias("url"), F.lit(302).alias("http_status"), F.when(k == 5, "https://elsewhere.example/").otherwise("/next").alias("location"), F.lit(None).cast("string").alias("connected_ip"))
+    late = sources.timeout_kind(F.col("requested_url"), F.lit(None).cast("string"), F.array(hop), F.col("position") % 3 == 0)
+    fetched = fetched.withColumns({"status": F.when(k == 3, "HTTP_ERROR").when(k.isin(5, 6), "FETCH_TIMEOUT").otherwise("OK"), "http_status": F.when(k == 3, 404).when(~k.isin(5, 6), 200)})
+    fetched = fetched.withColumn("timeout_kind", F.when(F.col("status") == "FETCH_TIMEOUT", late))
     fetched = fetched.withColumns({c: F.when(F.col("status") == "OK", F.col(c)) for c in ("content", "content_sha256")})
     return selection, fetched
 
 
-@query("""WITH p AS (SELECT 'j' || (page_id % 20) AS job_id, page_id % 10 AS k FROM pages)
-          SELECT job_id, count(*) AS selected, count(*) FILTER (k <> 7) AS fetched, count(*) FILTER (k NOT IN (3, 7)) AS fetch_ok, count(*) FILTER (k = 3) AS fetch_failed,
-                 count(*) FILTER (k <> 7) AS extracted, count(*) FILTER (k = 7) AS not_run FROM p GROUP BY job_id""")
-def crawl_stats(spark, sf_dir):
-    selection, fetched = _replay(spark, sf_dir)
-    documents = extract.extract_documents(fetched)
-    stats = sources.crawl_stats(sources.records(selection, fetched, documents))
-    return stats.select("job_id", "selected", "fetched", "fetch_ok", "fetch_failed", "extracted", "not_run")
+def _replay_sql() -> str:
+    return f"""{_URL_SQL}, {_PAGES_SQL},
+    recorded AS (
+        SELECT 'j' || (r.position % 20) AS job_id, r.position, r.url, r.text, r.html, u.normalized_url, r.position % 10 AS k,
+               CASE r.position % 10 WHEN 7 THEN NULL WHEN 3 THEN 'HTTP_ERROR' WHEN 5 THEN 'FETCH_TIMEOUT' WHEN 6 THEN 'FETCH_TIMEOUT' ELSE 'OK' END AS fetch_status,
+               CASE WHEN r.position % 10 = 5 THEN 'cross_host_redirect' WHEN r.position % 10 = 6 AND r.position % 3 = 0 THEN 'deadline_capped' WHEN r.position % 10 = 6 THEN 'other' END AS timeout_kind
+        FROM rendered r JOIN urls u ON u.page_id = r.position
+    ),
+    leveled AS (
+        SELECT job_id, position, 'L1' AS level, 'L1:url:' || normalized_url AS key FROM recorded WHERE k <> 7
+        UNION ALL SELECT job_id, position, 'L2', 'L2:sha256:' || sha256(html) FROM recorded WHERE fetch_status = 'OK'
+        UNION ALL SELECT job_id, position, 'L3', 'L3:sha256:' || sha256(text) FROM recorded WHERE fetch_status = 'OK' AND text <> ''
+    ),
+    grouped AS (SELECT * FROM leveled QUALIFY count(*) OVER (PARTITION BY job_id, level, key) > 1)"""
 
 
-@query("""SELECT 'j' || (page_id % 20) AS job_id, page_id AS position, CASE WHEN page_id % 10 = 7 THEN 'NOT_RUN' ELSE 'EXTRACTED' END AS state,
-                 CASE WHEN page_id % 10 = 3 THEN 'NOT_FETCHED' WHEN page_id % 10 <> 7 THEN 'SUCCESS' END AS document_status FROM pages""")
-def source_records(spark, sf_dir):
-    selection, fetched = _replay(spark, sf_dir)
-    out = sources.run_replay(selection, fetched)
-    return out["views"].select("job_id", "position", "state", "document_status")
+def _map_text(column: str) -> Column:
+    """A map as text, by key."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(column)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+
+
+# -- extraction: SQL for the shape that the pages of these tables have -------------------------------
+
+
+def _plain_sql(x: str) -> str:
+    """Character references of the pages, decoded."""
+    for name, character in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("amp", "&")):
+        x = f"regexp_replace({x}, '&{name};?', '{character}', 'g')"
+    return x
+
+
+def _line_sql(x: str) -> str:
+    """Text on one line."""
+    hidden = r"[\x00-\x08\x0B\x0E-\x1F\x7F-\x{9F}\x{AD}\x{200B}\x{2060}\x{FEFF}]"
+    return rf"trim(nfc_normalize(regexp_replace(regexp_replace({x}, '{hidden}', '', 'g'), '[ \t\n\f\r\x{{A0}}\x{{2007}}\x{{202F}}]+', ' ', 'g')))"
+
+
+def _chars_sql(x: str) -> str:
+    """Characters of markup's text."""
+    return f"length({_plain_sql(f"regexp_replace({x}, '<[^>]*>', '', 'g')")})"
+
 
+# The article if it has 200 characters or a quarter of the body's text, else the body without its furniture.
+# Furniture with half of the text or more stays.
+_PAGES_SQL = rf"""
+    part AS (
+        SELECT page_id AS position, url, html, regexp_extract(html, '(?s)<body>(.*)$', 1) AS body, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS article,
+               regexp_extract(html, '(?s)<nav>(.*)</nav>', 1) AS nav, regexp_extract(html, '(?s)<footer>(.*)</footer>', 1) AS footer,
+               regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) AS ad
+        FROM pages
+    ),
+    measured AS (
+        SELECT *, {_chars_sql("article")} AS a, {_chars_sql("body")} AS b, {_chars_sql("nav")} AS n, {_chars_sql("footer")} AS f, '<p>' || {_line_sql(_plain_sql("regexp_extract(article, '(?s)<h1>(.*?)</h1>', 1)"))} AS h1
+        FROM part
+    ),
+    chosen AS (
+        SELECT *, CASE WHEN a > 0 AND (a >= 200 OR a >= 0.25 * b) THEN 'ARTICLE' ELSE 'BODY' END AS content_source,
+               CASE WHEN h1 = '<p>' THEN '' ELSE replace(h1, '<p>', '<p># ') END || regexp_replace(article, '(?s)^.*?</h1>', '<p>') AS main
+        FROM measured
+    ),
+    blocks AS (
+        SELECT *, content_source = 'BODY' AND 2 * n >= b AS with_nav, content_source = 'BODY' AND 2 * f >= b AS with_footer,
+               list_transform(string_split_regex(CASE content_source WHEN 'BODY' THEN ad || '<p>' || main || CASE WHEN 2 * f >= b THEN '<p>' || footer ELSE '' END ELSE main END, '</?p>'),
+                   lambda x: trim(array_to_string(list_transform(string_split(x, '<br>'), lambda y: {_line_sql(_plain_sql("regexp_replace(y, '<[^>]*>', '', 'g')"))}), chr(10)), chr(10))) AS found,
+               list_transform(regexp_extract_all(nav, '(?s)<a [^>]*>(.*?)</a>', 1), lambda x: '- ' || {_line_sql(_plain_sql("x"))}) AS items
+        FROM chosen
+    ),
+    texts AS (
+        SELECT *, array_to_string(list_filter(list_concat(CASE WHEN with_nav THEN [array_to_string(items, chr(10))] ELSE [] END, found), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM blocks
+    ),
+    rendered AS (
+        SELECT position, url, html, content_source, text, {_line_sql(_plain_sql("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"))} AS title,
+               lower(regexp_extract(html, '<html lang="([^"]*)"', 1)) AS claimed_language,
+               concat_ws(',', CASE WHEN content_source = 'BODY' OR a < 0.25 * b THEN 'LOW_CONFIDENCE_MAIN_CONTENT' END, CASE WHEN with_nav OR with_footer THEN 'BOILERPLATE_GUARD' END,
+                              CASE WHEN text <> '' AND length(text) < 200 THEN 'THIN_CONTENT' END) AS warnings,
+               CASE content_source WHEN 'BODY' THEN CASE WHEN with_nav THEN 0 ELSE n END + CASE WHEN with_footer THEN 0 ELSE f END ELSE 0 END AS furniture
+        FROM texts
+    )"""
 
-# -- extraction: beyond SQL as a whole, with SQL for the parts that are regular here ------------------
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_documents(extract.fetches_from_pages(table(spark, sf_dir, "pages")))
 
-@query()
+
+@query(rf"""WITH {_PAGES_SQL}
+            SELECT position, CASE WHEN text = '' THEN 'EMPTY' ELSE 'SUCCESS' END AS status, warnings, content_source, title, 'TITLE_TAG' AS title_source, text, length(text) AS char_count,
+                   len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')) AS word_count, CASE WHEN text <> '' THEN sha256(text) END AS text_sha256, claimed_language FROM rendered""")
 def extract_pages(spark, sf_dir):
-    documents = extract.extract_documents(extract.fetches_from_pages(table(spark, sf_dir, "pages")))
-    return documents.select(
+    return _pages(spark, sf_dir).select(
         "position", "status", F.array_join("warnings", ",").alias("warnings"), "content_source", "title", "title_source", "text", "char_count", "word_count", "text_sha256", "claimed_language"
     )
 
 
-@query(r"""SELECT page_id AS position, 'TITLE_TAG' AS title_source, lower(regexp_extract(html, '<html lang="([^"]*)"', 1)) AS claimed_language, 'ARTICLE' AS content_source FROM pages""")
+@query(f"WITH {_PAGES_SQL} SELECT position, CASE WHEN title <> '' THEN 'TITLE_TAG' ELSE 'H1' END AS title_source, claimed_language, content_source, CAST(furniture AS INT) AS boilerplate_chars FROM rendered")
 def page_facts(spark, sf_dir):
-    documents = extract.extract_documents(extract.fetches_from_pages(table(spark, sf_dir, "pages")))
-    return documents.select("position", "title_source", "claimed_language", "content_source")
+    removed = F.coalesce(F.try_element_at("removed_chars", F.lit("boilerplate")), F.lit(0)).alias("boilerplate_chars")
+    return _pages(spark, sf_dir).select("position", "title_source", "claimed_language", "content_source", removed)
 
 
-@query(r"""WITH raw AS (SELECT page_id AS position, url, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS href FROM pages)
-           SELECT position, count(DISTINCT href) AS links FROM raw GROUP BY position""")
+@query(r"""WITH raw AS (SELECT page_id AS position, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin, string_split(html, '<article>')[1] AS head, string_split(html, '<article>')[2] AS tail FROM pages),
+                a AS (SELECT position, origin, unnest(regexp_extract_all(head || tail, '(?s)<a href="[^"]*">.*?</a>')) AS tag, generate_subscripts(regexp_extract_all(head || tail, '(?s)<a href="[^"]*">.*?</a>'), 1) AS i FROM raw),
+                l AS (SELECT position, i, origin || regexp_extract(tag, 'href="([^"]*)"', 1) AS url, regexp_extract(tag, '>(.*)</a>', 1) AS text FROM a),
+                d AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY position, url ORDER BY i) = 1)
+           SELECT position, CAST(row_number() OVER (PARTITION BY position ORDER BY i) - 1 AS INT) AS ord, url, text FROM d""")
 def link_table(spark, sf_dir):
-    documents = extract.extract_documents(extract.fetches_from_pages(table(spark, sf_dir, "pages")))
-    return extract.links(documents).groupBy("position").agg(F.count(F.lit(1)).alias("links"))
+    return extract.links(_pages(spark, sf_dir)).select("position", "ord", "url", "text")
 
 
-@query()
+@query("""SELECT page_id AS position, '{"declared_charset":"' || regexp_extract(html, '<meta charset="([^"]*)"', 1) || '"}' AS metadata FROM pages""")
 def page_metadata(spark, sf_dir):
-    return extract.metadata_json(extract.extract_documents(extract.fetches_from_pages(table(spark, sf_dir, "pages"))))
+    return extract.metadata_json(_pages(spark, sf_dir))
+
+
+@query(f"WITH {_PAGES_SQL} SELECT position AS page_id, claimed_language AS language, 'HTML_LANG' AS language_source FROM rendered")
+def claimed_language(spark, sf_dir):
+    return _pages(spark, sf_dir).select(F.col("position").alias("page_id"), F.col("claimed_language").alias("language"), "language_source")
+
+
+# -- recorded jobs: counters, records and groups over extracted pages ----------------------------------
+
+
+@query(f"""WITH {_replay_sql()}, h AS (SELECT job_id, fetch_status, count(*) AS n FROM recorded WHERE fetch_status IS NOT NULL GROUP BY 1, 2),
+           e AS (SELECT job_id, CASE WHEN fetch_status <> 'OK' THEN 'NOT_FETCHED' WHEN text = '' THEN 'EMPTY' ELSE 'SUCCESS' END AS s, count(*) AS n FROM recorded WHERE k <> 7 GROUP BY 1, 2),
+           w AS (SELECT job_id, count(*) AS admitted, sum(position * 7 % 100) AS total, max(position * 7 % 100) AS longest FROM recorded WHERE k NOT IN (7, 9) GROUP BY job_id)
+           SELECT r.job_id, count(*) AS selected, CAST(replace(r.job_id, 'j', '') AS BIGINT) AS not_selected, count(fetch_status) AS fetched, count(*) FILTER (fetch_status = 'OK') AS fetch_ok,
+                  count(*) FILTER (fetch_status <> 'OK') AS fetch_failed, count(*) FILTER (fetch_status = 'FETCH_TIMEOUT') AS fetch_timeout,
+                  count(*) FILTER (timeout_kind = 'cross_host_redirect') AS fetch_timeout_cross_host_redirect, count(*) FILTER (timeout_kind = 'deadline_capped') AS fetch_timeout_deadline_capped,
+                  count(*) FILTER (timeout_kind = 'other') AS fetch_timeout_other, count(*) FILTER (k <> 7) AS extracted, count(*) FILTER (k = 7) AS not_run, CAST(0 AS BIGINT) AS interrupted,
+                  CAST(0 AS BIGINT) AS fetched_not_extracted, CAST(sum(CASE WHEN fetch_status = 'OK' THEN length(text) ELSE 0 END) AS BIGINT) AS text_chars,
+                  coalesce((SELECT string_agg(fetch_status || '=' || n, ',' ORDER BY fetch_status) FROM h WHERE h.job_id = r.job_id), '') AS fetch_status_counts,
+                  coalesce((SELECT string_agg(s || '=' || n, ',' ORDER BY s) FROM e WHERE e.job_id = r.job_id), '') AS extraction_status_counts,
+                  coalesce(any_value(admitted), 0) AS admitted, CAST(coalesce(any_value(total), 0) AS BIGINT) AS admission_wait_ms_total, coalesce(any_value(longest), 0) AS admission_wait_ms_max,
+                  CAST(replace(r.job_id, 'j', '') AS INT) % 2 = 1 AS deadline_hit
+           FROM recorded r LEFT JOIN w USING (job_id) GROUP BY r.job_id""")
+def crawl_stats(spark, sf_dir):
+    selection, fetched = _replay(spark, sf_dir)
+    recs = sources.run_replay(selection, fetched)["records"]
+    number = F.replace("job_id", F.lit("j"), F.lit("")).cast("long")
+    waits = fetched.where("position % 10 <> 9").select("job_id", (F.col("position").cast("long") * 7 % 100).alias("wait_ms"))
+    jobs_ = selection.select("job_id").distinct()
+    stats = sources.crawl_stats(recs, waits, jobs_.select("job_id", number.alias("not_selected")), jobs_.where(number % 2 == 1))
+    return stats.withColumns({c: _map_text(c) for c in ("fetch_status_counts", "extraction_status_counts")})
+
+
+@query(f"""WITH {_replay_sql()}, g AS (SELECT job_id, position, string_agg(level || '=' || key, ',' ORDER BY level) AS group_keys FROM grouped GROUP BY 1, 2)
+           SELECT job_id, position, url, CASE WHEN k = 7 THEN 'NOT_RUN' ELSE 'EXTRACTED' END AS state, fetch_status, CASE WHEN k = 3 THEN 404 WHEN fetch_status = 'OK' THEN 200 END AS http_status,
+                  CASE WHEN k = 7 THEN NULL WHEN fetch_status <> 'OK' THEN 'NOT_FETCHED' WHEN text = '' THEN 'EMPTY' ELSE 'SUCCESS' END AS document_status, timeout_kind,
+                  CAST(CASE WHEN fetch_status = 'OK' THEN length(text) ELSE 0 END AS INT) AS text_chars, coalesce(group_keys, '') AS group_keys
+           FROM recorded LEFT JOIN g USING (job_id, position)""")
+def source_records(spark, sf_dir):
+    selection, fetched = _replay(spark, sf_dir)
+    views = sources.run_replay(selection, fetched)["views"]
+    return views.select("job_id", "position", "url", "state", "fetch_status", "http_status", "document_status", "timeout_kind", "text_chars", _map_text("group_keys").alias("group_keys"))
+
+
+@query(f"""WITH {_DOCUMENTS_SQL}, j AS (SELECT 'j' || (position % 50) AS job_id, * FROM levels WHERE key IS NOT NULL AND position // 50 % 7 <> 3)
+           SELECT job_id, level, key, min(position) AS representative, string_agg(position, ',' ORDER BY position) AS members FROM j GROUP BY 1, 2, 3 HAVING count(*) > 1""")
+def group_views(spark, sf_dir):
+    """Groups as source positions, though some sources of a job have no document."""
+    d = _documents(spark, sf_dir).withColumn("job_id", F.concat(F.lit("j"), (F.col("position") % 50).cast("string"))).where("position div 50 % 7 <> 3")
+    found = sources.group_views(d)
+    return found.select("job_id", "level", "key", "representative", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"))
+
+
+@query(f"""WITH {_replay_sql()}, s AS (SELECT job_id, count(*) AS urls_total, count(fetch_status) AS urls_done, count(*) FILTER (fetch_status <> 'OK') AS fetch_failed, count(fetch_status) AS documents FROM recorded GROUP BY 1),
+           n AS (SELECT job_id, count(DISTINCT level || key) AS groups FROM grouped GROUP BY 1)
+           SELECT s.*, coalesce(groups, 0) AS groups FROM s LEFT JOIN n USING (job_id)""")
+def pipeline_counts(spark, sf_dir):
+    run = sources.run_replay(*_replay(spark, sf_dir))
+    return sources.pipeline_counts(run["stats"], run["groups"])
