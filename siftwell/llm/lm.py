@@ -1,25 +1,34 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, scored from mapped arrays.
+"""Interpolated modified Kneser-Ney n-gram model: counted in Spark, scored from mapped arrays.
 
-Counting. Words are 48-bit hashes. Each task reduces its texts to distinct bigrams with counts and
-packs them as one binary row per bucket, so the shuffle moves about seven bytes a distinct bigram.
-A bucket holds whole contexts, which makes context totals local; a context with more than its
-share of all tokens is dealt over several buckets by its next word, and only such contexts are
-merged again. Each bucket is written to the shared folder as sorted arrays: word counts and
-continuation counts, context statistics, bigram keys and counts.
+Counting. Words are 48-bit hashes. Each task reduces its texts to distinct n-grams with counts and
+packs them as one binary row per bucket, so the shuffle moves few bytes a distinct n-gram. A
+bucket holds whole contexts, which makes context totals local, and is written to the shared folder
+as sorted arrays: n-gram keys and counts, contexts and their statistics. What it holds is passed
+on to the next lower order as continuation counts, down to single words.
 
-Scoring. Workers memory-map the arrays and look up each slice's distinct words and bigrams by
-binary search. Nothing of the model is broadcast but discounts, totals and heavy contexts, of
-which there can be at most ``4 * buckets``.
+Buckets grow with the input, rows in proportion to it: a task deals to at most ``1 << FAN`` buckets
+at a time, and beyond that rows are merged and dealt again, ``FAN`` bits deeper each time.
 
-The order is two: a trigram's counts and arrays would take about six times the input on disk.
+A context of words that each occur more than ``OFTEN`` times (the start of a text is one) is dealt
+over several buckets by its next word; the parts of its statistics meet in its home bucket. The
+list of such words is a sorted file; the driver sees only sums.
+
+Scoring. Workers memory-map the arrays and look up each slice's distinct n-grams by binary search.
+Nothing of the model is broadcast but discounts and totals.
+
+``order`` is a parameter. The query uses two: the figures of three are in the README.
+
+Limits. Two words of one 48-bit hash count as one: of ten million distinct words about 0.2 pairs.
+The start is ``order - 1`` context words. Every order below the highest counts distinct contexts.
 
 Defined cases: a null text is empty and scores its end alone; repeated rows are rows; with no
-training rows every word is unknown and the base is uniform; a null id is trained on. Columns
-besides ``doc_id`` and ``text`` are ignored.
+training rows every word is unknown and the base is uniform; a null id is trained on; texts of any
+length are read in whole. Columns besides ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.shared import carried, input_bytes, map_array, materialize, put_array, shared_folder, small_batches
+from siftwell.llm.shared import carried, input_bytes, map_array, put_array, shared_folder, small_batches
 from siftwell.llm.tokens import STEP, hash_words, mix, slices, text_bytes
 
 LOW = np.uint64((1 << 48) - 1)
@@ -36,8 +45,14 @@ START = np.uint64(2)
 BUCKET_BYTES = 8 << 20
 #: Text bytes that a worker counts at once.
 SLICE = 8 << 20
-# Words per bucket that the driver looks at to find heavy contexts.
-SEEN_PER_BUCKET = 256
+#: Occurrences beyond which a word's contexts are dealt over several buckets: a fifth of a bucket's tokens.
+OFTEN = 1 << 18
+#: Bits of a bucket number that one shuffle deals by.
+FAN = 11
+#: Entries that a task holds when it deals rows again.
+HELD = 1 << 20
+
+BLOB = "bucket long, n int, data binary"
 
 
 def _sequences(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -51,31 +66,32 @@ def _sequences(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, words.bounds + np.arange(n + 1)
 
 
-def _contexts(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The token before each token; the start at the head of a text."""
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[bounds[:-1]] = START
-    return before
+def _before(tokens: np.ndarray, bounds: np.ndarray, most: int) -> list[np.ndarray]:
+    """The ``most`` tokens before each token, oldest first; the start where the text begins."""
+    out, last = [], tokens
+    for _ in range(most):
+        shifted = np.empty_like(last)
+        shifted[1:] = last[:-1]
+        shifted[bounds[:-1]] = START
+        out.insert(0, shifted)
+        last = shifted
+    return out
 
 
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(h) >> np.uint64(33)).astype(np.int64) % buckets
+def _context(words: list[np.ndarray]) -> np.ndarray:
+    """A hash of a context; a context of one word is that word."""
+    out = words[0]
+    for w in words[1:]:
+        out = mix(out * STEP + w)
+    return out
 
 
-def _pair_bucket(v: np.ndarray, w: np.ndarray, model: Layout) -> np.ndarray:
-    """The bucket of a bigram: its context's, or for a heavy context one of a few from there on."""
-    out = _bucket(v, model.buckets)
-    if len(model.heavy):
-        at = np.minimum(np.searchsorted(model.heavy, v), len(model.heavy) - 1)
-        hit = np.flatnonzero(model.heavy[at] == v)
-        spread = model.spread[at[hit]]
-        out[hit] = (out[hit] + (mix(w[hit]) >> np.uint64(40)).astype(np.int64) % spread) % model.buckets
-    return out
+def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(h) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
 
-def _pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(v * STEP + w)
+def _gram_key(context: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(context * STEP + w)
 
 
 def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,62 +111,164 @@ def _unpack(raw, n: int, at: int = 0) -> np.ndarray:
     return (high << np.uint64(16)) | np.frombuffer(raw, np.uint16, n, at + 4 * n)
 
 
-def _per_bucket(bucket: np.ndarray, buckets: int):
-    """(bucket, slice) of a sorted bucket array."""
-    edges = np.searchsorted(bucket, np.arange(buckets + 1))
-    return [(b, slice(edges[b], edges[b + 1])) for b in range(buckets) if edges[b + 1] > edges[b]]
-
-
-def _word_blobs(words: np.ndarray, counts: np.ndarray, buckets: int):
-    """Rows (bucket, n, packed words and 32-bit counts)."""
-    bucket = _bucket(words, buckets)
-    order = np.argsort(bucket, kind="stable")
-    words, counts = words[order], counts[order].astype(np.uint32)
-    return [(b, s.stop - s.start, _pack(words[s]) + counts[s].tobytes()) for b, s in _per_bucket(bucket[order], buckets)]
-
-
-def _merge_words(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    words, counts = [], []
-    for n, raw in zip(table["n"].to_pylist(), table["data"].to_pylist(), strict=True):
-        words.append(_unpack(raw, n))
-        counts.append(np.frombuffer(raw, np.uint32, n, 6 * n))
-    words, counts = np.concatenate(words), np.concatenate(counts).astype(np.int64)
-    order, first, words = _grouped(words)
-    return words[first], np.add.reduceat(counts[order], first)
-
-
-BLOB = "bucket int, n int, data binary"
+def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """(value, slice) of each run."""
+    if len(sorted_values):
+        edges = np.flatnonzero(np.append(True, sorted_values[1:] != sorted_values[:-1]))
+        yield from zip(sorted_values[edges].tolist(), map(slice, edges.tolist(), [*edges[1:].tolist(), len(sorted_values)]), strict=True)
 
 
 def _blob_batch(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())],
+        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())],
         ["bucket", "n", "data"],
     )
 
 
 @dataclass
 class Layout:
-    """Where the arrays are and how contexts are dealt to buckets."""
+    """Where the arrays are, how many buckets there are, the length of the n-grams, and how rows are dealt."""
 
     folder: str
-    buckets: int
-    heavy: np.ndarray
-    spread: np.ndarray
+    bits: int
+    order: int
+    often: int = OFTEN
+    fan: int = FAN
+
+    @property
+    def first(self) -> int:
+        """Bits of the first deal."""
+        return min(self.fan, self.bits)
+
+
+class Words:
+    """Distinct words with counts, as rows of one bucket each."""
+
+    width = 1
+
+    def __init__(self, layout: Layout) -> None:
+        self.layout = layout
+
+    def bucket(self, words, bits: int) -> np.ndarray:
+        return _bucket(words[-1], bits)
+
+    def merged(self, words, counts):
+        order, first, keys = _grouped(words[-1])
+        return [keys[first]], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
+
+    def packed(self, words, counts) -> bytes:
+        return _pack(words[-1]) + counts.astype(np.uint32).tobytes()
+
+    def unpacked(self, raw, n: int):
+        return [_unpack(raw, n)], np.frombuffer(raw, np.uint32, n, 6 * n).astype(np.int64)
+
+
+class Grams(Words):
+    """Distinct n-grams (the words of the context, then the word) with counts.
+
+    The bucket is the context's, or for a context of words that are all often one of a few from
+    there on, by the word.
+    """
+
+    def __init__(self, layout: Layout, width: int) -> None:
+        super().__init__(layout)
+        self.width = width
+        self.often = None
+
+    def spread(self, context: list[np.ndarray]) -> np.ndarray:
+        """Over how many buckets each context is dealt; zero for one that is whole."""
+        if self.often is None:
+            self.often = map_array(f"{self.layout.folder}/often", np.uint64), map_array(f"{self.layout.folder}/often-count", np.int64)
+        words, counts = self.often
+        out = np.full(len(context[0]), 1 << self.layout.bits, np.int64)
+        for w in context:
+            at = np.minimum(np.searchsorted(words, w), len(words) - 1)
+            out = np.minimum(out, np.where(words[at] == w, counts[at] // self.layout.often + 1, 0))
+        return out
+
+    def bucket(self, words, bits: int) -> np.ndarray:
+        top = self.layout.bits
+        out = _bucket(_context(words[:-1]), top)
+        spread = self.spread(words[:-1])
+        dealt = np.flatnonzero(spread)
+        out[dealt] = (out[dealt] + (mix(words[-1][dealt]) >> np.uint64(32)).astype(np.int64) % spread[dealt]) & ((1 << top) - 1)
+        return out >> (top - bits)
+
+    def merged(self, words, counts):
+        order, first, _ = _grouped(_gram_key(_context(words[:-1]), words[-1]))
+        if not len(first):
+            return words, counts
+        return [w[order[first]] for w in words], np.add.reduceat(counts[order], first)
+
+    def packed(self, words, counts) -> bytes:
+        """Each distinct context once, with the length of its run."""
+        context = _context(words[:-1])
+        order = np.argsort(context, kind="stable")
+        starts = np.flatnonzero(np.append(True, context[order][1:] != context[order][:-1]))
+        runs = np.diff(np.append(starts, len(order))).astype(np.uint32)
+        head = np.array([len(starts)], np.uint32).tobytes() + runs.tobytes() + b"".join(_pack(w[order[starts]]) for w in words[:-1])
+        return head + _pack(words[-1][order]) + counts[order].astype(np.uint32).tobytes()
+
+    def unpacked(self, raw, n: int):
+        k = int(np.frombuffer(raw, np.uint32, 1)[0])
+        runs = np.frombuffer(raw, np.uint32, k, 4)
+        at = 4 + 4 * k
+        context = [np.repeat(_unpack(raw, k, at + 6 * k * i), runs) for i in range(self.width - 1)]
+        at += 6 * k * (self.width - 1)
+        return [*context, _unpack(raw, n, at)], np.frombuffer(raw, np.uint32, n, at + 6 * n).astype(np.int64)
+
+
+def _blobs(kind: Words, words, counts, bits: int) -> list[tuple[int, int, bytes]]:
+    """One row per bucket of ``bits``."""
+    bucket = kind.bucket(words, bits)
+    order = np.argsort(bucket, kind="stable")
+    words, counts = [w[order] for w in words], counts[order]
+    return [(b, s.stop - s.start, kind.packed([w[s] for w in words], counts[s])) for b, s in _runs(bucket[order])]
+
+
+def _joined(kind: Words, ns, raws):
+    """The merged entries of several rows."""
+    parts = [kind.unpacked(raw, n) for n, raw in zip(ns, raws, strict=True)]
+    words = [np.concatenate([p[0][i] for p in parts]) for i in range(len(parts[0][0]))]
+    return kind.merged(words, np.concatenate([p[1] for p in parts]))
+
+
+def _dealt(blobs: DataFrame, kind: Words) -> DataFrame:
+    """Rows by the first bits of their bucket to rows by all bits, ``fan`` bits more at a time.
+
+    A task merges rows of one bucket while it holds fewer than ``HELD`` entries, so what it writes
+    is in proportion to what it reads. It need not see all rows of a bucket, so large ones split.
+    """
+    at, bits_in_all = kind.layout.first, kind.layout.bits
+    while at < bits_in_all:
+        at = min(bits_in_all, at + kind.layout.fan)
+
+        def run(batches, bits=at):
+            held, own, size = [], None, 0
+            for batch in batches:
+                for b, n, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    if held and (b != own or size + n > HELD):
+                        yield _blob_batch(_blobs(kind, *_joined(kind, *zip(*held, strict=True)), bits))
+                        held, size = [], 0
+                    held.append((n, raw))
+                    own, size = b, size + n
+            if held:
+                yield _blob_batch(_blobs(kind, *_joined(kind, *zip(*held, strict=True)), bits))
+
+        blobs = blobs.hint("rebalance", "bucket").sortWithinPartitions("bucket").mapInArrow(run, BLOB)
+    return blobs
 
 
 @dataclass
 class Model:
-    """What scoring needs besides the arrays."""
+    """What scoring needs besides the arrays; ``discounts`` by order, from single words on."""
 
     layout: Layout
     tokens: int
     distinct: int
     bigrams: int
-    pair_discounts: np.ndarray
-    word_discounts: np.ndarray
+    discounts: list[np.ndarray]
     unseen: float
-    heavy_stats: np.ndarray  # per heavy context: total, ones, twos, more
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -167,160 +285,186 @@ def _classes(counts: np.ndarray) -> list[int]:
     return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def _count_words(train: DataFrame, buckets: int, folder: str) -> list:
+def _put(uri: str, array: np.ndarray) -> None:
+    """An array that is missing reads as empty."""
+    if len(array):
+        put_array(uri, array)
+
+
+def _summaries(train: DataFrame, layout: Layout, name: str, width: int) -> list[int]:
+    """The sums over all buckets of the small arrays that reducers left."""
+    buckets = train.sparkSession.range(0, 1 << layout.bits, 1, max(1, (1 << layout.bits) >> 8))
+
+    def run(batches):
+        for batch in batches:
+            found = [map_array(f"{layout.folder}/{name}-{b}", np.int64) for b in batch.column(0).to_pylist()]
+            total = np.sum([f for f in found if len(f)] or [np.zeros(width, np.int64)], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total.tolist()], [f"s{i}" for i in range(width)])
+
+    row = buckets.mapInArrow(run, ", ".join(f"s{i} long" for i in range(width))).agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(width))).first()
+    return [v or 0 for v in row]
+
+
+def _count_words(train: DataFrame, layout: Layout) -> None:
+    """Write word counts, and the words that occur often."""
+    kind = Words(layout)
+
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                tokens, _ = _sequences(part.column(0))
-                words, counts = np.unique(tokens, return_counts=True)
-                yield _blob_batch(_word_blobs(words, counts, buckets))
+                words, counts = np.unique(_sequences(part.column(0))[0], return_counts=True)
+                yield _blob_batch(_blobs(kind, [words], counts, layout.first))
 
     def reduce(key, table):
         b = key[0].as_py()
-        words, counts = _merge_words(table)
-        put_array(f"{folder}/word-{b}", words)
-        put_array(f"{folder}/count-{b}", counts)
-        top = np.argsort(-counts, kind="stable")[:SEEN_PER_BUCKET]
-        return pa.table(
-            {"tokens": [int(counts.sum())], "distinct": [len(words)], "words": [words[top].view(np.int64)], "counts": [counts[top]]}
-        )
-
-    blobs = train.select("text").mapInArrow(run, BLOB)
-    return blobs.groupBy("bucket").applyInArrow(reduce, "tokens long, distinct long, words array<long>, counts array<long>").collect()
-
+        (words,), counts = _joined(kind, table["n"].to_pylist(), table["data"].to_pylist())
+        _put(f"{layout.folder}/word-{b}", words)
+        _put(f"{layout.folder}/count-{b}", counts)
+        _put(f"{layout.folder}/sum-1-{b}", np.array([counts.sum(), len(words)], np.int64))
+        often = np.flatnonzero((counts > layout.often) & (words != END))
+        return pa.table({"word": words[often].view(np.int64), "count": counts[often]})
+
+    blobs = _dealt(train.select("text").mapInArrow(run, BLOB), kind)
+    often = blobs.groupBy("bucket").applyInArrow(reduce, "word long, count long")
+    # The start is a context of every text. Words are below 2**48, so LONG order is their order.
+    start = train.sparkSession.createDataFrame([(int(START), layout.often << layout.bits)], "word long, count long")
+
+    def write(batches):
+        found = [b for b in batches if b.num_rows]
+        for name, i, kind_ in (("often", 0, np.uint64), ("often-count", 1, np.int64)):
+            _put(f"{layout.folder}/{name}", np.concatenate([b.column(i).to_numpy() for b in found]).astype(kind_))
+        yield pa.RecordBatch.from_arrays([pa.array([sum(b.num_rows for b in found)])], ["n"])
+
+    often.unionByName(start).repartition(1).sortWithinPartitions("word").mapInArrow(write, "n long").collect()
+
+
+def _count_grams(blobs: DataFrame, layout: Layout, width: int) -> DataFrame:
+    """Write the arrays of the n-grams of ``width`` words; rows of the next lower order."""
+    kind = Grams(layout, width)
+    lower = Grams(layout, width - 1) if width > 2 else Words(layout)
+    folder = layout.folder
 
-def _count_pairs(train: DataFrame, layout: Layout) -> tuple[list, DataFrame]:
-    """Write bigram and context arrays; return class counts, heavy parts and continuation blobs."""
-    folder, buckets = layout.folder, layout.buckets
+    def reduce(key, table):
+        b = key[0].as_py()
+        words, c = _joined(kind, table["n"].to_pylist(), table["data"].to_pylist())
+        context = _context(words[:-1])
+        keys = _gram_key(context, words[-1])
+        order = np.argsort(keys)
+        keys, sorted_counts = keys[order], c[order]
+        _put(f"{folder}/gram{width}-{b}", keys)
+        _put(f"{folder}/n{width}-{b}", np.minimum(sorted_counts, 255).astype(np.uint8))
+        large = sorted_counts >= 255
+        _put(f"{folder}/large{width}-{b}", keys[large])
+        _put(f"{folder}/largen{width}-{b}", sorted_counts[large])
+        order, first, contexts = _grouped(context)
+        c_v, contexts = c[order], contexts[first]
+        stats = np.stack([np.add.reduceat(x, first) for x in (c_v, *((c_v == k).astype(np.int64) for k in (1, 2)), (c_v > 2).astype(np.int64))], 1)
+        dealt = kind.spread([w[order[first]] for w in words[:-1]]) > 0
+        _put(f"{folder}/context{width}-{b}", contexts[~dealt])
+        _put(f"{folder}/stats{width}-{b}", stats[~dealt].astype(np.uint32))
+        _put(f"{folder}/part{width}-{b}", contexts[dealt])
+        _put(f"{folder}/partstats{width}-{b}", stats[dealt])
+        _put(f"{folder}/sum-{width}-{b}", np.array([*_classes(c), len(c)], np.int64))
+        # Each n-gram is one context of the shorter one without its first word.
+        rows = _blobs(lower, *lower.merged(words[1:], np.ones(len(c), np.int64)), layout.first)
+        return pa.Table.from_batches([_blob_batch(rows)])
+
+    return blobs.groupBy("bucket").applyInArrow(reduce, BLOB)
+
+
+def _meet(train: DataFrame, layout: Layout, width: int) -> None:
+    """Sum the parts of dealt contexts' statistics in their home buckets."""
+    folder, bits = layout.folder, layout.bits
+    buckets = train.sparkSession.range(0, 1 << bits, 1, max(1, (1 << bits) >> 8))
+    names = [f"s{i}" for i in range(4)]
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                w, bounds = _sequences(part.column(0))
-                v = _contexts(w, bounds)
-                order, first, _ = _grouped(_pair_key(v, w))
-                counts = np.diff(np.append(first, len(order)))
-                v, w = v[order[first]], w[order[first]]
-                bucket = _pair_bucket(v, w, layout)
-                order = np.lexsort((v, bucket))
-                v, w, counts, bucket = v[order], w[order], counts[order].astype(np.uint32), bucket[order]
-                rows = []
-                for b, s in _per_bucket(bucket, buckets):
-                    own = v[s]
-                    starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                    runs = np.diff(np.append(starts, len(own))).astype(np.uint32)
-                    head = np.array([len(starts)], np.uint32).tobytes() + _pack(own[starts]) + runs.tobytes()
-                    rows.append((b, len(own), head + _pack(w[s]) + counts[s].tobytes()))
-                yield _blob_batch(rows)
+            for b in batch.column(0).to_pylist():
+                contexts = map_array(f"{folder}/part{width}-{b}", np.uint64)
+                stats = map_array(f"{folder}/partstats{width}-{b}", np.int64).reshape(-1, 4)
+                columns = [pa.array(_bucket(contexts, bits)), pa.array(contexts.view(np.int64)), *(pa.array(stats[:, i]) for i in range(4))]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "context", *names])
 
     def reduce(key, table):
         b = key[0].as_py()
-        vs, ws, cs = [], [], []
-        for n, raw in zip(table["n"].to_pylist(), table["data"].to_pylist(), strict=True):
-            k = int(np.frombuffer(raw, np.uint32, 1)[0])
-            runs = np.frombuffer(raw, np.uint32, k, 4 + 6 * k)
-            vs.append(np.repeat(_unpack(raw, k, 4), runs))
-            ws.append(_unpack(raw, n, 4 + 10 * k))
-            cs.append(np.frombuffer(raw, np.uint32, n, 4 + 10 * k + 6 * n))
-        v, w, c = np.concatenate(vs), np.concatenate(ws), np.concatenate(cs).astype(np.int64)
-        del vs, ws, cs
-        order, first, keys = _grouped(_pair_key(v, w))
-        c = np.add.reduceat(c[order], first)
-        v, w, keys = v[order[first]], w[order[first]], keys[first]
-        put_array(f"{folder}/pair-{b}", keys)
-        put_array(f"{folder}/paircount-{b}", np.minimum(c, 255).astype(np.uint8))
-        large = c >= 255
-        put_array(f"{folder}/large-{b}", keys[large])
-        put_array(f"{folder}/largecount-{b}", c[large])
-        order, first, contexts = _grouped(v)
-        c_v = c[order]
-        stats = np.stack([np.add.reduceat(x, first) for x in (c_v, (c_v == 1).astype(np.int64), (c_v == 2).astype(np.int64), (c_v > 2).astype(np.int64))])
-        contexts = contexts[first]
-        heavy = np.isin(contexts, layout.heavy)
-        put_array(f"{folder}/context-{b}", contexts[~heavy])
-        put_array(f"{folder}/stats-{b}", stats[:, ~heavy].T)
-        words, counts = np.unique(w, return_counts=True)
-        blobs = _word_blobs(words, counts, buckets)
-        parts = [{"v": int(x), "s": [int(y) for y in stats[:, i]]} for i, x in zip(np.flatnonzero(heavy), contexts[heavy], strict=True)]
-        n = len(blobs)
-        return pa.table(
-            {
-                "bucket": pa.array([r[0] for r in blobs], pa.int32()),
-                "n": pa.array([r[1] for r in blobs], pa.int32()),
-                "data": pa.array([r[2] for r in blobs], pa.binary()),
-                "classes": pa.array([_classes(c) if i == 0 else None for i in range(n)], pa.list_(pa.int64())),
-                "pairs": pa.array([len(c) if i == 0 else 0 for i in range(n)], pa.int64()),
-                "parts": pa.array([parts if i == 0 else None for i in range(n)], pa.list_(pa.struct([("v", pa.int64()), ("s", pa.list_(pa.int64()))]))),
-            }
-        )
-
-    blobs = train.select("text").mapInArrow(run, BLOB)
-    done = materialize(
-        blobs.groupBy("bucket").applyInArrow(reduce, BLOB + ", classes array<long>, pairs long, parts array<struct<v:long,s:array<long>>>")
-    )
-    summary = done.agg(F.sum("pairs").alias("pairs"), *(F.sum(F.col("classes")[k]).alias(f"n{k}") for k in range(4))).first()
-    parts = done.select(F.explode("parts").alias("p")).groupBy("p.v").agg(*(F.sum(F.col("p.s")[k]).alias(f"s{k}") for k in range(4))).collect()
-    return [summary, parts], done.select("bucket", "n", "data")
+        order, first, contexts = _grouped(table["context"].to_numpy().view(np.uint64))
+        stats = np.stack([np.add.reduceat(table[s].to_numpy()[order], first) for s in names], 1)
+        _put(f"{folder}/dealt{width}-{b}", contexts[first])
+        _put(f"{folder}/dealtstats{width}-{b}", stats)
+        return pa.table({"n": [len(first)]})
 
+    parts = buckets.mapInArrow(run, "bucket long, context long, s0 long, s1 long, s2 long, s3 long")
+    # Parts of one context are summed on the way, so a context of many parts is few rows.
+    parts = parts.groupBy("bucket", "context").agg(*(F.sum(s).alias(s) for s in names))
+    parts.groupBy("bucket").applyInArrow(reduce, "n long").agg(F.sum("n")).collect()
 
-def _continuations(blobs: DataFrame, layout: Layout) -> list[int]:
-    folder = layout.folder
+
+def _continuations(blobs: DataFrame, layout: Layout) -> None:
+    """Write, beside the words, in how many contexts each occurs."""
+    folder, kind = layout.folder, Words(layout)
 
     def reduce(key, table):
         b = key[0].as_py()
-        words, counts = _merge_words(table)
+        (words,), counts = _joined(kind, table["n"].to_pylist(), table["data"].to_pylist())
         known = map_array(f"{folder}/word-{b}", np.uint64)
         out = np.zeros(len(known), np.int64)
         out[np.searchsorted(known, words)] = counts
-        put_array(f"{folder}/contin-{b}", out)
-        return pa.table({"classes": [_classes(counts)]})
+        _put(f"{folder}/contexts-{b}", out)
+        _put(f"{folder}/sum-0-{b}", np.array(_classes(counts), np.int64))
+        return pa.table({"n": [len(counts)]})
 
-    rows = blobs.groupBy("bucket").applyInArrow(reduce, "classes array<long>").agg(*(F.sum(F.col("classes")[k]).alias(f"n{k}") for k in range(4))).first()
-    return [rows[k] or 0 for k in range(4)]
+    blobs.groupBy("bucket").applyInArrow(reduce, "n long").agg(F.sum("n")).collect()
 
 
-def train_model(train: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> Model:
-    """Count the texts of ``train`` into a fresh shared folder."""
+def train_model(train: DataFrame, bucket_bytes: int = BUCKET_BYTES, order: int = 2, often: int = OFTEN, fan: int = FAN) -> Model:
+    """Count the texts of ``train`` into a fresh shared folder; ``order`` is two at least."""
     small_batches(train.sparkSession, SLICE)
-    buckets = int(min(max(16, -(-input_bytes(train) // bucket_bytes)), 1 << 16))
-    folder = shared_folder(train.sparkSession, "lm")
-    layout = Layout(folder, buckets, np.empty(0, np.uint64), np.empty(0, np.int64))
-    found = _count_words(train, buckets, folder)
-    tokens, distinct = sum(r["tokens"] for r in found), sum(r["distinct"] for r in found)
-    share = max(1, tokens // (4 * buckets))
-    heavy = sorted((w, c // share + 1) for r in found for w, c in zip(r["words"], r["counts"], strict=True) if c > share)
-    # The start is a context of every text: heavy always, and never among the words.
-    heavy = sorted([*((w, k) for w, k in heavy if w != int(END)), (int(START), buckets)])
-    layout.heavy = np.array([w for w, _ in heavy], np.uint64)
-    layout.spread = np.minimum(np.array([k for _, k in heavy], np.int64), buckets)
-    (summary, parts), blobs = _count_pairs(train, layout)
-    word_classes = _continuations(blobs, layout)
-    pairs = summary["pairs"] or 0
-    stats = np.zeros((len(heavy), 4), np.int64)
-    for r in parts:
-        stats[np.searchsorted(layout.heavy, np.uint64(r["v"]))] = [r[f"s{k}"] for k in range(4)]
+    buckets = max(16, -(-input_bytes(train) // bucket_bytes))
+    layout = Layout(shared_folder(train.sparkSession, "lm"), (buckets - 1).bit_length(), order, often, fan)
+    _count_words(train, layout)
+    kind = Grams(layout, order)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                w, bounds = _sequences(part.column(0))
+                words = [*_before(w, bounds, order - 1), w]
+                yield _blob_batch(_blobs(kind, *kind.merged(words, np.ones(len(w), np.int64)), layout.first))
+
+    blobs = _dealt(train.select("text").mapInArrow(run, BLOB), kind)
+    for width in range(order, 1, -1):
+        blobs = _dealt(_count_grams(blobs, layout, width), Grams(layout, width - 1) if width > 2 else Words(layout))
+    _continuations(blobs, layout)
+    for width in range(order, 1, -1):
+        _meet(train, layout, width)
+    tokens, distinct = _summaries(train, layout, "sum-1", 2)
+    word_classes = _summaries(train, layout, "sum-0", 4)
+    found = [_summaries(train, layout, f"sum-{width}", 5) for width in range(2, order + 1)]
+    pairs = found[0][4]
     d = discounts(word_classes)
     # Mass that the word level leaves for unknown words: what its discounts take from all words.
     taken = d[1] * word_classes[0] + d[2] * word_classes[1] + d[3] * (distinct - word_classes[0] - word_classes[1])
     unseen = (taken / pairs if pairs else 1.0) / (distinct + 1)
-    return Model(layout, tokens, distinct, pairs, discounts([summary[f"n{k}"] or 0 for k in range(4)]), d, float(unseen), stats)
+    return Model(layout, tokens, distinct, pairs, [d, *(discounts(f[:4]) for f in found)], float(unseen))
 
 
 class _Arrays:
     """A worker's mapped arrays."""
 
     def __init__(self, model: Model) -> None:
-        self.m, self.f, self.maps = model, model.layout.folder, {}
+        self.m, self.folder, self.bits, self.maps = model, model.layout.folder, model.layout.bits, {}
+        self.grams = {n: Grams(model.layout, n) for n in range(2, model.layout.order + 1)}
 
     def get(self, kind: str, b: int, dtype) -> np.ndarray:
         if (kind, b) not in self.maps:
-            self.maps[kind, b] = map_array(f"{self.f}/{kind}-{b}", dtype)
+            self.maps[kind, b] = map_array(f"{self.folder}/{kind}-{b}", dtype)
         return self.maps[kind, b]
 
     def _each(self, keys: np.ndarray, bucket: np.ndarray, kind: str):
         """(bucket, rows of ``keys`` that are in its array, where they are)."""
         order = np.argsort(bucket, kind="stable")
-        for b, s in _per_bucket(bucket[order], self.m.layout.buckets):
+        for b, s in _runs(bucket[order]):
             rows = order[s]
             held = self.get(kind, b, np.uint64)
             if len(held):
@@ -329,43 +473,63 @@ class _Arrays:
                 yield b, rows[hit], at[hit]
 
     def words(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts and word-level probabilities of sorted distinct words."""
-        m = self.m
+        """Counts and word-level probabilities of distinct words."""
         counts, more = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        for b, rows, at in self._each(words, _bucket(words, m.layout.buckets), "word"):
+        for b, rows, at in self._each(words, _bucket(words, self.bits), "word"):
             counts[rows] = self.get("count", b, np.int64)[at]
-            more[rows] = self.get("contin", b, np.int64)[at]
-        p = (more - m.word_discounts[np.minimum(more, 3)]) / max(1, m.bigrams) + m.unseen
+            held = self.get("contexts", b, np.int64)
+            more[rows] = held[at] if len(held) else 0
+        p = (more - self.m.discounts[0][np.minimum(more, 3)]) / max(1, self.m.bigrams) + self.m.unseen
         return counts, p
 
-    def contexts(self, v: np.ndarray) -> np.ndarray:
-        """Total, ones, twos, more of sorted distinct contexts."""
-        m = self.m
-        out = np.zeros((len(v), 4), np.int64)
-        for b, rows, at in self._each(v, _bucket(v, m.layout.buckets), "context"):
-            out[rows] = self.get("stats", b, np.int64).reshape(-1, 4)[at]
-        at = np.minimum(np.searchsorted(m.layout.heavy, v), len(m.layout.heavy) - 1)
-        hit = m.layout.heavy[at] == v
-        out[hit] = m.heavy_stats[at[hit]]
+    def contexts(self, width: int, words: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
+        """Total, ones, twos, more of distinct contexts."""
+        out = np.zeros((len(hashes), 4), np.int64)
+        home = _bucket(hashes, self.bits)
+        dealt = self.grams[width].spread(words) > 0
+        for kind, stats, dtype, those in (("context", "stats", np.uint32, ~dealt), ("dealt", "dealtstats", np.int64, dealt)):
+            which = np.flatnonzero(those)
+            for b, rows, at in self._each(hashes[which], home[which], f"{kind}{width}"):
+                out[which[rows]] = self.get(f"{stats}{width}", b, dtype).reshape(-1, 4)[at]
         return out
 
-    def pairs(self, v: np.ndarray, w: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    def counts(self, width: int, words: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
+        """Counts of distinct n-grams."""
         out = np.zeros(len(keys), np.int64)
-        for b, rows, at in self._each(keys, _pair_bucket(v, w, self.m.layout), "pair"):
-            found = self.get("paircount", b, np.uint8)[at].astype(np.int64)
+        for b, rows, at in self._each(keys, self.grams[width].bucket(words, self.bits), f"gram{width}"):
+            found = self.get(f"n{width}", b, np.uint8)[at].astype(np.int64)
             full = np.flatnonzero(found == 255)
             if len(full):
-                large = self.get("large", b, np.uint64)
-                found[full] = self.get("largecount", b, np.int64)[np.searchsorted(large, keys[rows[full]])]
+                large = self.get(f"large{width}", b, np.uint64)
+                found[full] = self.get(f"largen{width}", b, np.int64)[np.searchsorted(large, keys[rows[full]])]
             out[rows] = found
         return out
 
+    def raised(self, width: int, words: list[np.ndarray], lower: np.ndarray) -> np.ndarray:
+        """The probability of each word after its context, from that after the next shorter one."""
+        context = _context(words[:-1])
+        order, first, keys = _grouped(_gram_key(context, words[-1]))
+        runs = np.diff(np.append(first, len(order)))
+        at = order[first]
+        c = self.counts(width, [w[at] for w in words], keys[first])
+        seen, one, which = np.unique(context[at], return_index=True, return_inverse=True)
+        s = self.contexts(width, [w[at[one]] for w in words[:-1]], seen)
+        d = self.m.discounts[width - 1]
+        total = np.maximum(1, s[:, 0])
+        back = (s[:, 1:] * d[1:]).sum(1) / total
+        back[s[:, 0] == 0] = 1.0
+        p = (c - d[np.minimum(c, 3)]) / total[which] + back[which] * lower[at]
+        out = np.empty(len(lower))
+        out[order] = np.repeat(p, runs)
+        return out
+
 
 def score(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     """The ``carry`` columns with token counts, base score and model score of each whole text."""
+    small_batches(docs.sparkSession, SLICE)
     inputs, schema = carried(docs, carry, F.col("text").alias("text"))
     schema += "n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    width = len(carry)
+    width, order = len(carry), model.layout.order
 
     def run(batches):
         arrays = _Arrays(model)
@@ -373,21 +537,12 @@ def score(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", SLICE // 2):
                 w, bounds = _sequences(part.column(width))
-                v = _contexts(w, bounds)
                 words, which = np.unique(w, return_inverse=True)
-                counts, p_word = arrays.words(words)
-                order, first, keys = _grouped(_pair_key(v, w))
-                pv, pw = v[order[first]], w[order[first]]
-                c = arrays.pairs(pv, pw, keys[first])
-                seen, context = np.unique(pv, return_inverse=True)
-                s = arrays.contexts(seen)
-                d = model.pair_discounts
-                back = (s[:, 1] * d[1] + s[:, 2] * d[2] + s[:, 3] * d[3]) / np.maximum(1, s[:, 0])
-                back[s[:, 0] == 0] = 1.0
-                p = (c - d[np.minimum(c, 3)]) / np.maximum(1, s[:, 0])[context] + back[context] * p_word[np.searchsorted(words, pw)]
-                log_p = np.empty(len(w))
-                log_p[order] = np.repeat(np.log10(p), np.diff(np.append(first, len(order))))
-                known = counts[which]
+                counts, p = arrays.words(words)
+                p, known = p[which], counts[which]
+                before = _before(w, bounds, order - 1)
+                for n in range(2, order + 1):
+                    p = arrays.raised(n, [*before[order - n :], w], p)
                 base = np.log10((known + 1) / total)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -396,7 +551,7 @@ def score(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
                         pa.array(np.add.reduceat((known > 0).astype(np.int64), bounds[:-1])),
                         pa.array(np.full(part.num_rows, model.tokens)),
                         pa.array(np.add.reduceat(base, bounds[:-1])),
-                        pa.array(np.add.reduceat(log_p, bounds[:-1])),
+                        pa.array(np.add.reduceat(np.log10(p), bounds[:-1])),
                     ],
                     [*part.schema.names[:width], "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )

@@ -52,32 +52,41 @@ def test_words_and_windows_match_python(monkeypatch):
     assert list(tokens.hash_words(data, offsets).counts) == [len(words_of(t)) for t in texts[3:6]]
 
 
-def kneser_ney(train):
+def kneser_ney(train, order=2):
+    """Counts, and the probability of a word after a context, from dictionaries."""
     uni = Counter(w for x in train for w in x)
-    big = Counter(p for x in train for p in zip(["<s>", *x[:-1]], x, strict=True))
     total, distinct = sum(uni.values()), len(uni)
-    ctx, cont = defaultdict(lambda: [0, 0, 0, 0]), Counter()
-    for (a, b), c in big.items():
-        ctx[a][0] += c
-        ctx[a][min(c, 3)] += 1
-        cont[b] += 1
-
-    def classes(values):
-        return lm.discounts([sum(v == k for v in values) for k in (1, 2, 3, 4)])
-
-    d, e = classes(big.values()), classes(cont.values())
-    unseen = sum(e[min(c, 3)] for c in cont.values()) / max(1, len(big)) / (distinct + 1) if big else 1 / (distinct + 1)
+    counts = {order: Counter(tuple(p[i : i + order]) for x in train for p in [["<s>"] * (order - 1) + x] for i in range(len(x)))}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    d = {n: lm.discounts([sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]) for n, c in counts.items()}
+    stats = {n: defaultdict(lambda: [0, 0, 0, 0]) for n in range(2, order + 1)}
+    for n in stats:
+        for g, c in counts[n].items():
+            stats[n][g[:-1]][0] += c
+            stats[n][g[:-1]][min(c, 3)] += 1
+    pairs = len(counts[2])
+    unseen = sum(d[1][min(c, 3)] for c in counts[1].values()) / max(1, pairs) / (distinct + 1) if pairs else 1 / (distinct + 1)
 
     def word(w):
-        return (cont[w] - e[min(cont[w], 3)]) / max(1, len(big)) + unseen
+        c = counts[1][w,]
+        return (c - d[1][min(c, 3)]) / max(1, pairs) + unseen
+
+    def after(context, w):
+        if not context:
+            return word(w)
+        lower = after(context[1:], w)
+        n = len(context) + 1
+        if context not in stats[n]:
+            return lower
+        z, c, e = stats[n][context], counts[n].get((*context, w), 0), d[n]
+        return (c - e[min(c, 3)]) / z[0] + (z[1] * e[1] + z[2] * e[2] + z[3] * e[3]) / z[0] * lower
 
-    def pair(a, b):
-        if a not in ctx:
-            return word(b)
-        z, c = ctx[a], big.get((a, b), 0)
-        return (c - d[min(c, 3)]) / z[0] + (z[1] * d[1] + z[2] * d[2] + z[3] * d[3]) / z[0] * word(b)
+    def text(x):
+        padded = ["<s>"] * (order - 1) + x
+        return sum(math.log10(after(tuple(padded[i : i + order - 1]), w)) for i, w in enumerate(x))
 
-    return uni, total, distinct, pair
+    return uni, total, distinct, after, text
 
 
 def test_lm_matches_brute_force_and_beats_the_base(spark):
@@ -85,21 +94,40 @@ def test_lm_matches_brute_force_and_beats_the_base(spark):
     got = {r.doc_id: r for r in queries.op1_lm_scoring(spark, SF).collect()}
     rows = docs.select("doc_id", "text").collect()
     train = [[*words_of(r.text), "</s>"] for r in rows if zlib.crc32(str(r.doc_id).encode()) % 7 != 2]
-    uni, total, distinct, pair = kneser_ney(train)
+    uni, total, distinct, _, text = kneser_ney(train)
     for r in rows:
         x = [*words_of(r.text), "</s>"]
         g = got[r.doc_id]
         assert (g.n_tokens, g.n_known, g.train_tokens) == (len(x), sum(uni[w] > 0 for w in x), total)
-        assert math.isclose(g.score, sum(math.log10(pair(a, b)) for a, b in zip(["<s>", *x[:-1]], x, strict=True)), rel_tol=1e-9)
+        assert math.isclose(g.score, text(x), rel_tol=1e-9)
         assert math.isclose(g.base_score, sum(math.log10((uni[w] + 1) / (total + distinct + 1)) for w in x), rel_tol=1e-9)
     held = [g for g in got.values() if g.held_out]
     assert sum(g.score for g in held) > sum(g.base_score for g in held)
 
 
+@pytest.mark.parametrize(("order", "often", "fan", "bucket_bytes"), [(2, 3, 2, 400), (3, 20, 3, 1000), (3, 1 << 18, 11, 8 << 20), (4, 2, 2, 500)])
+def test_lm_of_any_order_and_dealing(spark, order, often, fan, bucket_bytes):
+    """Contexts dealt over several buckets and rows dealt several times change nothing."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("doc_id < 60")
+    docs = docs.unionByName(spark.createDataFrame([(1000, "a b " * 400), (1001, "A b a c"), (1002, None), (1003, "b")], "doc_id long, text string")).repartition(3)
+    rows = docs.collect()
+    model = lm.train_model(docs, bucket_bytes, order, often, fan)
+    assert model.layout.bits > fan or fan == 11
+    _, total, distinct, _, text = kneser_ney([[*words_of(r.text), "</s>"] for r in rows], order)
+    assert (model.tokens, model.distinct) == (total, distinct)
+    new = spark.createDataFrame([(2000, "a new b a b word"), (2001, "")], "doc_id long, text string")
+    texts = {r.doc_id: r.text for r in [*rows, *new.collect()]}
+    for g in lm.score(docs.unionByName(new), model, ["doc_id"]).collect():
+        assert math.isclose(g.score, text([*words_of(texts[g.doc_id]), "</s>"]), rel_tol=1e-9), g.doc_id
+
+
 def test_lm_word_probabilities_sum_to_one():
-    uni, _, distinct, pair = kneser_ney([["a", "b", "a", "</s>"], ["b", "c", "</s>"], ["a", "b", "</s>"]])
-    for context in ("a", "b", "<s>", "new"):
-        assert math.isclose(sum(pair(context, w) for w in uni) + pair(context, "unknown"), 1.0, rel_tol=1e-9)
+    train = [["a", "b", "a", "</s>"], ["b", "c", "</s>"], ["a", "b", "</s>"]]
+    for order, contexts in ((2, ["a", "b", "<s>", "new"]), (3, [("<s>", "<s>"), ("<s>", "a"), ("a", "b"), ("new", "b")])):
+        uni, _, _, after, _ = kneser_ney(train, order)
+        for context in contexts:
+            c = context if isinstance(context, tuple) else (context,)
+            assert math.isclose(sum(after(c, w) for w in uni) + after(c, "unknown"), 1.0, rel_tol=1e-9)
 
 
 def test_lm_odd_tables(odd, empty):
