@@ -12,8 +12,10 @@ third of all rows share neither bends the sizes nor lands in one task; at most
 groups stay whole.
 
 Defined cases: a null text has no bytes (size 16) and no checksum, and groups with other nulls;
-null language, source or id is a value of its own; repeated rows are rows; an empty table has
-no shards. Only the columns named here are read.
+null language, source or id is a value of its own; repeated rows are rows, and points that tie in
+every dimension are ordered by the group's hash; a text longer than a shard is a shard's share by
+itself, and its bytes are counted, never held; an empty table has no shards. Only the columns named
+here are read.
 """
 
 from __future__ import annotations
@@ -170,6 +172,6 @@ def kd_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     else:
         placed = pieced.withColumn("shard", F.lit(0))
     placed = placed.select("doc_id", "size", "text_crc32", "shard", F.xxhash64(F.lit(9), "doc_id", "h").alias("order"))
-    return ranked(placed, "shard", "order", "doc_id").select(
+    return ranked(placed, "shard", "order", "doc_id", rows=rows.count()).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("rank").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )

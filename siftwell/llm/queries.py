@@ -76,16 +76,18 @@ QUERIES = {
 
 ORACLES = {
     "op7_chat_formatting": """
-        WITH turns AS (
-            SELECT conv_id, turn, role, text,
+        WITH talks AS (
+            SELECT *, CASE WHEN conv_id IS NULL THEN 'n' || row_number() OVER () ELSE 'c' || conv_id END AS talk FROM conversations
+        ), turns AS (
+            SELECT talk, conv_id, turn, role, text,
                    row_number() OVER w AS pos,
-                   count(*) OVER (PARTITION BY conv_id) AS n_turns
-            FROM conversations
-            WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)
+                   count(*) OVER (PARTITION BY talk) AS n_turns
+            FROM talks
+            WINDOW w AS (PARTITION BY talk ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)
         ), prefixes AS (
             SELECT conv_id, pos, n_turns,
                    string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '')
-                       OVER (PARTITION BY conv_id ORDER BY pos) AS rendered
+                       OVER (PARTITION BY talk ORDER BY pos) AS rendered
             FROM turns
         ), whole AS (
             SELECT min(conv_id) AS conv_id, n_turns, count(*) AS copies, rendered

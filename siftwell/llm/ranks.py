@@ -2,7 +2,8 @@
 
 A window over a whole group puts the group in one task. Here each row's 64-bit order key picks
 one of many cells; cell totals (a small table) give each cell's offset, and windows run inside
-cells only. A group that holds a third of all rows is spread over all cells.
+cells only. There are as many cells as the rows need, so a group that holds a third of all rows is
+spread over a third of them.
 """
 
 from __future__ import annotations
@@ -10,6 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that a cell may hold if one group has them all.
+CELL_ROWS = 1 << 16
+LEAST_CELLS = 64
+
+
+def cells_for(rows: int) -> int:
+    """A power of two: cells for so many rows."""
+    return 1 << max(LEAST_CELLS.bit_length() - 1, (rows // CELL_ROWS).bit_length())
+
 
 def cell_of(order: Column, cells: int) -> Column:
     """The cell of a 64-bit signed order key: ``cells`` (a power of two) equal key ranges."""
@@ -17,13 +27,13 @@ def cell_of(order: Column, cells: int) -> Column:
     return (F.shiftright(order, shift) + F.lit(cells // 2)).cast("int") if cells > 1 else F.lit(0)
 
 
-def ranked(df: DataFrame, group: str, order: str, tie: str, weight: str | None = None, cells: int = 64) -> DataFrame:
+def ranked(df: DataFrame, group: str, order: str, tie: str, weight: str | None = None, rows: int = 0) -> DataFrame:
     """Add ``rank`` (dense, from 0) and ``before`` (weight of the earlier rows) within ``group``.
 
-    ``order`` must be a LONG spread evenly over 64 bits; ``tie`` breaks equal keys. A null group
-    is a group.
+    ``order`` must be a LONG spread evenly over 64 bits; ``tie`` breaks equal keys; ``rows`` is
+    how many there are. A null group is a group.
     """
-    df = df.withColumn("_cell", cell_of(F.col(order), cells))
+    df = df.withColumn("_cell", cell_of(F.col(order), cells_for(rows)))
     mass = F.col(weight) if weight else F.lit(0).cast("long")
     totals = df.groupBy(group, "_cell").agg(F.count(F.lit(1)).alias("_n"), F.sum(mass).alias("_w"))
     earlier = Window.partitionBy(group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,9 +1,10 @@
 """Files that every executor can see, and helpers to cut lineage.
 
-The shared folder is the one the session names in ``spark.checkpoint.dir``; one is made
-locally only where none is set, as in tests. A ``file:`` folder is mounted everywhere, so
-workers map its files directly. Any other scheme goes through ``pyarrow.fs``; a worker then
-copies a file to its own temporary folder, maps the copy and unlinks it at once.
+The shared folder is the one the session names in ``spark.checkpoint.dir``. Where none is named, a
+local session (as in tests) gets a folder of its own, and any other session is an error: a folder
+of one machine is no shared one. A ``file:`` folder is mounted everywhere, so workers map its files
+directly. Any other scheme goes through ``pyarrow.fs``; a worker then copies a file to its own
+temporary folder, maps the copy and unlinks it at once.
 """
 
 from __future__ import annotations
@@ -17,14 +18,27 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.session import planned_bytes
 
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder URI below the session's shared folder."""
+#: Rows of the largest table that is broadcast, two longs each.
+SMALL_ROWS = 1_000_000
+
+
+def _base(spark: SparkSession) -> str:
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='siftwell-')}"
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
+    return base
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A fresh folder URI below the session's shared folder."""
+    base = _base(spark)
     if "://" not in base and not base.startswith("file:"):
         base = f"file://{base}"
     uri = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -34,13 +48,26 @@ def shared_folder(spark: SparkSession, label: str) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared folder and cut its lineage there."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(base or f"file://{tempfile.mkdtemp(prefix='siftwell-')}")
+    _base(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def row_key(*columns: Column | str) -> Column:
+    """128 bits of a row: equal for equal values, nulls told from empty ones."""
+    parts = [x for c in columns for x in ((F.col(c) if isinstance(c, str) else c).isNull(), c)]
+    return F.struct(F.xxhash64(F.lit(41), *parts).alias("a"), F.xxhash64(F.lit(43), *parts).alias("b"))
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is not in ``gone``.
+
+    A small ``gone``, counted first, is broadcast, so wide rows stay where they are; else both are
+    dealt by the key, which no other row shares.
+    """
+    gone = materialize(gone.select(key).distinct())
+    return rows.join(F.broadcast(gone) if gone.count() <= SMALL_ROWS else gone, key, "left_anti")
+
+
 def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     """Hold the session's Arrow batches to about ``size`` bytes, so workers' memory is bounded by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
@@ -132,6 +159,5 @@ def input_bytes(df: DataFrame) -> int:
     Rows that come from no table (a checkpoint, local data) have no statistics: their texts are
     measured.
     """
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    known = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
-    return known if known < 1 << 60 else int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    known = planned_bytes(df)
+    return known if known is not None else int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)

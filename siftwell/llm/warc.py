@@ -3,7 +3,8 @@
 One gzip member per record. Each member's header carries the skip-lengths field of the WARC
 standard's gzip annex (subfield ``sl``: compressed and plain length), so a reader inflates only
 the record's head and seeks over payloads that nobody asked for. Members without it are
-inflated to their end.
+inflated to their end, and may hold several records. Files that are not compressed are read as
+they are, by seeking over the blocks.
 
 Planning makes one input partition per archive file; the writer rolls files at ``file_bytes``.
 Equality and set predicates on ``record_type`` and on header columns are taken over by the
@@ -12,7 +13,11 @@ asks for it and the record passed all of them.
 
 Defined cases: null html is an empty payload, a null url an empty target, a null page_id is
 written as ``null`` and never referred to unless all its equals are null too; rows that tie for
-the largest page_id of a payload are all responses; an empty table writes no file.
+the largest page_id of a payload are all responses; payloads of any length are written and read in
+whole, one at a time; an empty table writes no file. In archives of others, a record without a valid
+Content-Length ends with its member (in a plain file, with the file); a payload that is damaged or cut
+short is null; members that do not begin with a readable head are passed over, and reading goes on at
+the next one.
 """
 
 from __future__ import annotations
@@ -53,25 +58,30 @@ FULL_SCHEMA = HEADER_SCHEMA + ", payload binary"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARROW_TYPES = {"long": pa.int64(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 READ_BYTES = 1 << 16
+#: How many ways the rows of one digest are dealt.
+SALTS = 16
 BATCH_ROWS = 512
 
 
 def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Add digest, size, ``is_revisit`` and ``refers_to`` to pages.
 
-    Only digests that repeat join back, each as one row, so a payload that a third of all pages
-    share costs one row on the joined side.
+    Only digests that repeat join back, each as ``SALTS`` narrow rows, so the pages of a payload that
+    a third of all pages share are dealt over as many tasks.
     """
     body = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", F.col("html").alias("payload"), F.sha1(body).alias("digest"), F.octet_length(body).cast("long").alias("size"))
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).alias("salt")
+    rows = pages.select("page_id", "url", F.col("html").alias("payload"), F.sha1(body).alias("digest"), F.octet_length(body).cast("long").alias("size"), salt)
     groups = (
         rows.where(F.col("size") >= min_bytes)
         .groupBy(F.col("digest").alias("g_digest"))
         .agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("newest"))
         .where("n > 1")
+        .withColumn("g_salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
     )
-    joined = rows.join(groups, (rows["digest"] == groups["g_digest"]) & (rows["size"] >= min_bytes), "left")
+    same = (rows["digest"] == groups["g_digest"]) & (rows["salt"] == groups["g_salt"]) & (rows["size"] >= min_bytes)
     revisit = F.col("n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("newest"))
+    joined = rows.join(groups, same, "left")
     return joined.select("page_id", "url", "payload", "digest", "size", revisit.alias("is_revisit"), F.when(revisit, F.col("newest")).alias("refers_to"))
 
 
@@ -201,50 +211,176 @@ def _archives(folder: str) -> list[str]:
     return [f"{folder}/{n}" for n in names if n.endswith((".warc.gz", ".warc")) and not n.startswith(("_", "."))]
 
 
-class _Members:
-    """Walks a file of gzip members: ``head()`` inflates up to a blank line, ``rest()`` all of it."""
-
-    def __init__(self, source) -> None:
-        self.source, self.at = source, 0
-
-    def __iter__(self):
-        while True:
-            self.source.seek(self.at)
-            first = self.source.read(24)
-            if len(first) < 18:
-                return
-            self.skip = None
-            if first[3] & 4 and first[12:14] == b"sl":
-                self.skip = struct.unpack("<II", first[16:24])[0]
-            self.source.seek(self.at)
-            self.inflate = zlib.decompressobj(31)
-            self.plain = bytearray()
-            self.fed = 0
-            yield self
-            if self.skip is None:
-                self.rest()
-                self.at += self.fed - len(self.inflate.unused_data)
-            else:
-                self.at += self.skip
-
-    def _more(self, most: int) -> bool:
-        packed = self.inflate.unconsumed_tail
-        if not packed:
-            packed = self.source.read(min(READ_BYTES, self.skip - self.fed) if self.skip else READ_BYTES)
-            self.fed += len(packed)
-            if not packed:
-                return False
-        self.plain += self.inflate.decompress(packed, most)
-        return not self.inflate.eof
+class _Plain:
+    """The bytes of an archive that is not compressed, from one place on."""
+
+    def __init__(self, source, at: int = 0) -> None:
+        self.source, self.bytes = source, bytearray()
+        source.seek(at)
+
+    def more(self) -> bool:
+        block = self.source.read(READ_BYTES)
+        self.bytes += block
+        return bool(block)
 
     def until(self, mark: bytes, start: int) -> int:
-        while (end := self.plain.find(mark, start)) < 0 and self._more(2048):
+        """Where ``mark`` begins, -1 if it does not come."""
+        while (found := self.bytes.find(mark, start)) < 0:
+            start = max(start, len(self.bytes) - len(mark) + 1)
+            if not self.more():
+                return -1
+        return found
+
+    def upto(self, end: int) -> int:
+        """Have the bytes before ``end``; how many there are."""
+        while len(self.bytes) < end and self.more():
             pass
-        return self.plain.find(mark, start) if end < 0 else end
+        return min(end, len(self.bytes))
+
+    def skip(self, n: int) -> bool:
+        """Let go of ``n`` bytes; whether any follow."""
+        if n > len(self.bytes):
+            self.source.seek(n - len(self.bytes), 1)
+            self.bytes.clear()
+        else:
+            del self.bytes[:n]
+        return bool(self.bytes) or self.more()
+
+
+class _Member(_Plain):
+    """The plain bytes of one gzip member."""
+
+    def __init__(self, source, at: int) -> None:
+        super().__init__(source, at)
+        first = source.read(24)
+        lengths = len(first) == 24 and first[3] & 4 and first[12:14] == b"sl"
+        self.packed, self.length = struct.unpack("<II", first[16:24]) if lengths else (None, None)
+        self.at, self.fed, self.let_go = at, 0, 0
+        self.inflate = zlib.decompressobj(31)
+        source.seek(at)
+
+    def more(self) -> bool:
+        if self.inflate.eof:
+            return False
+        block = self.inflate.unconsumed_tail
+        if not block:
+            block = self.source.read(min(READ_BYTES, self.packed - self.fed) if self.packed else READ_BYTES)
+            self.fed += len(block)
+            if not block:
+                return False
+        self.bytes += self.inflate.decompress(block, READ_BYTES)
+        return True
+
+    def skip(self, n: int) -> bool:
+        if self.length is not None and self.let_go + n >= self.length:
+            return False
+        self.let_go += n
+        self.upto(n)
+        del self.bytes[:n]
+        return bool(self.bytes) or self.more() and bool(self.bytes)
+
+    def following(self) -> int:
+        """Where the next member begins."""
+        if self.packed:
+            return self.at + self.packed
+        while self.more():
+            self.bytes.clear()
+        if not self.inflate.eof:
+            raise zlib.error("truncated")
+        return self.at + self.fed - len(self.inflate.unused_data)
 
-    def rest(self) -> None:
-        while not self.inflate.eof and self._more(0 if self.skip else 1 << 20):
-            pass
+
+@dataclass
+class _Record:
+    """A record's head, and its block on demand."""
+
+    part: _Plain
+    start: int
+    head: dict[str, str]
+    length: int | None
+
+    @property
+    def block_start(self) -> int:
+        return self.part.until(b"\r\n\r\n", self.start) + 4
+
+    def http_head(self) -> tuple[dict[str, str], int]:
+        """The HTTP head, if the block has one, and where the payload begins."""
+        if "http" not in self.head.get("content-type", ""):
+            return {}, self.block_start
+        end = self.part.until(b"\r\n\r\n", self.block_start)
+        return (_parse_head(bytes(self.part.bytes[self.block_start : end])), end + 4) if end >= 0 else ({}, self.block_start)
+
+    def payload_bytes(self) -> int | None:
+        try:
+            return _number(self.http_head()[0].get("content-length"))
+        except zlib.error:
+            return None
+
+    def payload(self) -> bytes | None:
+        """The payload, None if it is damaged or cut short."""
+        try:
+            start = self.http_head()[1]
+            if self.length is None:
+                end = self.part.upto(1 << 62)
+                end -= 4 if self.part.bytes.endswith(b"\r\n\r\n") else 0
+            else:
+                end = self.block_start + self.length
+                if self.part.upto(end) < end:
+                    return None
+        except zlib.error:
+            return None
+        return bytes(self.part.bytes[start:end])
+
+
+def _records_in(part: _Plain):
+    """The records of a plain file or a member."""
+    while True:
+        end = part.until(b"\r\n\r\n", 0)
+        if end < 0 or not part.bytes.startswith(b"WARC/"):
+            return
+        head = _parse_head(bytes(part.bytes[:end]))
+        length = _number(head.get("content-length"))
+        length = length if length is not None and length >= 0 else None
+        yield _Record(part, 0, head, length)
+        if length is None or not part.skip(end + 4 + length + 4):
+            return
+
+
+def _next_member(source, at: int) -> int | None:
+    """The next place from ``at`` on where a gzip member of records begins."""
+    while True:
+        source.seek(at)
+        block = source.read(1 << 20)
+        found = block.find(b"\x1f\x8b\x08")
+        if found < 0 and len(block) < 1 << 20:
+            return None
+        at += found if found >= 0 else len(block) - 2
+        if found >= 0:
+            try:
+                if _Member(source, at).upto(5) == 5:
+                    return at
+            except (zlib.error, struct.error):
+                pass
+            at += 1
+
+
+def records(source):
+    """All records of an archive, compressed or not."""
+    source.seek(0)
+    if source.read(2) != b"\x1f\x8b":
+        yield from _records_in(_Plain(source))
+        return
+    at: int | None = 0
+    while at is not None:
+        source.seek(at)
+        if not source.read(1):
+            return
+        try:
+            member = _Member(source, at)
+            yield from _records_in(member)
+            at = member.following()
+        except (zlib.error, struct.error):
+            at = _next_member(source, at + 1)
 
 
 def _number(value: str | None):
@@ -306,18 +442,14 @@ class WarcReader(DataSourceReader):
         schema = pa.schema([(name, ARROW_TYPES[kind]) for name, kind in self.fields])
         rows: list[dict] = []
         with _open(partition.value, "rb") as source:
-            for member in _Members(source):
-                end = member.until(b"\r\n\r\n", 0)
-                head = _parse_head(bytes(member.plain[:end]))
-                row = _columns(head)
+            for record in records(source):
+                row = _columns(record.head)
                 if not self._passes(row):
                     continue
-                if wanted & {"payload", "payload_bytes"}:
-                    inner = member.until(b"\r\n\r\n", end + 4)
-                    row["payload_bytes"] = _number(_parse_head(bytes(member.plain[end + 4 : inner])).get("content-length"))
-                    if "payload" in wanted and row["record_type"] == "response":
-                        member.rest()
-                        row["payload"] = bytes(member.plain[inner + 4 : end + 4 + int(head["content-length"])])
+                if "payload_bytes" in wanted:
+                    row["payload_bytes"] = record.payload_bytes()
+                if "payload" in wanted and row["record_type"] == "response":
+                    row["payload"] = record.payload()
                 rows.append({name: row.get(name) for name, _ in self.fields})
                 if len(rows) >= BATCH_ROWS:
                     yield pa.RecordBatch.from_pylist(rows, schema)

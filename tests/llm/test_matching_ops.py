@@ -213,13 +213,44 @@ def test_warc_min_bytes_ties_and_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_warc_members_without_skip_lengths(tmp_path):
+def plain_record(page, body, length=True, kind="response"):
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(body) + body
+    head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:{page}>\r\nContent-Type: application/http; msgtype=response\r\n".encode()
+    return head + (b"Content-Length: %d\r\n" % len(http) if length else b"") + b"\r\n" + http + b"\r\n\r\n"
+
+
+def test_warc_archives_of_others(spark, tmp_path):
     import gzip
 
-    plain = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\n"
-    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(plain) + gzip.compress(plain))
-    with open(tmp_path / "x.warc.gz", "rb") as f:
-        assert sum(member.until(b"\r\n\r\n", 0) > 0 for member in warc._Members(f)) == 2
+    a, b, c, d = (plain_record(i, f"body {i}".encode() * 40_000) for i in range(4))
+    open_end, damaged = plain_record(9, b"open end", length=False), bytearray(gzip.compress(plain_record(7, random.Random(1).randbytes(50_000))))
+    damaged[2000:2010] = b"0123456789"
+    files = {
+        "plain.warc": (a + b + open_end, {0: b"body 0" * 40_000, 1: b"body 1" * 40_000, 9: b"open end"}),
+        "members.warc.gz": (gzip.compress(a) + gzip.compress(b), {0: b"body 0" * 40_000, 1: b"body 1" * 40_000}),
+        "several.warc.gz": (gzip.compress(a + b + c) + gzip.compress(d), {i: f"body {i}".encode() * 40_000 for i in range(4)}),
+        "open.warc.gz": (gzip.compress(open_end) + gzip.compress(d), {9: b"open end", 3: b"body 3" * 40_000}),
+        "cut.warc.gz": (gzip.compress(a) + gzip.compress(b)[:-30], {0: b"body 0" * 40_000}),
+        "damaged.warc.gz": (gzip.compress(a) + bytes(damaged) + b"junk" + gzip.compress(c), {0: b"body 0" * 40_000, 2: b"body 2" * 40_000}),
+        "empty.warc": (b"", {}),
+        "junk.warc.gz": (b"no archive", {}),
+    }
+    for name, (raw, expected) in files.items():
+        folder = tmp_path / name.replace(".", "-")
+        folder.mkdir()
+        (folder / name).write_bytes(raw)
+        uri = f"file://{folder}"
+        full = warc.read_archive(spark, uri, payload=True).collect()
+        got = {r.page_id: bytes(r.payload) for r in full if r.payload is not None}
+        assert got == expected, name
+        assert sorted(r.page_id for r in warc.read_archive(spark, uri).collect()) == sorted(r.page_id for r in full), name
+        assert warc.read_archive(spark, uri).where("page_id = 2").count() == (2 in expected)
+
+
+def test_warc_of_a_shared_payload(spark):
+    rows = [(i, f"http://e/{i}", "hot " * 500 if i % 3 else f"own {i}") for i in range(300)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sum(r.record_type == "revisit" for r in got) == 199 and {r.refers_to for r in got} == {None, 299}
 
 
 ITEM = "A train leaves Boston at 9 and travels 120 km in 3 hours while Alice counts 17 red apples"
