@@ -3,8 +3,8 @@
 Both sides become template tokens: punctuation goes, ASCII letters are lower-cased, numbers,
 names and units (right after a number) become typed placeholders with their values as slots.
 Names are tried as placeholders and as words, and so are capitals at a sentence's start.
-Windows of five template tokens of the benchmark set bits in a bitmap of bounded size; one Arrow
-pass over the documents emits the few windows whose bit is set, a hash join with the
+Windows of five template tokens of the benchmark set bits in a bitmap of bounded size, a file that
+workers map; one Arrow pass over the documents emits the few windows whose bit is set, a hash join with the
 benchmark's windows makes that exact, and slot consistency keeps the windows in which each slot
 value of the item maps to its most frequent value in the document. A document is
 contaminated by an item when such windows cover ``COVER`` of the item's windows, so a question
@@ -20,8 +20,9 @@ window too, of nine windows of five in order, with slots that are consistent wit
 run can only start or end where a window of five is the benchmark's, so few are hashed.
 
 Defined cases: null texts and texts without a word have no windows; repeated document rows are
-judged alone; repeated items are one item per row; empty tables give no hits. Columns besides
-the ids and texts are ignored.
+judged alone; repeated items are one item per row; texts of any length are read in whole, a few
+megabytes of texts at once or one text; of equally frequent slot values the smallest hash counts;
+empty tables give no hits. Columns besides the ids and texts are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.shared import materialize, small_batches
+from siftwell.llm.shared import map_array, materialize, put_array, row_key as bits_of, shared_folder, small_batches, without
 from siftwell.llm.tokens import STEP, Words, hash_words, mix, slices, text_bytes, windows
 
 WIDTH = 5
@@ -45,6 +46,8 @@ MOST_SLOTS = 2
 #: With the words at sentences' starts.
 MOST_OPENING = 3
 MOST_BITS = 1 << 29
+#: Bytes of the bitmap that one task sets.
+BLOCK_BYTES = 1 << 13
 #: The kinds of windows with a name at a sentence's start and of literal ones; 0 and 1 are words and names.
 OPENING, EXACT = 2, 3
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0x11, 0x22, 0x33))
@@ -110,7 +113,7 @@ def templates(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarr
         opening[capital] = ~name[capital]
     unit = np.zeros(len(own), bool)
     after = np.flatnonzero(number[:-1]) + 1 if len(own) > 1 else np.empty(0, np.int64)
-    unit[after] = np.isin(own[after], _UNIT_HASHES)
+    unit[after] = np.isin(own[after], _UNIT_HASHES) & ~np.isin(after, words.bounds)
     token[number], token[unit] = NUMBER, UNIT
     return Words(token, words.starts, words.ends, words.bounds), number | unit, name, opening, own
 
@@ -231,16 +234,28 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "item long, item_id long, pos int, n_windows int, n_open int, n_words int, exact boolean, run boolean, opening boolean, h long, slots array<long>")
 
 
-def _bitmap(wanted: DataFrame) -> np.ndarray:
-    """A bitmap over the top bits of the window hashes: 512 bits a window, ``MOST_BITS`` at most."""
+def _bitmap(wanted: DataFrame) -> tuple[str, int]:
+    """A bitmap over the top bits of the window hashes, as a file, and how many top bits.
+
+    It has 512 bits a window, ``MOST_BITS`` at most. Tasks set the bits of a block each; what the
+    driver joins is at most ``MOST_BITS // 8`` bytes.
+    """
     n = wanted.count()
-    bits = min(MOST_BITS, max(1 << 16, 1 << (512 * max(1, n)).bit_length()))
-    shift = 64 - (bits.bit_length() - 1)
-    words = wanted.withColumn("place", F.shiftrightunsigned("h", shift)).selectExpr("place div 8 as byte", "shiftleft(1, cast(place % 8 as int)) as bit")
-    out = np.zeros(bits // 8, np.uint8)
-    for r in words.groupBy("byte").agg(F.bit_or("bit").alias("bits")).collect():
-        out[r["byte"]] = r["bits"]
-    return out
+    top = min(MOST_BITS.bit_length() - 1, max(16, (512 * max(1, n)).bit_length()))
+    block_bits = BLOCK_BYTES * 8
+
+    def run(key, table):
+        out = np.zeros(block_bits, np.uint8)
+        out[table["at"].to_numpy()] = 1
+        return pa.table({"block": [key[0].as_py()], "bits": [np.packbits(out, bitorder="little").tobytes()]})
+
+    place = wanted.select(F.shiftrightunsigned("h", 64 - top).alias("place")).selectExpr(f"place div {block_bits} as block", f"cast(place % {block_bits} as int) as at")
+    out = np.zeros(max(BLOCK_BYTES, (1 << top) // 8), np.uint8)
+    for r in place.distinct().groupBy("block").applyInArrow(run, "block long, bits binary").collect():
+        out[r["block"] * BLOCK_BYTES : (r["block"] + 1) * BLOCK_BYTES] = np.frombuffer(r["bits"], np.uint8)
+    uri = f"{shared_folder(wanted.sparkSession, 'benchmark')}/bitmap"
+    put_array(uri, out)
+    return uri, top
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
@@ -250,11 +265,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFra
     """
     small_batches(docs.sparkSession)
     wanted = materialize(benchmark_windows(benchmark))
-    bitmap = _bitmap(wanted.where(~F.col("run")))
+    uri, top = _bitmap(wanted.where(~F.col("run")))
     short = sorted(r["n_words"] for r in wanted.where(F.col("n_words") < WIDTH).select("n_words").distinct().collect())
-    shift = np.uint64(64 - ((len(bitmap) * 8).bit_length() - 1))
+    key_type = docs.schema["key"].dataType.simpleString()
+    shift = np.uint64(64 - top)
 
     def run(batches):
+        bitmap = map_array(uri, np.uint8)
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
                 words, h, at, parts = _windows(part.column("text"), short)
@@ -276,7 +293,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFra
                     ["key", "doc_id", "h", "d_opening", "slots"],
                 )
 
-    found = docs.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, h long, d_opening boolean, d_slots array<long>")
+    found = docs.select("key", "doc_id", "text").mapInArrow(run, f"key {key_type}, doc_id long, h long, d_opening boolean, d_slots array<long>")
     same = found.distinct().join(wanted, "h")
     # Few rows by now; what follows reads them three times, and the texts once.
     same = materialize(same.withColumn("pairs", F.arrays_zip(F.col("slots").alias("i"), F.col("d_slots").alias("d"))))
@@ -307,12 +324,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFra
 
 
 def row_key():
-    return F.xxhash64("doc_id", F.col("text").isNull(), "text")
+    """128 bits of a document row."""
+    return bits_of("doc_id", "text")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no item contaminates."""
-    bad = hits(docs.select(row_key().alias("key"), "doc_id", "text"), benchmark).select("key").distinct()
+    bad = hits(docs.select(row_key().alias("key"), "doc_id", "text"), benchmark)
     # Whole rows travel as one struct, so no column of theirs can clash.
-    rows = docs.select(row_key().alias("key"), F.struct("*").alias("row"))
-    return rows.join(bad, "key", "left_anti").select("row.*")
+    return without(docs.select(row_key().alias("key"), F.struct("*").alias("row")), bad, "key").select("row.*")
