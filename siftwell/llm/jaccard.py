@@ -6,10 +6,12 @@ enumerate their subsets of the fixed sizes that a linked pair must share. Larger
 sets meet in at least one list. The boundary minimises the counted cost of both.
 
 Lists are rare-first. Every task packs its distinct shingles by bucket; a bucket's reducer keeps
-the shingles that occur in two sets or more, as sorted arrays in the shared folder. A second pass
+the shingles that occur in two sets or more, as sorted arrays in the shared folder. Buckets grow
+with the input, rows in proportion to it (see ``shared.deal``). A second pass
 maps them: a set in which fewer than its needed share occur elsewhere can have no link and goes
 no further, and the rest order their shingles by frequency. Order and filter only steer cost;
-the test of a pair compares whole sets, mapped from the shared folder.
+the test of a pair compares whole sets, mapped from the shared folder. Texts are cut into shingles
+twice: to count, and to find each row's set.
 
 Links are found in rounds, because a list of near copies would give all its pairs. First each list
 links its members to a few heads, then in ``BRIDGES`` turns to more heads, all at a cost
@@ -21,6 +23,9 @@ Defined cases: texts without words and null texts have the empty set, no links,
 own component; texts under five words are one shingle; equal sets are one node; rows with equal
 ids share the id's component; a null id is kept with a null component unless linked to a smaller
 id; an empty table gives an empty result. Only ``doc_id`` and ``text`` are read.
+
+Limit: a set is named by 64 bits of its shingles' hashes, so two sets of one name count as one: of
+ten billion distinct sets about 2.7 pairs. Rows are told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -35,13 +40,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.components import components
-from siftwell.llm.shared import carried, input_bytes, map_array, materialize, put_array, shared_folder, small_batches
+from siftwell.llm.shared import BLOB, blob_batch, carried, deal, input_bytes, map_array, materialize, put_array, row_key, runs, shared_folder, small_batches, without
 from siftwell.llm.tokens import STEP, hash_words, mix, slices, text_bytes, windows
 
 WIDTH = 5
 #: The threshold as a ratio of whole numbers.
 TOP, BOTTOM = 75, 100
 BUCKET_BYTES = 8 << 20
+#: Bits of a bucket number that one shuffle deals by.
+FAN = 11
+#: Most partitions that write sets.
+WRITERS = 1 << 14
+#: How many ways the sets of one component are dealt.
+SALTS = 16
 #: Largest light set that the cost may choose; larger ones have too many subsets.
 MOST_LIGHT = 12
 #: Turns of linear linking before the exact comparison, and entries of a list that each turn tries.
@@ -87,23 +98,39 @@ class Layout:
 
     folder: str
     bits: int
+    fan: int = FAN
+
+    @property
+    def first(self) -> int:
+        """Bits of the first deal."""
+        return min(self.fan, self.bits)
 
-    def bucket(self, h: np.ndarray) -> np.ndarray:
-        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+    def bucket(self, h: np.ndarray, bits: int | None = None) -> np.ndarray:
+        return (h >> np.uint64(64 - (bits or self.bits))).astype(np.int64)
 
     def short(self, h: np.ndarray) -> np.ndarray:
         """The 32 bits below the bucket's."""
         return ((h << np.uint64(self.bits)) >> np.uint64(32)).astype(np.uint32)
 
+    def blobs(self, h: np.ndarray, counts: np.ndarray, bits: int) -> list[tuple[int, int, bytes]]:
+        """One row per bucket of sorted hashes: whole hashes on the way, short ones in their own bucket."""
+        key, counts = self.short(h) if bits == self.bits else h, np.minimum(counts, 255).astype(np.uint8)
+        return [(b, s.stop - s.start, key[s].tobytes() + counts[s].tobytes()) for b, s in runs(self.bucket(h, bits))]
+
 
-def _edges(bucket: np.ndarray, n: int):
-    edges = np.searchsorted(bucket, np.arange(n + 1))
-    return [(b, slice(edges[b], edges[b + 1])) for b in range(n) if edges[b + 1] > edges[b]]
+def _summed(ns, raws, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of some rows, sorted, and their counts."""
+    size = np.dtype(kind).itemsize
+    keys = np.concatenate([np.frombuffer(raw, kind, n) for n, raw in zip(ns, raws, strict=True)])
+    counts = np.concatenate([np.frombuffer(raw, np.uint8, n, size * n) for n, raw in zip(ns, raws, strict=True)]).astype(np.int64)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(counts[order], first)
 
 
 def _frequencies(docs: DataFrame, layout: Layout) -> None:
     """Write, per bucket, the shingles of two sets or more and their frequency class."""
-    n = 1 << layout.bits
 
     def run(batches):
         for batch in batches:
@@ -113,32 +140,19 @@ def _frequencies(docs: DataFrame, layout: Layout) -> None:
                 _, one = np.unique(ids, return_index=True)
                 keep = np.zeros(len(ids), bool)
                 keep[one] = True
-                h, counts = np.unique(h[np.repeat(keep, np.diff(bounds))], return_counts=True)
-                key, counts = layout.short(h), np.minimum(counts, 255).astype(np.uint8)
-                rows = [(b, key[s].tobytes() + counts[s].tobytes()) for b, s in _edges(layout.bucket(h), n)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "data"]
-                )
+                yield blob_batch(layout.blobs(*np.unique(h[np.repeat(keep, np.diff(bounds))], return_counts=True), layout.first))
 
     def reduce(key, table):
-        keys, counts = [], []
-        for raw in table["data"].to_pylist():
-            k = len(raw) // 5
-            keys.append(np.frombuffer(raw, np.uint32, k))
-            counts.append(np.frombuffer(raw, np.uint8, k, 4 * k))
-        keys, counts = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        counts = np.add.reduceat(counts[order], first)
+        keys, counts = _summed(table["n"].to_pylist(), table["data"].to_pylist(), np.uint32)
         often = counts > 1
         b = key[0].as_py()
-        put_array(f"{layout.folder}/df-{b}", keys[first][often])
+        put_array(f"{layout.folder}/df-{b}", keys[often])
         put_array(f"{layout.folder}/class-{b}", np.minimum(np.log2(counts[often]), 63).astype(np.uint8))
         return pa.table({"shingles": [int(often.sum())]})
 
-    blobs = docs.select("text").mapInArrow(run, "bucket int, data binary")
-    blobs.groupBy("bucket").applyInArrow(reduce, "shingles long").agg(F.sum("shingles")).collect()
+    found = docs.select("text").mapInArrow(run, BLOB)
+    found = deal(found, layout.first, layout.bits, layout.fan, lambda ns, raws, bits: layout.blobs(*_summed(ns, raws, np.uint64), bits))
+    found.groupBy("bucket").applyInArrow(reduce, "shingles long").agg(F.sum("shingles")).collect()
 
 
 class _Classes:
@@ -151,7 +165,7 @@ class _Classes:
         """``h`` sorted and distinct."""
         out = np.zeros(len(h), np.uint8)
         key = self.layout.short(h)
-        for b, s in _edges(self.layout.bucket(h), 1 << self.layout.bits):
+        for b, s in runs(self.layout.bucket(h)):
             if b not in self.maps:
                 self.maps[b] = (map_array(f"{self.layout.folder}/df-{b}", np.uint32), map_array(f"{self.layout.folder}/class-{b}", np.uint8))
             held, cls = self.maps[b]
@@ -202,14 +216,19 @@ def choose_boundary(sizes: dict[int, int], mean_list: float) -> int:
     return boundary
 
 
-def _survivors(docs: DataFrame, layout: Layout) -> DataFrame:
-    """Sets that may have a link: ``node, n, shingles`` (rarest first), once for each slice."""
+def _with_sets(docs: DataFrame, carry: list[str], layout: Layout) -> DataFrame:
+    """The ``carry`` columns of every row with ``n_shingles, node``; and for sets that may have a link, once
+    for each slice, ``alone, shingles`` (rarest first).
+    """
+    inputs, schema = carried(docs, carry, F.col("text").alias("text"))
+    schema += "n_shingles long, node long, alone int, shingles binary"
+    width = len(carry)
 
     def run(batches):
         classes = _Classes(layout)
         for batch in batches:
             for part in slices(batch, "text"):
-                h, bounds, ids = shingle_sets(part.column(0))
+                h, bounds, ids = shingle_sets(part.column(width))
                 distinct, inverse = np.unique(h, return_inverse=True)
                 cls = classes(distinct)[inverse]
                 n = np.diff(bounds)
@@ -217,43 +236,48 @@ def _survivors(docs: DataFrame, layout: Layout) -> DataFrame:
                 # A set of n shares needed(n) shingles with each linked set.
                 stay = np.flatnonzero((n > 0) & (shared >= needed(n)))
                 _, one = np.unique(ids[stay], return_index=True)
-                rows = []
-                for i in stay[np.sort(one)]:
+                sets: list[bytes | None] = [None] * len(n)
+                for i in stay[one]:
                     s = slice(bounds[i], bounds[i + 1])
-                    order = np.lexsort((h[s], cls[s]))
-                    rows.append((int(ids[i].view(np.int64)), int(n[i]), int(n[i] - shared[i]), h[s][order].tobytes()))
+                    sets[i] = h[s][np.lexsort((h[s], cls[s]))].tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([r[0] for r in rows], pa.int64()),
-                        pa.array([r[1] for r in rows], pa.int32()),
-                        pa.array([r[2] for r in rows], pa.int32()),
-                        pa.array([r[3] for r in rows], pa.binary()),
+                        *(part.column(i) for i in range(width)),
+                        pa.array(n),
+                        pa.array(ids.view(np.int64)),
+                        pa.array((n - shared).astype(np.int32)),
+                        pa.array(sets, pa.binary()),
                     ],
-                    ["node", "n", "alone", "shingles"],
+                    [*part.schema.names[:width], "n_shingles", "node", "alone", "shingles"],
                 )
 
-    return docs.select("text").mapInArrow(run, "node long, n int, alone int, shingles binary")
+    return inputs.mapInArrow(run, schema).toDF(*carry, "n_shingles", "node", "alone", "shingles")
 
 
 def _store(sets: DataFrame, layout: Layout) -> DataFrame:
     """Write distinct sets by bucket of their node; return ``node, n, alone, head`` of each.
 
-    A bucket's sets come sorted by node, so files are written in one streaming pass; ``head`` is
+    A task's sets come sorted by bucket and node, so it holds one bucket at a time; ``head`` is
     the part of the prefix that lists need: after the shingles that no other set has.
     """
-    n_buckets = 1 << layout.bits
+
+    def write(bucket, nodes, sizes, values):
+        put_array(f"{layout.folder}/node-{bucket}", np.array(nodes, np.int64))
+        put_array(f"{layout.folder}/start-{bucket}", np.concatenate(([0], np.cumsum(sizes))).astype(np.int64))
+        put_array(f"{layout.folder}/set-{bucket}", np.concatenate(values))
 
     def run(batches):
-        files: dict[int, tuple[list, list, list]] = {}
-        last = None
+        own, nodes, sizes, values = None, [], [], []
         for batch in batches:
             heads = []
             for bucket, node, n, alone, raw in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                if node == last:
+                if nodes and node == nodes[-1]:
                     continue
-                last = node
+                if bucket != own:
+                    if nodes:
+                        write(own, nodes, sizes, values)
+                    own, nodes, sizes, values = bucket, [], [], []
                 h = np.frombuffer(raw, np.uint64)
-                nodes, sizes, values = files.setdefault(bucket, ([], [], []))
                 nodes.append(node)
                 sizes.append(n)
                 values.append(np.sort(h))
@@ -268,13 +292,12 @@ def _store(sets: DataFrame, layout: Layout) -> DataFrame:
                 ],
                 ["node", "n", "alone", "head"],
             )
-        for bucket, (nodes, sizes, values) in files.items():
-            put_array(f"{layout.folder}/node-{bucket}", np.array(nodes, np.int64))
-            put_array(f"{layout.folder}/start-{bucket}", np.concatenate(([0], np.cumsum(sizes))).astype(np.int64))
-            put_array(f"{layout.folder}/set-{bucket}", np.concatenate(values))
+        if nodes:
+            write(own, nodes, sizes, values)
 
     dealt = sets.withColumn("bucket", F.shiftrightunsigned("node", 64 - layout.bits).cast("int"))
-    ordered = dealt.select("bucket", "node", "n", "alone", "shingles").repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "node")
+    dealt = dealt.select("bucket", "node", F.col("n_shingles").cast("int").alias("n"), "alone", "shingles")
+    ordered = dealt.repartition(min(1 << layout.bits, WRITERS), "bucket").sortWithinPartitions("bucket", "node")
     return ordered.mapInArrow(run, "node long, n int, alone int, head binary")
 
 
@@ -423,14 +446,14 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(known.join(upper, known["component"] == upper["_u"], "left").select("node", F.coalesce("_top", "component").alias("component")))
 
 
-def node_components(docs: DataFrame) -> tuple[DataFrame, int]:
-    """``node, component`` of all nodes with a link to another, and the light boundary."""
+def node_components(docs: DataFrame, carry: list[str], fan: int = FAN, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame, int]:
+    """Every row's ``carry`` columns, ``n_shingles, node``; ``node, component`` of all nodes with a link; the light boundary."""
     small_batches(docs.sparkSession)
-    size = max(1, input_bytes(docs))
-    bits = int(min(16, max(5, (size // BUCKET_BYTES).bit_length())))
-    layout = Layout(shared_folder(docs.sparkSession, "jaccard"), bits)
+    bits = max(5, (max(1, input_bytes(docs)) // bucket_bytes).bit_length())
+    layout = Layout(shared_folder(docs.sparkSession, "jaccard"), bits, fan)
     _frequencies(docs, layout)
-    nodes = materialize(_store(_survivors(docs, layout), layout))
+    rows = materialize(_with_sets(docs, carry, layout))
+    nodes = materialize(_store(rows.where("shingles is not null").select("node", "n_shingles", "alone", "shingles"), layout))
     sizes = {r["n"]: r["count"] for r in nodes.where(F.col("n") <= MOST_LIGHT).groupBy("n").count().collect()}
     heavy = _postings(nodes, 0)
     m = heavy.groupBy("key").count().agg(F.sum(F.col("count") * F.col("count")).alias("sq"), F.sum("count").alias("n")).first()
@@ -447,38 +470,24 @@ def node_components(docs: DataFrame) -> tuple[DataFrame, int]:
         labels = _relabelled(labels, links)
     # What is left decides exactly.
     links = materialize(_verified(_open_pairs(_mixed(lists, labels)), layout))
-    return _relabelled(labels, links), boundary
-
-
-def with_nodes(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """The ``carry`` columns of every row with ``n_shingles`` and ``node``."""
-    inputs, schema = carried(docs, carry, F.col("text").alias("text"))
-    schema += "n_shingles long, node long"
-    width = len(carry)
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                _, bounds, ids = shingle_sets(part.column(width))
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i) for i in range(width)), pa.array(np.diff(bounds)), pa.array(ids.view(np.int64))],
-                    [*part.schema.names[:width], "n_shingles", "node"],
-                )
-
-    return inputs.mapInArrow(run, schema).toDF(*carry, "n_shingles", "node")
+    return rows.drop("alone", "shingles"), _relabelled(labels, links), boundary
 
 
-def jaccard_components(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def jaccard_components(docs: DataFrame, carry: tuple[str, ...] = (), **dealing: int) -> DataFrame:
     """``doc_id``, the ``carry`` columns, ``n_shingles, component_id, node, component`` for every row."""
-    rows = materialize(with_nodes(docs, ["doc_id", *carry]))
-    names, _ = node_components(docs)
-    names = names.select(F.col("node").alias("_n"), "component")
+    rows, names, _ = node_components(docs, ["doc_id", *carry], **dealing)
     # The smallest id of each set, then of each component; both are partial aggregates.
     per_node = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
-    placed = per_node.join(names, per_node["node"] == names["_n"], "left").select("node", "low", F.coalesce("component", "node").alias("component"))
-    lows = placed.groupBy("component").agg(F.min("low").alias("component_id"))
-    known = placed.join(lows, "component").select(F.col("node").alias("_n"), "component", "component_id")
-    joined = rows.join(known, (rows["node"] == known["_n"]) & (rows["n_shingles"] > 0), "left")
+    linked = names.join(per_node, "node")
+    lows = linked.groupBy("component").agg(F.min("low").alias("component_id"))
+    # Only sets with a link look up their component, and one component's sets do so in many tasks.
+    salts = lows.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+    placed = names.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))).join(salts, ["component", "salt"])
+    placed = placed.select(F.col("node").alias("_n"), "component", "component_id")
+    every = per_node.join(placed, F.col("node") == F.col("_n"), "left")
+    own = F.when(F.col("_n").isNull(), F.col("low")).otherwise(F.col("component_id"))
+    known = every.select(F.col("node").alias("_k"), F.coalesce("component", "node").alias("component"), own.alias("component_id"))
+    joined = rows.join(known, (rows["node"] == known["_k"]) & (rows["n_shingles"] > 0), "left")
     return joined.select("doc_id", *carry, "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node", "component")
 
 
@@ -487,13 +496,13 @@ def representatives(docs: DataFrame) -> DataFrame:
 
     Of rows with equal id and text one stays.
     """
-    key = F.xxhash64("doc_id", F.col("text").isNull(), "text").alias("key")
+    key = row_key("doc_id", "text").alias("key")
     found = materialize(jaccard_components(docs.select(key, "doc_id", "text"), ("key",)))
     # Two components may have one smallest id, where ids repeat: group by the component itself.
     group = F.when(F.col("n_shingles") > 0, F.col("component"))
     winners = found.groupBy(group.alias("g"), F.when(group.isNull(), F.col("key")).alias("own")).agg(F.min(F.struct("doc_id", "key")).alias("w"))
+    losers = found.join(winners.select("w.key"), "key", "left_anti")
     # Whole rows travel as one struct, so no column of theirs can clash.
-    rows = docs.select(key, F.struct("*").alias("row"))
-    kept = rows.join(winners.select("w.key"), "key", "left_semi")
+    kept = without(docs.select(key, F.struct("*").alias("row")), losers, "key")
     repeated = found.groupBy("key").count().where("count > 1").limit(1).count()
     return (kept.dropDuplicates(["key"]) if repeated else kept).select("row.*")

@@ -28,7 +28,6 @@ length are read in whole. Columns besides ``doc_id`` and ``text`` are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.shared import carried, input_bytes, map_array, put_array, shared_folder, small_batches
+from siftwell.llm.shared import BLOB, blob_batch, carried, deal, input_bytes, map_array, put_array, runs, shared_folder, small_batches
 from siftwell.llm.tokens import STEP, hash_words, mix, slices, text_bytes
 
 LOW = np.uint64((1 << 48) - 1)
@@ -49,11 +48,6 @@ SLICE = 8 << 20
 OFTEN = 1 << 18
 #: Bits of a bucket number that one shuffle deals by.
 FAN = 11
-#: Entries that a task holds when it deals rows again.
-HELD = 1 << 20
-
-BLOB = "bucket long, n int, data binary"
-
 
 def _sequences(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Each text's words and its end, one after another, and the row bounds."""
@@ -111,20 +105,6 @@ def _unpack(raw, n: int, at: int = 0) -> np.ndarray:
     return (high << np.uint64(16)) | np.frombuffer(raw, np.uint16, n, at + 4 * n)
 
 
-def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, slice]]:
-    """(value, slice) of each run."""
-    if len(sorted_values):
-        edges = np.flatnonzero(np.append(True, sorted_values[1:] != sorted_values[:-1]))
-        yield from zip(sorted_values[edges].tolist(), map(slice, edges.tolist(), [*edges[1:].tolist(), len(sorted_values)]), strict=True)
-
-
-def _blob_batch(rows) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())],
-        ["bucket", "n", "data"],
-    )
-
-
 @dataclass
 class Layout:
     """Where the arrays are, how many buckets there are, the length of the n-grams, and how rows are dealt."""
@@ -205,15 +185,15 @@ class Grams(Words):
         context = _context(words[:-1])
         order = np.argsort(context, kind="stable")
         starts = np.flatnonzero(np.append(True, context[order][1:] != context[order][:-1]))
-        runs = np.diff(np.append(starts, len(order))).astype(np.uint32)
-        head = np.array([len(starts)], np.uint32).tobytes() + runs.tobytes() + b"".join(_pack(w[order[starts]]) for w in words[:-1])
+        lengths = np.diff(np.append(starts, len(order))).astype(np.uint32)
+        head = np.array([len(starts)], np.uint32).tobytes() + lengths.tobytes() + b"".join(_pack(w[order[starts]]) for w in words[:-1])
         return head + _pack(words[-1][order]) + counts[order].astype(np.uint32).tobytes()
 
     def unpacked(self, raw, n: int):
         k = int(np.frombuffer(raw, np.uint32, 1)[0])
-        runs = np.frombuffer(raw, np.uint32, k, 4)
+        lengths = np.frombuffer(raw, np.uint32, k, 4)
         at = 4 + 4 * k
-        context = [np.repeat(_unpack(raw, k, at + 6 * k * i), runs) for i in range(self.width - 1)]
+        context = [np.repeat(_unpack(raw, k, at + 6 * k * i), lengths) for i in range(self.width - 1)]
         at += 6 * k * (self.width - 1)
         return [*context, _unpack(raw, n, at)], np.frombuffer(raw, np.uint32, n, at + 6 * n).astype(np.int64)
 
@@ -223,7 +203,7 @@ def _blobs(kind: Words, words, counts, bits: int) -> list[tuple[int, int, bytes]
     bucket = kind.bucket(words, bits)
     order = np.argsort(bucket, kind="stable")
     words, counts = [w[order] for w in words], counts[order]
-    return [(b, s.stop - s.start, kind.packed([w[s] for w in words], counts[s])) for b, s in _runs(bucket[order])]
+    return [(b, s.stop - s.start, kind.packed([w[s] for w in words], counts[s])) for b, s in runs(bucket[order])]
 
 
 def _joined(kind: Words, ns, raws):
@@ -233,30 +213,10 @@ def _joined(kind: Words, ns, raws):
     return kind.merged(words, np.concatenate([p[1] for p in parts]))
 
 
-def _dealt(blobs: DataFrame, kind: Words) -> DataFrame:
-    """Rows by the first bits of their bucket to rows by all bits, ``fan`` bits more at a time.
-
-    A task merges rows of one bucket while it holds fewer than ``HELD`` entries, so what it writes
-    is in proportion to what it reads. It need not see all rows of a bucket, so large ones split.
-    """
-    at, bits_in_all = kind.layout.first, kind.layout.bits
-    while at < bits_in_all:
-        at = min(bits_in_all, at + kind.layout.fan)
-
-        def run(batches, bits=at):
-            held, own, size = [], None, 0
-            for batch in batches:
-                for b, n, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    if held and (b != own or size + n > HELD):
-                        yield _blob_batch(_blobs(kind, *_joined(kind, *zip(*held, strict=True)), bits))
-                        held, size = [], 0
-                    held.append((n, raw))
-                    own, size = b, size + n
-            if held:
-                yield _blob_batch(_blobs(kind, *_joined(kind, *zip(*held, strict=True)), bits))
-
-        blobs = blobs.hint("rebalance", "bucket").sortWithinPartitions("bucket").mapInArrow(run, BLOB)
-    return blobs
+def _dealt(found: DataFrame, kind: Words) -> DataFrame:
+    """Rows by the first bits of their bucket to rows by all bits."""
+    layout = kind.layout
+    return deal(found, layout.first, layout.bits, layout.fan, lambda ns, raws, bits: _blobs(kind, *_joined(kind, ns, raws), bits))
 
 
 @dataclass
@@ -313,7 +273,7 @@ def _count_words(train: DataFrame, layout: Layout) -> None:
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 words, counts = np.unique(_sequences(part.column(0))[0], return_counts=True)
-                yield _blob_batch(_blobs(kind, [words], counts, layout.first))
+                yield blob_batch(_blobs(kind, [words], counts, layout.first))
 
     def reduce(key, table):
         b = key[0].as_py()
@@ -367,7 +327,7 @@ def _count_grams(blobs: DataFrame, layout: Layout, width: int) -> DataFrame:
         _put(f"{folder}/sum-{width}-{b}", np.array([*_classes(c), len(c)], np.int64))
         # Each n-gram is one context of the shorter one without its first word.
         rows = _blobs(lower, *lower.merged(words[1:], np.ones(len(c), np.int64)), layout.first)
-        return pa.Table.from_batches([_blob_batch(rows)])
+        return pa.Table.from_batches([blob_batch(rows)])
 
     return blobs.groupBy("bucket").applyInArrow(reduce, BLOB)
 
@@ -430,7 +390,7 @@ def train_model(train: DataFrame, bucket_bytes: int = BUCKET_BYTES, order: int =
             for part in slices(batch, "text", SLICE):
                 w, bounds = _sequences(part.column(0))
                 words = [*_before(w, bounds, order - 1), w]
-                yield _blob_batch(_blobs(kind, *kind.merged(words, np.ones(len(w), np.int64)), layout.first))
+                yield blob_batch(_blobs(kind, *kind.merged(words, np.ones(len(w), np.int64)), layout.first))
 
     blobs = _dealt(train.select("text").mapInArrow(run, BLOB), kind)
     for width in range(order, 1, -1):
@@ -464,7 +424,7 @@ class _Arrays:
     def _each(self, keys: np.ndarray, bucket: np.ndarray, kind: str):
         """(bucket, rows of ``keys`` that are in its array, where they are)."""
         order = np.argsort(bucket, kind="stable")
-        for b, s in _runs(bucket[order]):
+        for b, s in runs(bucket[order]):
             rows = order[s]
             held = self.get(kind, b, np.uint64)
             if len(held):
@@ -509,7 +469,7 @@ class _Arrays:
         """The probability of each word after its context, from that after the next shorter one."""
         context = _context(words[:-1])
         order, first, keys = _grouped(_gram_key(context, words[-1]))
-        runs = np.diff(np.append(first, len(order)))
+        lengths = np.diff(np.append(first, len(order)))
         at = order[first]
         c = self.counts(width, [w[at] for w in words], keys[first])
         seen, one, which = np.unique(context[at], return_index=True, return_inverse=True)
@@ -520,7 +480,7 @@ class _Arrays:
         back[s[:, 0] == 0] = 1.0
         p = (c - d[np.minimum(c, 3)]) / total[which] + back[which] * lower[at]
         out = np.empty(len(lower))
-        out[order] = np.repeat(p, runs)
+        out[order] = np.repeat(p, lengths)
         return out
 
 

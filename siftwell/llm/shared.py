@@ -15,6 +15,7 @@ import uuid
 from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +69,50 @@ def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(gone) if gone.count() <= SMALL_ROWS else gone, key, "left_anti")
 
 
+#: Rows of ``deal``: a bucket, how many entries, and the entries.
+BLOB = "bucket long, n int, data binary"
+
+
+def blob_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["bucket", "n", "data"])
+
+
+def deal(blobs: DataFrame, first: int, bits: int, fan: int, regroup, held: int = 1 << 20) -> DataFrame:
+    """Rows by the first bits of their entries' buckets to rows by all bits, ``fan`` bits more at a time.
+
+    ``regroup(ns, datas, bits)`` merges the entries of some rows into rows by ``bits``. A task calls
+    it for rows of one bucket with fewer than ``held`` entries in all, so what it writes is in
+    proportion to what it reads. It need not see all rows of a bucket, so large ones split.
+    """
+    at = first
+    while at < bits:
+        at = min(bits, at + fan)
+
+        def run(batches, bits=at):
+            own, rows, size = None, [], 0
+            for batch in batches:
+                for b, n, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    if rows and (b != own or size + n > held):
+                        yield blob_batch(regroup(*zip(*rows, strict=True), bits))
+                        rows, size = [], 0
+                    rows.append((n, raw))
+                    own, size = b, size + n
+            if rows:
+                yield blob_batch(regroup(*zip(*rows, strict=True), bits))
+
+        blobs = blobs.hint("rebalance", "bucket").sortWithinPartitions("bucket").mapInArrow(run, BLOB)
+    return blobs
+
+
+def runs(values: np.ndarray) -> list[tuple[int, slice]]:
+    """(value, slice) of each run of a sorted array."""
+    if not len(values):
+        return []
+    edges = np.flatnonzero(np.append(True, values[1:] != values[:-1])).tolist()
+    return [(int(values[a]), slice(a, b)) for a, b in zip(edges, [*edges[1:], len(values)], strict=True)]
+
+
 def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     """Hold the session's Arrow batches to about ``size`` bytes, so workers' memory is bounded by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

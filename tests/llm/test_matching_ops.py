@@ -74,6 +74,13 @@ def test_every_boundary_gives_the_same_links(spark, monkeypatch, boundary):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
 
 
+def test_jaccard_with_rows_dealt_several_times(spark):
+    rows = near_copies(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = jaccard.jaccard_components(docs, fan=3, bucket_bytes=64).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+
+
 def test_jaccard_odd_tables(spark):
     rows = [(1, None), (2, ""), (3, "a b"), (4, "A  b"), (5, "b a"), (5, "c d e f g"), (6, "c d e f g"), (None, "q r"), (7, "z " * 30_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"node": F.lit(1), "n": F.lit("x"), "_key": F.lit(0)})
