@@ -175,6 +175,52 @@ def test_blocks_are_disjoint(spark):
     assert drawn.groupBy("rid", "block", "epoch").count().where("count > 1").count() == 0
 
 
+def test_mixed_documents_come_from_the_tree(spark):
+    """Passes, the last one's end, and each shard's share, against a plain walk over the permutation."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("shard", F.lit("clash"))
+    got = mixing.drawn_documents(docs, 5).select("row.doc_id", "row.source", "shard", "order").collect()
+    rows = mixing.sized(docs.drop("shard")).select("doc_id", "source", "size").collect()
+    hashed = docs.select("doc_id", F.xxhash64(F.lit(17), F.xxhash64("doc_id", "text", F.col("source").isNull(), "source"), F.lit(0).cast("long")).alias("k"))
+    place = {r.doc_id: r.k for r in hashed.collect()}
+    sizes = Counter()
+    for r in rows:
+        sizes[r.source] += r.size
+    goal = mixing.targets(dict(sizes))
+    order = sorted(sizes)
+    drawn = {}
+    for s in order:
+        passes, rest = divmod(round(goal[s]), sizes[s])
+        passes, rest = (3, 0) if passes >= 3 else (passes, rest)
+        line = sorted((r for r in rows if r.source == s and r.size), key=lambda r: place[r.doc_id])
+        before = np.cumsum([0] + [r.size for r in line])[:-1]
+        drawn[s] = [r.doc_id for r in line] * passes + [r.doc_id for r, b in zip(line, before, strict=True) if b + r.size / 2 <= rest]
+    shares = mixing.splitting_tree([len(drawn[s]) for s in order], 5, 17)
+    expected = Counter()
+    for i, s in enumerate(order):
+        ends = np.cumsum([v[i] for v in shares])
+        expected.update((d, int(np.searchsorted(ends, at, side="right"))) for at, d in enumerate(drawn[s]))
+    assert Counter((r.doc_id, r.shard) for r in got) == expected
+    assert len({r.order for r in got}) == len(got)
+    out = mixing.mixed_documents(docs, 5)
+    assert out.columns == docs.columns and Counter(r.doc_id for r in out.collect()) == Counter(r.doc_id for r in got)
+    again = mixing.mixed_documents(docs.repartition(7), 5)
+    assert Counter(map(str, again.collect())) == Counter(map(str, out.collect()))
+
+
+def test_mixed_documents_with_many_sources_and_equal_rows(spark):
+    rows = [(i % 400, f"text {i % 400} " * (1 + i % 7), "en", None if i % 11 == 0 else f"s{i % 200}", 0) for i in range(1200)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = mixing.mixed_documents(docs).collect()
+    sizes, taken = Counter(), Counter()
+    for r in rows:
+        sizes[r[3]] += len(words_of(r[1]))
+    for r in got:
+        taken[r.source] += len(words_of(r.text))
+    goal = mixing.targets(dict(sizes))
+    assert all(abs(taken[s] - goal[s]) <= 3 * 14 for s in sizes)
+    assert sum(r.taken for r in mixing.mix(docs).collect()) == sum(round(g) for g in goal.values())
+
+
 def test_mix_odd_tables(odd, empty):
     got = mixing.mix(odd).collect()
     assert len(got) == len(ODD) and sum(r.size for r in got) == sum(len(words_of(r[1])) for r in ODD)
