@@ -248,6 +248,37 @@ def test_language_id_ignores_other_columns(spark, odd, empty):
     assert {r.lang_pred for r in langid.predict(odd, None, ["doc_id"]).collect()} == {"und"}
 
 
+def test_a_text_in_no_learned_language_is_not_accepted(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    foreign = ["Привет как дела друзья мои", "这是一个中文句子没有英文", "مرحبا بالعالم كيف حالك", "12 34 !!", "", None]
+    known = ["The and of that.", "Der die das und.", "A.", "x"]
+    new = spark.createDataFrame([(-i - 1, t, None) for i, t in enumerate(foreign + known)], docs.schema)
+    both = docs.unionByName(new).withColumns({"predicted": F.lit("clash"), "predicted_shared_": F.lit(1)})
+    kept = langid.accepted(both, langid.train(docs))
+    ids = {r.doc_id for r in kept.collect()}
+    assert kept.columns == both.columns and ids == {r.doc_id for r in docs.collect()} | {-7, -8, -9, -10}
+    # Another model, another result; without any, letters decide.
+    russian = langid.train(spark.createDataFrame([(i, foreign[0] + " и это другой текст"[: 5 + i], "ru") for i in range(12)], docs.schema))
+    assert {r.doc_id for r in langid.accepted(both, russian).collect()} & {-1, -2, -3, -7, -8} == {-1}
+    assert {r.doc_id for r in langid.accepted(both, None).collect()} == ids | {-1, -2, -3}
+
+
+def test_language_id_of_many_languages(spark):
+    """More languages than landmarks, and than a plan could name one by one."""
+    rows = [(i, f"{chr(0x400 + i % 700)}{chr(0x4E00 + i % 700)}{chr(0x61 + i % 26)} " * 5, f"l{i % 700:03d}") for i in range(1400)]
+    model = langid.train(spark.createDataFrame(rows + [(5000 + i, "rare", f"z{i}") for i in range(2300)], "doc_id long, text string, lang string"))
+    assert len(model.languages) <= langid.MOST_LANGUAGES and len(model.landmarks) == langid.LANDMARKS
+    assert set(model.languages) > {f"l{i:03d}" for i in range(700)}
+
+
+def test_language_id_ties(spark):
+    """Equal texts under two languages: the first by code point; rows in any order."""
+    rows = [(i, "one and the same text", lang) for i, lang in enumerate(["b", "a"] * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [r for d in (docs, docs.repartition(5)) for r in langid.predict(d, langid.train(d), ["doc_id"]).collect()]
+    assert {r.lang_pred for r in got} == {"a"} and len({round(r.score, 6) for r in got}) == 1
+
+
 def test_presence_is_the_gram_set():
     row = langid.presence(pa.array(["Ab1 é", "ab! é", ""]))
     assert (row[0] == row[1]).all() and row[2].sum() == 0 and row[0].sum() > 8
