@@ -11,18 +11,26 @@ words next to it. Everything is Catalyst expressions and ``pyspark.ml``; no Pyth
 executors.
 
 The forest learns from labelled findings: ``label`` 1 or 0 on rows of ``candidates``. Where no
-reviewed findings exist, ``anchored_labels`` labels the clear cases (issuer formats and quoted
-or keyed assignments against plain numbers, addresses, hosts and versions) and leaves the rest
-to the forest. Learning reads at most ``SAMPLE`` findings (smallest hashes); all else covers
-every text.
+reviewed findings exist, two rules label what is clear, and no forest sees what its labels were made
+from: ``labels_by_context`` reads only what stands around a candidate and teaches a forest of the
+candidate's own features (``CONTENT``); ``labels_by_content`` reads only the candidate and teaches a
+forest of its path and neighbouring words (``CONTEXT``). A finding's score is the mean of the two, so
+a value in a strong place counts by its look, and a value that looks like a secret by its place.
+Issuers' formats and PEM headers score 1 by themselves, unless they call themselves examples.
+Learning reads at most ``SAMPLE`` findings (smallest hashes); all else covers every text.
+
+Between its two passes the scan keeps findings in the shared folder, with their texts encrypted under
+a key that only the plan holds.
 
 Defined cases: a null text has no candidates; a null source is an empty path; a candidate that
 repeats in a text is a finding each time; with findings of one class only (or none) every score
-is that class's share, 0 if none; extra columns are ignored.
+is that class's share, 0 if none; texts of any length are searched in whole; extra columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
 
+import os
 from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -43,7 +51,7 @@ TREES, DEPTH, SEED = 20, 6, 29
 KEYWORDS = "pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|bearer|credential|private[_-]?key|client[_-]?secret"
 # What may stand between such a word and its value.
 ASSIGN = "(?:[_-][A-Za-z0-9]{1,16})?[0-9]{0,2}[\"'`]?\\s{0,3}(?::=|=>|[:=])\\s{0,3}"
-PLACEHOLDERS = "example|sample|dummy|test|fake|changeme|placeholder|your[_-]|xxxx|0000|1234"
+PLACEHOLDERS = "(?<![a-z])(?:example|sample|dummy|test|fake|changeme|placeholder|your(?=[_-])|x{4,})(?![a-z])"
 ISSUERS = (
     r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|glpat-[0-9A-Za-z_\-]{20}|xox[abprs]-[0-9A-Za-z\-]{10,}|"
     r"AIza[0-9A-Za-z_\-]{35}|sk_live_[0-9A-Za-z]{16,}|eyJ[0-9A-Za-z_\-]{8,}\.[0-9A-Za-z_\-]{8,}\.[0-9A-Za-z_\-]+"
@@ -79,11 +87,16 @@ CANDIDATE = "|".join(
     ]
 )
 
-FEATURES = (
+#: What a candidate looks like, and what stands around it.
+CONTENT = (
     "length", "digits", "uppers", "lowers", "marks", "distinct", "to_digit", "to_letter", "case_turns", "vowel_turns",
-    "longest_letters", "dictionary", "dots", "path_test", "path_depth", "keyword_near", "keyword_far", "assigned", "quoted",
-    "at_sign", "in_url", "placeholder", "words_before", "keyed", "user_info", "issued",
+    "longest_letters", "dictionary", "dots", "dummy", "issued",
+)
+CONTEXT = (
+    "path_test", "path_depth", "keyword_near", "keyword_far", "assigned", "quoted", "at_sign", "in_url", "dummy_key", "words_before",
+    "keyed", "user_info",
 )
+FEATURES = (*CONTENT, *CONTEXT)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -137,7 +150,8 @@ def features(found: DataFrame) -> DataFrame:
             "quoted": flag(F.col("before").rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")),
             "at_sign": flag(F.col("before").rlike("@$") | F.col("after").rlike("^@")),
             "in_url": flag(F.col("before").rlike("://\\S*$") | c.rlike("^www\\.")),
-            "placeholder": flag(F.concat_ws(" ", low, F.lower("before")).rlike(PLACEHOLDERS)),
+            "dummy": flag(low.rlike(PLACEHOLDERS)),
+            "dummy_key": flag(F.lower(F.regexp_extract("before", "[A-Za-z0-9_.-]*[\"'`]?\\s{0,3}(?::=|=>|[:=])\\s{0,3}[\"'`]?$", 0)).rlike(PLACEHOLDERS)),
             "keyed": flag(F.col("before").rlike(f"(?i)(?:{KEYWORDS}){ASSIGN}[\"'`]?$")),
             "user_info": flag(F.col("before").rlike(f"{USER_INFO}$") & F.col("after").rlike("^@")),
             "issued": flag(c.rlike(f"^(?:{ISSUERS}|{PEM})$")),
@@ -146,53 +160,72 @@ def features(found: DataFrame) -> DataFrame:
     )
 
 
-def anchored_labels(found: DataFrame) -> DataFrame:
-    """Candidates with features whose kind is clear, with ``label``."""
+def labels_by_context(found: DataFrame) -> DataFrame:
+    """``label`` from the words around a candidate: assigned to a word for secrets, or plain prose and addresses."""
+    c = {name: F.col(name) == 1 for name in CONTEXT}
+    secret = (c["keyed"] | c["user_info"] | (c["keyword_near"] & c["assigned"])) & ~c["dummy_key"]
+    plain = (c["at_sign"] & ~c["user_info"]) | c["in_url"] | c["dummy_key"] | ~(c["keyword_near"] | c["keyword_far"] | c["assigned"] | c["user_info"])
+    label = F.when(secret, 1.0).when(plain, 0.0)
+    return found.withColumn("label", label).where("label is not null")
+
+
+def labels_by_content(found: DataFrame) -> DataFrame:
+    """``label`` from the candidate alone: an issuer's format or a random look, or numbers, hosts and words."""
     c = F.col("candidate")
-    # User info is in a URL and before an at sign, but it is no address.
-    sure = (F.col("user_info") == 1) | c.rlike(f"^{PEM}$")
-    plain = c.rlike("^[0-9.+/_-]+$") | (F.col("at_sign") == 1) | (F.col("in_url") == 1) | c.rlike("^[a-z0-9-]+(\\.[a-z0-9-]+)*\\.[a-z]{2,6}$")
-    secret = sure | c.rlike(f"^(?:{ISSUERS})$") | ((F.col("keyword_near") == 1) & (F.col("assigned") == 1) & (F.col("digits") > 0.1) & (F.col("dictionary") < 0.4))
-    label = F.when(plain & ~sure, 0.0).when(secret & (F.col("placeholder") == 0), 1.0).when(F.col("placeholder") == 1, 0.0)
+    mixed = c.rlike("[0-9]") & c.rlike("[A-Za-z]")
+    random = mixed & (F.col("length") >= 16) & (F.col("dictionary") < 0.3) & (F.col("longest_letters") < 0.4) & (F.col("to_digit") + F.col("to_letter") >= 0.2) & (F.col("dots") == 0)
+    plain = c.rlike("^[0-9.+/_-]+$") | c.rlike("^[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,6}$") | (F.col("dictionary") > 0.6) | (F.col("dummy") == 1) | ~c.rlike("[0-9]")
+    label = F.when(F.col("issued") == 1, 1.0).when(plain, 0.0).when(random, 1.0)
     return found.withColumn("label", label).where("label is not null")
 
 
-def fit(labelled: DataFrame):
-    """A forest, or the share of secrets where only one class (or none) is known."""
-    known = labelled.where("label is not null").select(F.xxhash64("candidate", "before").alias("order"), "label", *FEATURES)
-    rows = hash_sample(known, "order", SAMPLE, "label")
-    rows = materialize(rows)
+def fit(labelled: DataFrame, names: tuple[str, ...] = FEATURES):
+    """A forest of the features ``names``, or the share of secrets where only one class (or none) is known."""
+    known = labelled.where("label is not null").select(F.xxhash64("candidate", "before").alias("order"), "label", *names)
+    rows = materialize(hash_sample(known, "order", SAMPLE, "label"))
     classes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(classes) < 2:
         return float(max(classes, default=0.0))
     # Both classes weigh the same.
     weight = reduce(lambda w, kv: F.when(F.col("label") == kv[0], sum(classes.values()) / (2 * kv[1])).otherwise(w), classes.items(), F.lit(1.0))
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(rows.withColumn("weight", weight))
+    vectors = VectorAssembler(inputCols=list(names), outputCol="x").transform(rows.withColumn("weight", weight))
     forest = RandomForestClassifier(
         labelCol="label", featuresCol="x", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=SEED, probabilityCol="p", rawPredictionCol="raw", predictionCol="guess"
     )
     return forest.fit(vectors.select("x", "label", "weight"))
 
 
-def judge(found: DataFrame, model, threshold: float = 0.5) -> DataFrame:
+def judge(found: DataFrame, model, names: tuple[str, ...] = FEATURES, threshold: float = 0.5) -> DataFrame:
     """Candidates with features, ``score`` and ``is_secret``."""
     if isinstance(model, float):
         scored = found.withColumn("score", F.lit(model))
     else:
-        vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(found)
+        vectors = VectorAssembler(inputCols=list(names), outputCol="x").transform(found)
         scored = model.transform(vectors).withColumn("score", vector_to_array("p")[1]).drop("x", "p", "raw", "guess")
     return scored.withColumn("is_secret", F.col("score") >= threshold)
 
 
-def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+SECRET_COLUMNS = ("candidate", "before", "after")
+
+
+def _kept(found: DataFrame) -> DataFrame:
+    """``found``, computed once; what it holds of the texts is encrypted where it lies."""
+    key = F.lit(os.urandom(16))
+    hidden = materialize(found.withColumns({c: F.aes_encrypt(F.encode(c, "UTF-8"), key) for c in SECRET_COLUMNS}))
+    return hidden.withColumns({c: F.decode(F.aes_decrypt(c, key), "UTF-8") for c in SECRET_COLUMNS})
+
+
+def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """Every candidate with its score; ``labelled`` are reviewed findings, if there are any."""
-    found = materialize(features(candidates(docs)))
+    found = _kept(features(candidates(docs)))
     if labelled is not None:
-        return judge(found, fit(labelled))
-    # Too rare for a forest to learn from the tables' own rows, and clear.
-    key = F.col("candidate").rlike(f"^{PEM}$")
-    judged = judge(found, fit(anchored_labels(found)))
-    return judged.withColumn("score", F.when(key, 1.0).otherwise(F.col("score"))).withColumn("is_secret", F.col("is_secret") | key)
+        return judge(found, fit(labelled), FEATURES, threshold)
+    looks = judge(found, fit(labels_by_context(found), CONTENT), CONTENT).withColumnRenamed("score", "by_content").drop("is_secret")
+    places = judge(looks, fit(labels_by_content(found), CONTEXT), CONTEXT).withColumnRenamed("score", "by_context").drop("is_secret")
+    # A key's header or an issuer's format is what it is, wherever it stands; too rare for a forest to learn.
+    sure = (F.col("issued") == 1) & (F.col("dummy") == 0)
+    scored = places.withColumn("score", F.when(sure, 1.0).otherwise((F.col("by_content") + F.col("by_context")) / 2))
+    return scored.withColumn("is_secret", F.col("score") >= threshold)
 
 
 def redact(candidate: Column) -> Column:

@@ -159,6 +159,91 @@ def test_secrets_that_are_short_or_have_no_digit(spark):
     assert {-1 - r.doc_id for r in found if r.is_secret} >= {0, 1, 2, 3}, [(r.candidate, r.score) for r in found]
 
 
+def brute_features(candidate, before, after, path):
+    """The forest's columns by plain loops."""
+    c, low, n = candidate, candidate.lower(), len(candidate)
+    pairs = list(zip(c, c[1:]))
+    vowel, consonant = set("aeiou"), set("bcdfghjklmnpqrstvwxyz")
+    rest, words = low, sorted(secrets.WORDS, key=len, reverse=True)
+    rest = re.sub("|".join(words), "", rest)
+    near = re.search(rf"(?:{secrets.KEYWORDS})[\"']?\s{{0,3}}(?:[:=]|=>|is)?\s{{0,3}}[\"']?\Z", before.lower())
+    assignment = re.search(r"[A-Za-z0-9_.-]*[\"'`]?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"'`]?\Z", before)
+    return {
+        "length": n, "digits": sum(x in "0123456789" for x in c) / n, "uppers": sum("A" <= x <= "Z" for x in c) / n, "lowers": sum("a" <= x <= "z" for x in c) / n,
+        "marks": sum(not re.match("[A-Za-z0-9]", x) for x in c) / n, "distinct": len(set(c)) / n,
+        "to_digit": sum(bool(re.match("[A-Za-z][0-9]", a + b)) for a, b in pairs) / n, "to_letter": sum(bool(re.match("[0-9][A-Za-z]", a + b)) for a, b in pairs) / n,
+        "case_turns": sum(bool(re.match("[a-z][A-Z]|[A-Z][a-z]", a + b)) for a, b in pairs) / n,
+        "vowel_turns": sum((a in vowel and b in consonant) or (a in consonant and b in vowel) for a, b in zip(low, low[1:])) / n,
+        "longest_letters": max(map(len, re.findall("[A-Za-z]+", c)), default=0) / n, "dictionary": 1 - len(rest) / n, "dots": c.count("."),
+        "dummy": bool(re.search(secrets.PLACEHOLDERS, low)), "issued": bool(re.fullmatch(f"(?:{secrets.ISSUERS}|{secrets.PEM})", c)),
+        "path_test": bool(re.search("test|example|sample|fixture|mock|docs?/", path.lower())), "path_depth": path.count("/"),
+        "keyword_near": bool(near), "keyword_far": bool(re.search(secrets.KEYWORDS, before.lower())), "assigned": bool(re.search(r"[:=]\s{0,3}[\"'`]?\Z", before)),
+        "quoted": bool(re.search("[\"'`]\\Z", before) and re.match("[\"'`]", after)), "at_sign": before.endswith("@") or after.startswith("@"),
+        "in_url": bool(re.search(r"://\S*\Z", before) or c.startswith("www.")), "dummy_key": bool(assignment and re.search(secrets.PLACEHOLDERS, assignment[0].lower())),
+        "words_before": len(before.split()), "keyed": bool(re.search(rf"(?i)(?:{secrets.KEYWORDS}){secrets.ASSIGN}[\"'`]?\Z", before)),
+        "user_info": bool(re.search(rf"{secrets.USER_INFO}\Z", before) and after.startswith("@")),
+    }
+
+
+def test_secret_features_match_python(spark):
+    rows = [(i, "docs/test/a" if i % 2 else None, t) for i, t in enumerate([*SHORT, *(t for _, _, t in DOC if t and len(t) < 500), "example_key = 'your-key-of-the-day-1'", "test: sample-value-12345678 x"])]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    docs = docs.unionByName(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "text"))
+    found = secrets.features(secrets.candidates(docs)).collect()
+    for r in found:
+        expected = brute_features(r.candidate, r.before, r.after, r.path)
+        assert set(expected) == set(secrets.FEATURES)
+        for name, value in expected.items():
+            assert abs(r[name] - float(value)) < 1e-9, (name, r.candidate, r.before)
+    assert len(found) > 25
+
+
+def test_no_forest_sees_what_its_labels_were_made_from(spark):
+    found = secrets.features(secrets.candidates(spark.createDataFrame(DOC, "doc_id long, source string, text string")))
+    around = secrets.labels_by_context(found)
+    inside = secrets.labels_by_content(found)
+    assert not set(secrets.CONTENT) & set(secrets.CONTEXT)
+    changed = found.withColumns({c: F.lit(0.5) for c in secrets.CONTENT}).withColumn("candidate", F.lit("other"))
+    assert sorted(r.label for r in secrets.labels_by_context(changed).collect()) == sorted(r.label for r in around.collect())
+    changed = found.withColumns({c: F.lit(0.5) for c in secrets.CONTEXT}).withColumns({"before": F.lit(""), "after": F.lit(""), "path": F.lit("")})
+    assert sorted(r.label for r in secrets.labels_by_content(changed).collect()) == sorted(r.label for r in inside.collect())
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_planted_secrets_are_found_and_numbers_are_not(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    found = {(r.doc_id, r.candidate): r.is_secret for r in secrets.scan(docs).collect()}
+    planted, plain = set(), set()
+    for r in docs.select("doc_id", "text").collect():
+        planted |= {(r.doc_id, m) for m in re.findall(r'(?i)(?:token = "([0-9a-f]{40})"|password=([0-9a-f]{18})|\b(AKIA[0-9A-Z]{16})\b)', r.text or "") for m in m if m}
+        plain |= {(r.doc_id, m) for m in re.findall(r"(?<![^\s])[0-9]{16}(?![^\s])|@(mail[0-9]+\.example\.com)", r.text or "") if m}
+    assert planted and all(found.get(k) for k in planted)
+    assert not any(found.get(k) for k in plain)
+
+
+def test_secret_scan_of_labelled_findings(spark):
+    """Reviewed labels decide, even against the rules."""
+    rows = [(i, "src/a", f"order {10**15 + i} and key = {'ab' * 9}{i:02d}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found = secrets.features(secrets.candidates(docs))
+    labelled = found.withColumn("label", F.when(F.col("candidate").rlike("^[0-9]+$"), 1.0).otherwise(0.0))
+    got = secrets.scan(docs, labelled).collect()
+    assert len(got) == 80 and all(r.is_secret == r.candidate.isdigit() for r in got)
+
+
+def test_secret_scan_repeats_clashes_and_keeps_no_plain_secret(spark, tmp_path):
+    docs = spark.createDataFrame([*DOC, *DOC], "doc_id long, source string, text string").withColumns({c: F.lit("clash") for c in ("label", "candidate", "score", "length", "path", "before", "x")})
+    sc = spark.sparkContext
+    before = sc.getCheckpointDir()
+    sc.setCheckpointDir(f"file://{tmp_path}")
+    got = secrets.scan(docs).collect()
+    sc.setCheckpointDir(before) if before else None
+    assert len(got) == 2 * sum(len(brute_candidates(t)) for _, _, t in DOC)
+    assert {r.candidate for r in got} >= {KEY}
+    files = [p.read_bytes() for p in tmp_path.rglob("part-*")]
+    assert files and not any(KEY.encode() in f or b"1beb58b8af68854f" in f for f in files)
+
+
 def test_secret_scan_odd_tables(spark):
     docs = spark.createDataFrame(DOC, "doc_id long, source string, text string")
     assert secrets.scan(docs).count() == sum(len(brute_candidates(t)) for _, _, t in DOC)
