@@ -10,7 +10,8 @@ covers every row.
 
 Defined cases: a null text has no words and fails the base rules; a null label teaches nothing;
 an id that occurs in several label rows is several examples; with no labels the list is empty
-and keeps what passes the base rules; repeated rows are rows; columns besides ``doc_id`` and
+and keeps what passes the base rules; examples that tie in a feature lie on one side of a bound;
+texts of any length are measured in whole; repeated rows are rows; columns besides ``doc_id`` and
 ``text`` are ignored.
 """
 

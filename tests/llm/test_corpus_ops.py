@@ -342,6 +342,28 @@ def test_rules_are_learned_and_applied(spark):
     assert sum(r.kept for r in rows if r.quality == 1) >= 0.98 * sum(r.quality == 1 for r in rows)
 
 
+def test_rules_catch_bad_documents_that_they_were_not_taught(spark):
+    big = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{big}/labels.parquet")
+    judged, _ = quality.assess(spark.read.parquet(f"{big}/documents.parquet"), labels.where("doc_id % 2 = 0"))
+    rows = judged.join(labels, "doc_id").where("doc_id % 2 = 1 and not base_failed").collect()
+    bad, good = ([r for r in rows if r.quality == q] for q in (0, 1))
+    assert sum(not r.kept for r in bad) >= 0.9 * len(bad) > 100
+    assert sum(r.kept for r in good) >= 0.99 * len(good) > 1000
+
+
+def test_rule_verdict_matches_a_walk_over_the_list(spark):
+    """The conditional expression of a list says what its rules say one after another."""
+    rules = [[quality.Condition("words", False, 30.0), quality.Condition("upper_share", True, 0.02)], [quality.Condition("symbols_per_word", True, 0.05)], [quality.Condition("distinct_share", False, 0.5)]]
+    stats = quality.with_stats(spark.read.parquet(f"{SF}/documents.parquet"))
+    features = [quality.feature_column(f).alias(f) for f in quality.FEATURES]
+    rows = stats.select(quality.verdict(rules).alias("rule"), *features).collect()
+    for r in rows:
+        x = {f: np.array([r[f]]) for f in quality.FEATURES}
+        assert r.rule == next((i for i, rule in enumerate(rules) if all(c.holds(x)[0] for c in rule)), None)
+    assert len({r.rule for r in rows}) > 1
+
+
 def test_rule_learner_finds_a_conjunction():
     rng = np.random.default_rng(3)
     x = {"a": rng.random(3000), "b": rng.random(3000)}

@@ -527,6 +527,12 @@ def test_pipeline_stages(spark):
         assert out.columns == docs.columns, name
         if name == "language_id":
             assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in out.collect()} == {9001, 9002}
+        if name == "decontamination":
+            bench = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect()]
+            rows = [(r.doc_id, r.text) for r in docs.collect() if (r.text or "").isascii()]
+            hit = {rows[d][0] for d, _ in brute_hits([t for _, t in rows], bench)}
+            gone = {r.doc_id for r in docs.collect()} - {r.doc_id for r in out.collect()}
+            assert hit == gone & {i for i, _ in rows} and hit
         if name == "ngram_jaccard_join":
             rows = [(r.doc_id, r.text) for r in docs.collect()]
             expected = {c for _, c in brute_components(rows).values()}
