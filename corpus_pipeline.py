@@ -11,13 +11,8 @@ from siftwell.session import table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; those without a letter go."""
-    model = langid.train(docs)
-    names = "predicted", "predicted_score"
-    while set(names) & set(docs.columns):
-        names = tuple(f"{n}_" for n in names)
-    found = langid.predict(docs, model, docs.columns, names)
-    return found.where(F.col(names[0]) != langid.UNKNOWN).select(*docs.columns)
+    """Documents in a language that the kernel model learned from this table."""
+    return langid.accepted(docs, langid.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +26,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights draw them."""
+    """Documents as often as the target weights draw them, dealt to shards by the tree and shuffled there."""
     return mixing.mixed_documents(docs)
 
 
@@ -48,7 +43,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-# Kernel regression, hash lists and hypergeometric draws are beyond SQL.
+# Kernel regression, hash lists and hypergeometric draws are beyond SQL; tests hold each stage against plain code.
 ORACLE_SQL = None
 
 
