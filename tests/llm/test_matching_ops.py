@@ -520,7 +520,9 @@ def test_decontamination_empty_and_clean(spark):
 
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    extra = spark.createDataFrame([(9001, "12 34 !!", None, "s", 8), (9002, None, None, None, 0)], docs.schema)
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if r.text.isascii()]
+    leaks = [(9100 + i, f"the note number {i} of that day says {t} and that was it", "en", "src0", 0) for i, t in enumerate(items[:3])]
+    extra = spark.createDataFrame([(9001, "12 34 !!", None, "s", 8), (9002, None, None, None, 0), *leaks], docs.schema)
     docs = docs.unionByName(extra)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF).cache()
@@ -532,7 +534,7 @@ def test_pipeline_stages(spark):
             rows = [(r.doc_id, r.text) for r in docs.collect() if (r.text or "").isascii()]
             hit = {rows[d][0] for d, _ in brute_hits([t for _, t in rows], bench)}
             gone = {r.doc_id for r in docs.collect()} - {r.doc_id for r in out.collect()}
-            assert hit == gone & {i for i, _ in rows} and hit
+            assert hit == gone & {i for i, _ in rows} and hit >= {9100, 9101, 9102}
         if name == "ngram_jaccard_join":
             rows = [(r.doc_id, r.text) for r in docs.collect()]
             expected = {c for _, c in brute_components(rows).values()}
