@@ -53,6 +53,8 @@ FAN = 11
 WRITERS = 1 << 14
 #: How many ways the sets of one component are dealt.
 SALTS = 16
+#: Sets that are broadcast: those of so many rows, and how many there can be.
+LEAST_HOT, MOST_HOT = 1000, 10_000
 #: Largest light set that the cost may choose; larger ones have too many subsets.
 MOST_LIGHT = 12
 #: Turns of linear linking before the exact comparison, and entries of a list that each turn tries.
@@ -477,7 +479,8 @@ def jaccard_components(docs: DataFrame, carry: tuple[str, ...] = (), **dealing:
     """``doc_id``, the ``carry`` columns, ``n_shingles, component_id, node, component`` for every row."""
     rows, names, _ = node_components(docs, ["doc_id", *carry], **dealing)
     # The smallest id of each set, then of each component; both are partial aggregates.
-    per_node = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
+    filled = rows.where("n_shingles > 0")
+    per_node = filled.groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
     linked = names.join(per_node, "node")
     lows = linked.groupBy("component").agg(F.min("low").alias("component_id"))
     # Only sets with a link look up their component, and one component's sets do so in many tasks.
@@ -486,9 +489,14 @@ def jaccard_components(docs: DataFrame, carry: tuple[str, ...] = (), **dealing:
     placed = placed.select(F.col("node").alias("_n"), "component", "component_id")
     every = per_node.join(placed, F.col("node") == F.col("_n"), "left")
     own = F.when(F.col("_n").isNull(), F.col("low")).otherwise(F.col("component_id"))
-    known = every.select(F.col("node").alias("_k"), F.coalesce("component", "node").alias("component"), own.alias("component_id"))
-    joined = rows.join(known, (rows["node"] == known["_k"]) & (rows["n_shingles"] > 0), "left")
-    return joined.select("doc_id", *carry, "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node", "component")
+    known = materialize(every.select("node", "copies", F.coalesce("component", "node").alias("component"), own.alias("component_id")))
+    # Sets of many rows are few, ``MOST_HOT`` at most, and go to the rows; the others are dealt by set.
+    hot = F.col("copies") > max(LEAST_HOT, rows.count() // MOST_HOT)
+    found = ["doc_id", *carry, "n_shingles", "component_id", "node", "component"]
+    met = filled.join(F.broadcast(known.where(hot).withColumnRenamed("copies", "_hot")), "node", "left")
+    rest = met.where("_hot is null").drop("_hot", "component", "component_id").join(known.where(~hot).drop("copies"), "node")
+    empty = rows.where("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "component": F.lit(None).cast("long")})
+    return met.where("_hot is not null").select(*found).unionByName(rest.select(*found)).unionByName(empty.select(*found))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
