@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.components import components
-from siftwell.llm.shared import BLOB, blob_batch, carried, deal, input_bytes, map_array, materialize, put_array, row_key, runs, shared_folder, small_batches, without
+from siftwell.llm.shared import BLOB, blob_batch, carried, deal, input_bytes, lookup, map_array, materialize, put_array, row_key, runs, shared_folder, small_batches, without
 from siftwell.llm.tokens import STEP, hash_words, mix, slices, text_bytes, windows
 
 WIDTH = 5
@@ -51,10 +51,6 @@ BUCKET_BYTES = 8 << 20
 FAN = 11
 #: Most partitions that write sets.
 WRITERS = 1 << 14
-#: How many ways the sets of one component are dealt.
-SALTS = 16
-#: Sets that are broadcast: those of so many rows, and how many there can be.
-LEAST_HOT, MOST_HOT = 1000, 10_000
 #: Largest light set that the cost may choose; larger ones have too many subsets.
 MOST_LIGHT = 12
 #: Turns of linear linking before the exact comparison, and entries of a list that each turn tries.
@@ -439,13 +435,14 @@ def _open_pairs(mixed: DataFrame) -> DataFrame:
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` after more links: components of components."""
-    names = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-    lifted = links.join(names, links["a"] == names["_n"], "left").select(F.coalesce("_c", "a").alias("a"), "b")
-    lifted = lifted.join(names, lifted["b"] == names["_n"], "left").select("a", F.coalesce("_c", "b").alias("b"))
-    upper = components(lifted).select(F.col("node").alias("_u"), F.col("component").alias("_top"))
+    lifted = links
+    for side in ("a", "b"):
+        found = lookup(lifted, side, labels.withColumnRenamed("node", side))
+        lifted = materialize(found.withColumn(side, F.coalesce("component", side)).select("a", "b"))
+    upper = components(lifted).select(F.col("node").alias("component"), F.col("component").alias("_top"))
     fresh = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
-    known = labels.unionByName(fresh.withColumn("component", F.col("node")))
-    return materialize(known.join(upper, known["component"] == upper["_u"], "left").select("node", F.coalesce("_top", "component").alias("component")))
+    known = materialize(labels.unionByName(fresh.withColumn("component", F.col("node"))))
+    return materialize(lookup(known, "component", upper).select("node", F.coalesce("_top", "component").alias("component")))
 
 
 def node_components(docs: DataFrame, carry: list[str], fan: int = FAN, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame, int]:
@@ -480,23 +477,16 @@ def jaccard_components(docs: DataFrame, carry: tuple[str, ...] = (), **dealing:
     rows, names, _ = node_components(docs, ["doc_id", *carry], **dealing)
     # The smallest id of each set, then of each component; both are partial aggregates.
     filled = rows.where("n_shingles > 0")
-    per_node = filled.groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
+    per_node = filled.groupBy("node").agg(F.min("doc_id").alias("low"))
     linked = names.join(per_node, "node")
     lows = linked.groupBy("component").agg(F.min("low").alias("component_id"))
-    # Only sets with a link look up their component, and one component's sets do so in many tasks.
-    salts = lows.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
-    placed = names.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))).join(salts, ["component", "salt"])
-    placed = placed.select(F.col("node").alias("_n"), "component", "component_id")
+    placed = lookup(names, "component", lows).select(F.col("node").alias("_n"), "component", "component_id")
     every = per_node.join(placed, F.col("node") == F.col("_n"), "left")
     own = F.when(F.col("_n").isNull(), F.col("low")).otherwise(F.col("component_id"))
-    known = materialize(every.select("node", "copies", F.coalesce("component", "node").alias("component"), own.alias("component_id")))
-    # Sets of many rows are few, ``MOST_HOT`` at most, and go to the rows; the others are dealt by set.
-    hot = F.col("copies") > max(LEAST_HOT, rows.count() // MOST_HOT)
+    known = materialize(every.select("node", F.coalesce("component", "node").alias("component"), own.alias("component_id")))
     found = ["doc_id", *carry, "n_shingles", "component_id", "node", "component"]
-    met = filled.join(F.broadcast(known.where(hot).withColumnRenamed("copies", "_hot")), "node", "left")
-    rest = met.where("_hot is null").drop("_hot", "component", "component_id").join(known.where(~hot).drop("copies"), "node")
     empty = rows.where("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "component": F.lit(None).cast("long")})
-    return met.where("_hot is not null").select(*found).unionByName(rest.select(*found)).unionByName(empty.select(*found))
+    return lookup(filled, "node", known).select(*found).unionByName(empty.select(*found))
 
 
 def representatives(docs: DataFrame) -> DataFrame:

@@ -69,6 +69,27 @@ def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(gone) if gone.count() <= SMALL_ROWS else gone, key, "left_anti")
 
 
+#: Keys that are broadcast: those of so many rows, and how many there can be.
+LEAST_HOT, MOST_HOT = 1000, 10_000
+
+
+def hot_limit(rows: int) -> int:
+    """Beyond so many rows a key is hot; at most ``MOST_HOT`` keys can be."""
+    return max(LEAST_HOT, rows // MOST_HOT)
+
+
+def lookup(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """``rows`` (computed before), left-joined to ``table``, which has each ``key`` once.
+
+    The entries of hot keys are broadcast, so their rows stay where they are; others are dealt.
+    """
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_limit(rows.count())).select(key)
+    near = table.join(F.broadcast(hot), key, "left_semi").withColumn("_near", F.lit(True))
+    met = rows.join(F.broadcast(near), key, "left")
+    dealt = met.where("_near is null").select(*rows.columns).join(table, key, "left")
+    return met.where("_near").drop("_near").unionByName(dealt)
+
+
 #: Rows of ``deal``: a bucket, how many entries, and the entries.
 BLOB = "bucket long, n int, data binary"
 

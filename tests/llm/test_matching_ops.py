@@ -5,13 +5,14 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftwell.llm import chat, components, decontam, jaccard, queries, secrets, tokens, warc
-from siftwell.llm.shared import shared_folder
+from siftwell.llm import chat, components, decontam, jaccard, queries, secrets, shared, tokens, warc
+from siftwell.llm.shared import lookup, map_array, materialize, put_array, shared_folder
 
 SF = "/root/testdata/sf0.001"
 
@@ -104,6 +105,40 @@ def test_boundary_follows_cost():
     assert jaccard.choose_boundary({12: 1000}, 1e9) == 12
 
 
+def test_components_with_hubs(spark):
+    """A hub with more edges than a key may have in one task, linked to a chain."""
+    edges = [(0, i) for i in range(10, 3000)] + [(i, i + 10_000) for i in range(500, 1500)] + [(20_000 + i, 20_001 + i) for i in range(30)] + [(-5, 2999)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long"), plain=100).collect()}
+    assert {got[x] for e in edges for x in e if abs(x) < 20_000} == {-5} and {got[20_000 + i] for i in range(31)} == {20_000}
+
+
+def test_lookup_of_hot_and_missing_keys(spark):
+    rows = materialize(spark.createDataFrame([(1, i) for i in range(2500)] + [(2, 0), (3, 0), (None, 7)], "k long, v long"))
+    table = spark.createDataFrame([(1, "one"), (2, None), (9, "nine")], "k long, name string")
+    got = {}
+    for r in lookup(rows, "k", table).collect():
+        got.setdefault((r.k, r.name), []).append(r.v)
+    assert {k: len(v) for k, v in got.items()} == {(1, "one"): 2500, (2, None): 1, (3, None): 1, (None, None): 1}
+
+
+def test_shared_files_by_either_way(spark, monkeypatch):
+    """Arrays read back by ``pyarrow.fs`` as by a mount; a folder of one machine is not taken for a shared one."""
+    uri = f"{shared_folder(spark, 'files')}/a"
+    put_array(uri, np.arange(5))
+    assert map_array(uri, np.int64).tolist() == [0, 1, 2, 3, 4] and len(map_array(uri + "x", np.int64)) == 0
+    monkeypatch.setattr(shared, "local_path", lambda uri: None)
+    put_array(uri + "2", np.arange(3))
+    assert map_array(uri + "2", np.int64).tolist() == [0, 1, 2] and map_array(uri, np.int64).tolist() == [0, 1, 2, 3, 4]
+    assert len(map_array(uri + "x", np.int64)) == 0
+
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default: None)})
+        sparkContext = type("Context", (), {"getCheckpointDir": staticmethod(lambda: None), "master": "spark://host:7077"})  # noqa: N815
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_folder(Session, "x")
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 100), (5, 5), (-3, 100)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
