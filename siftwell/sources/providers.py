@@ -7,21 +7,23 @@ live calls; its request builder and transport are parameters, so tests and repla
 from __future__ import annotations
 
 import json
+import time
 import urllib.error
 import urllib.parse
 import urllib.request
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from siftwell.functions import headers
 from siftwell.functions.urls import normalized
 
-# Endpoints, limits and field names of the two services.
-PERPLEXITY = {"endpoint": "https://api.perplexity.ai/search", "most": 20, "settings": ("perplexity_api_key",)}
-GOOGLE = {"endpoint": "https://customsearch.googleapis.com/customsearch/v1", "most": 10, "settings": ("google_api_key", "google_cse_id")}
-PROVIDERS = {"perplexity": PERPLEXITY, "google": GOOGLE}
+#: Name -> endpoint, most results, names of its settings, request builder and parser; see ``register``.
+PROVIDERS: dict[str, dict] = {}
+# Field names of the two services.
 DATE_KEYS = ("article:published_time", "og:published_time", "datepublished")
 PERPLEXITY_JSON = "id string, results array<struct<title:string,url:string,snippet:string,date:string,last_updated:string>>"
 GOOGLE_JSON = (
@@ -51,19 +53,10 @@ def configured(settings: dict[str, str | None], names: tuple[str, ...] = ("perpl
 
 def request_for(name: str, settings: dict, query: str, most: int = 10, language: str | None = None, country: str | None = None) -> tuple[str, str, bytes | None, dict]:
     """(method, url, body, headers)."""
-    if name == "perplexity":
-        body = {"query": query, "max_results": min(most, PERPLEXITY["most"])}
-        if country:
-            body["country"] = country
-        if language:
-            body["search_language_filter"] = [language]
-        return "POST", PERPLEXITY["endpoint"], json.dumps(body).encode(), {"Authorization": f"Bearer {settings['perplexity_api_key']}", "Content-Type": "application/json"}
-    pairs = {"key": settings["google_api_key"], "cx": settings["google_cse_id"], "q": query, "num": min(most, GOOGLE["most"])}
-    if country:
-        pairs["gl"] = country.lower()
-    if language:
-        pairs["hl"] = language
-    return "GET", f"{GOOGLE['endpoint']}?{urllib.parse.urlencode(pairs)}", None, {}
+    provider = PROVIDERS[name]
+    method, body, head, pairs = provider["build"](settings, query, min(most, provider["most"]), language, country)
+    url = provider["endpoint"] + (f"?{urllib.parse.urlencode(pairs)}" if pairs else "")
+    return method, url, None if body is None else json.dumps(body).encode(), head
 
 
 def response_error(http_status: Column, body: Column) -> Column:
@@ -137,33 +130,120 @@ def http_call(method: str, url: str, body: bytes | None, head: dict, timeout_s:
         return None, None, "NETWORK_ERROR"
 
 
+def transport_error(http_status: int | None, body: str | None, transport: str | None) -> tuple[str, str, bool] | None:
+    """(code, category, retryable) of a call that gave no answer, as ``response_error`` has it."""
+    if transport:
+        return ("PROVIDER_TIMEOUT" if transport == "TIMEOUT" else "PROVIDER_UNAVAILABLE", transport, True)
+    if http_status in (401, 403):
+        return ("PROVIDER_ERROR", "AUTH_ERROR", False)
+    if http_status == 429:
+        return ("PROVIDER_RATE_LIMITED", "RATE_LIMITED", True)
+    if http_status >= 500:
+        return ("PROVIDER_UNAVAILABLE", "PROVIDER_UNAVAILABLE", True)
+    if http_status >= 400:
+        return ("PROVIDER_ERROR", "INVALID_REQUEST", False)
+    try:
+        good = 200 <= http_status < 300 and isinstance(json.loads(body or ""), dict)
+    except ValueError:
+        good = False
+    return None if good else ("PROVIDER_ERROR", "INVALID_RESPONSE", False)
+
+
+def bounded(call, timeout_s: float):
+    """``call()``, or a timeout after ``timeout_s`` of wall-clock time, whatever the call waits for."""
+    pool = ThreadPoolExecutor(1)
+    try:
+        return pool.submit(call).result(timeout_s)
+    except TimeoutError:
+        return None, None, "TIMEOUT"
+    finally:
+        pool.shutdown(wait=False)
+
+
+def call_with_retry(call, retries: int = 1, base_s: float = 1.0, timeout_s: float = 15.0, sleep=time.sleep, clock=time.monotonic) -> dict:
+    """One attempt of a provider: the call, and again while its error may pass and retries are left."""
+    started, tries = clock(), 0
+    while True:
+        tries += 1
+        status, body, transport = bounded(call, timeout_s)
+        error = transport_error(status, body, transport)
+        if error is None or not error[2] or tries > retries:
+            break
+        sleep(min(base_s * 2.0 ** (tries - 1), headers.MOST_BACKOFF))
+    found = len(next((v for k in ("results", "items") if isinstance(v := json.loads(body).get(k), list)), [])) if error is None else 0
+    outcome = "FAILED" if error else "OK" if found else "EMPTY"
+    return {"status": outcome, "http_status": status, "body": body, "tries": tries, "duration_ms": int((clock() - started) * 1000), "result_count": found, "error": error}
+
+
 class SearchReader(DataSourceReader):
+    """One partition a query and provider; each is one attempt, with its retries."""
+
     def __init__(self, options: dict) -> None:
         self.options = dict(options)
 
     def partitions(self):
         queries = json.loads(self.options["queries"])
-        names = self.options.get("providers", "perplexity,google").split(",")
+        names = self.options.get("providers", ",".join(PROVIDERS)).split(",")
         return [InputPartition((i, q, n)) for i, q in enumerate(queries) for n in names]
 
     def read(self, partition):
         i, query, name = partition.value
-        call = request_for(name, self.options, query, int(self.options.get("max_results", 10)), self.options.get("language"), self.options.get("country"))
-        method, url, body, head = call
-        url = self.options.get(f"{name}_endpoint", url)
-        status, text, error = http_call(method, url, body, head, float(self.options.get("timeout_s", 15)))
-        yield (self.options.get("request_id", ""), i, query, name, status, text, error)
+        o = self.options
+        method, url, body, head = request_for(name, o, query, int(o.get("max_results", 10)), o.get("language"), o.get("country"))
+        url, timeout_s = o.get(f"{name}_endpoint", url), float(o.get("timeout_s", 15))
+        got = call_with_retry(lambda: http_call(method, url, body, head, timeout_s), int(o.get("max_retries", 1)), float(o.get("backoff_s", 1)), timeout_s)
+        code, category, retryable = got["error"] or (None, None, None)
+        yield (o.get("request_id", ""), i, query, name, got["status"], got["http_status"], got["body"], got["tries"], got["duration_ms"], got["result_count"], code, category, retryable)
 
 
 class SearchSource(DataSource):
-    """``spark.read.format("siftwell_search")``: one row per query and provider."""
+    """``spark.read.format("siftwell_search")``: one attempt per query and provider, with the answer."""
 
     @classmethod
     def name(cls) -> str:
         return "siftwell_search"
 
     def schema(self) -> str:
-        return "request_id string, query_index int, query string, provider string, http_status int, body string, error string"
+        return (
+            "request_id string, query_index int, query string, provider string, status string, http_status int, body string, tries int, duration_ms int, "
+            "result_count int, error_code string, error_category string, error_retryable boolean"
+        )
 
     def reader(self, schema):
         return SearchReader(self.options)
+
+
+def answers_to_hits(answers: DataFrame) -> DataFrame:
+    """The hits of a search's attempts, by each provider's own parser."""
+    found = [PROVIDERS[name]["parse"](answers.where((F.col("provider") == name) & F.col("status").isin("OK", "EMPTY"))) for name in PROVIDERS]
+    return reduce(DataFrame.unionByName, found)
+
+
+def attempts_of(answers: DataFrame) -> DataFrame:
+    """A search's attempts in the form of the status operators."""
+    error = F.struct("provider", F.col("error_code").alias("code"), F.col("error_category").alias("category"), F.col("error_retryable").alias("retryable"))
+    place = (F.row_number().over(Window.partitionBy("request_id").orderBy("query_index", "provider")) - 1).alias("idx")
+    return answers.select("request_id", place, "provider", "query", "status", "result_count", "duration_ms", "tries", F.when(F.col("error_code").isNotNull(), error).alias("error"))
+
+
+def register(name: str, endpoint: str, settings: tuple[str, ...], most: int, build, parse) -> None:
+    """Add a provider: ``build(settings, query, most, language, country)`` gives (method, body, headers, query pairs),
+    ``parse(responses)`` its hits.
+    """
+    PROVIDERS[name] = {"endpoint": endpoint, "most": most, "settings": settings, "build": build, "parse": parse}
+
+
+def _perplexity_request(settings, query, most, language, country):
+    wanted = {"country": country, "search_language_filter": [language] if language else None}
+    body = {"query": query, "max_results": most} | {k: v for k, v in wanted.items() if v}
+    return "POST", body, {"Authorization": f"Bearer {settings['perplexity_api_key']}", "Content-Type": "application/json"}, None
+
+
+def _google_request(settings, query, most, language, country):
+    wanted = {"gl": country.lower() if country else None, "hl": language}
+    pairs = {"key": settings["google_api_key"], "cx": settings["google_cse_id"], "q": query, "num": most}
+    return "GET", None, {}, pairs | {k: v for k, v in wanted.items() if v}
+
+
+register("perplexity", "https://api.perplexity.ai/search", ("perplexity_api_key",), 20, _perplexity_request, perplexity_hits)
+register("google", "https://customsearch.googleapis.com/customsearch/v1", ("google_api_key", "google_cse_id"), 10, _google_request, google_hits)
