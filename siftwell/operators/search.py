@@ -145,6 +145,17 @@ def provider_errors(attempts: DataFrame) -> DataFrame:
     return e.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
+def query_outcomes(planned: DataFrame, attempts: DataFrame | None) -> DataFrame:
+    """``job_id, query, status``: COVERED if a call answered (be it with nothing), FAILED if every one failed or was skipped.
+
+    A query without recorded attempts was answered.
+    """
+    if attempts is None:
+        return planned.withColumn("status", F.lit("COVERED"))
+    per = attempts.groupBy(F.col("request_id").alias("job_id"), "query").agg(F.bool_or(F.col("status").isin("OK", "EMPTY")).alias("_ok"))
+    return planned.join(per, ["job_id", "query"], "left").select("job_id", "query", F.when(F.coalesce("_ok", F.lit(True)), "COVERED").otherwise("FAILED").alias("status"))
+
+
 def coverage(planned: DataFrame, outcomes: DataFrame, stopped: bool) -> DataFrame:
     """Every planned query with its outcome; missing ones are INTERRUPTED or NOT_RUN after a stop.
 

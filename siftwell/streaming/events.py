@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -88,3 +89,61 @@ def captured(batches: DataFrame) -> DataFrame:
     fields = [c for c in batches.columns if c not in ("job_id", "position")]
     latest = batches.groupBy("job_id", "position").agg(F.max_by(F.struct(*fields), "batch").alias("r"))
     return latest.select("job_id", "position", "r.*")
+
+
+def robots_ttl(events: DataFrame, ttl_s: float = 86_400.0) -> DataFrame:
+    """A stream of ``origin, at, seq, kind, outcome`` to the pages' rows with the entry that holds for them.
+
+    kind ``entry`` is a robots.txt fetch with its outcome, ``page`` a request. An entry that allows or
+    was parsed holds for ``ttl_s`` from its time on; others hold for no later request. The state per
+    origin is the entry and when it expires.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
+        outcome, expires = state.get if state.exists else (None, 0.0)
+        rows = []
+        for row in pd.concat(list(batches)).sort_values(["at", "seq"]).itertuples(index=False):
+            now = row.at.timestamp()
+            if row.kind == "entry":
+                keeps = row.outcome in ("PARSED", "UNAVAILABLE_ALLOW")
+                outcome, expires = (row.outcome, now + ttl_s) if keeps else (None, 0.0)
+            else:
+                rows.append((row.origin, row.seq, outcome if now < expires else None))
+        state.update((outcome, expires))
+        yield pd.DataFrame(rows, columns=["origin", "seq", "outcome"])
+
+    return events.select("origin", "at", "seq", "kind", "outcome").groupBy("origin").applyInPandasWithState(
+        step, "origin string, seq long, outcome string", "outcome string, expires double", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def missed_sources(events: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """A stream of ``job_id, position, at, kind, deadline`` to the sources that their job's deadline cut off.
+
+    kind is ``selected``, ``started`` or ``captured``. When event time passes the deadline, sources that
+    were started and not captured are INTERRUPTED and others not captured are NOT_RUN rows; none is
+    dropped. The state per job is its open sources.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
+        open_sources = dict(json.loads(state.get[0])) if state.exists else {}
+        if state.hasTimedOut:
+            state.remove()
+            rows = [(key[0], int(p), "INTERRUPTED" if started else "NOT_RUN") for p, started in sorted(open_sources.items(), key=lambda x: int(x[0]))]
+            yield pd.DataFrame(rows, columns=["job_id", "position", "state"])
+            return
+        deadline = None
+        order = {"selected": 0, "started": 1, "captured": 2}
+        rows = pd.concat(list(batches))
+        for row in rows.assign(_o=rows["kind"].map(order)).sort_values(["at", "_o"]).itertuples(index=False):
+            if row.kind == "captured":
+                open_sources.pop(str(row.position), None)
+            else:
+                open_sources[str(row.position)] = row.kind == "started"
+            deadline = row.deadline
+        state.update((json.dumps(open_sources),))
+        if deadline is not None:
+            state.setTimeoutTimestamp(max(int(deadline.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+
+    keyed = events.withWatermark("at", late).select("job_id", "position", "at", "kind", "deadline")
+    return keyed.groupBy("job_id").applyInPandasWithState(step, "job_id string, position int, state string", "open string", "append", GroupStateTimeout.EventTimeTimeout)
