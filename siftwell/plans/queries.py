@@ -6,34 +6,16 @@ texts, ``events`` search attempts, hits and job events, ``conversations`` query
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import headers, policy, robots, urls
 from siftwell.functions import text as tx
 from siftwell.operators import crawl, dedup, extract, jobs, search, sources
+from siftwell.plans.registry import ORACLES, QUERIES, query
 from siftwell.schemas import PIPELINE_STAGES
 from siftwell.session import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its name, with the SQL that gives the same rows."""
-
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
 # -- shared inputs ------------------------------------------------------------------------
 
 
@@ -728,3 +710,9 @@ def group_views(spark, sf_dir):
 def pipeline_counts(spark, sf_dir):
     run = sources.run_replay(*_replay(spark, sf_dir))
     return sources.pipeline_counts(run["stats"], run["groups"])
+
+
+# The rest of the queries register themselves.
+from siftwell.plans import control, scalars  # noqa: E402
+
+__all__ = ["ORACLES", "QUERIES", "control", "scalars"]
