@@ -580,6 +580,20 @@ def test_pipeline_stages(spark):
     assert 3 <= len(corpus_pipeline.STAGES) <= 5
 
 
+@pytest.mark.parametrize("name", list(queries.ORACLES))
+def test_queries_match_their_sql(spark, name):
+    import duckdb
+
+    duck = duckdb.connect()
+    for t in ("conversations", "pages"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    found = duck.execute(queries.ORACLES[name])
+    columns = [d[0] for d in found.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert sorted(map(repr, (tuple(r) for r in df.select(*columns).collect()))) == sorted(map(repr, found.fetchall()))
+
+
 def test_registered_queries():
     assert [k.split("_")[0] for k in queries.QUERIES] == ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"]
     assert set(queries.ORACLES) <= set(queries.QUERIES)
