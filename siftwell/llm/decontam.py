@@ -46,6 +46,8 @@ MOST_SLOTS = 2
 #: With the words at sentences' starts.
 MOST_OPENING = 3
 MOST_BITS = 1 << 29
+#: Text bytes that a worker reads at once.
+TEXT_BYTES = 2 << 20
 #: Bytes of the bitmap that one task sets.
 BLOCK_BYTES = 1 << 13
 #: The kinds of windows with a name at a sentence's start and of literal ones; 0 and 1 are words and names.
@@ -273,7 +275,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFra
     def run(batches):
         bitmap = map_array(uri, np.uint8)
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", TEXT_BYTES):
                 words, h, at, parts = _windows(part.column("text"), short)
                 place = h >> shift
                 some = (bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0

@@ -47,6 +47,8 @@ WIDTH = 5
 #: The threshold as a ratio of whole numbers.
 TOP, BOTTOM = 75, 100
 BUCKET_BYTES = 8 << 20
+#: Text bytes that a worker cuts into sets at once.
+SETS_BYTES = 3 << 20
 #: Bits of a bucket number that one shuffle deals by.
 FAN = 11
 #: Most partitions that write sets.
@@ -225,7 +227,7 @@ def _with_sets(docs: DataFrame, carry: list[str], layout: Layout) -> DataFrame:
     def run(batches):
         classes = _Classes(layout)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SETS_BYTES):
                 h, bounds, ids = shingle_sets(part.column(width))
                 distinct, inverse = np.unique(h, return_inverse=True)
                 cls = classes(distinct)[inverse]
