@@ -440,7 +440,7 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     lifted = links
     for side in ("a", "b"):
         found = lookup(lifted, side, labels.withColumnRenamed("node", side))
-        lifted = materialize(found.withColumn(side, F.coalesce("component", side)).select("a", "b"))
+        lifted = found.withColumn(side, F.coalesce("component", side)).select("a", "b")
     upper = components(lifted).select(F.col("node").alias("component"), F.col("component").alias("_top"))
     fresh = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
     known = materialize(labels.unionByName(fresh.withColumn("component", F.col("node"))))
@@ -482,7 +482,7 @@ def jaccard_components(docs: DataFrame, carry: tuple[str, ...] = (), **dealing:
     per_node = filled.groupBy("node").agg(F.min("doc_id").alias("low"))
     linked = names.join(per_node, "node")
     lows = linked.groupBy("component").agg(F.min("low").alias("component_id"))
-    placed = lookup(names, "component", lows).select(F.col("node").alias("_n"), "component", "component_id")
+    placed = lookup(names, "component", materialize(lows)).select(F.col("node").alias("_n"), "component", "component_id")
     every = per_node.join(placed, F.col("node") == F.col("_n"), "left")
     own = F.when(F.col("_n").isNull(), F.col("low")).otherwise(F.col("component_id"))
     known = materialize(every.select("node", F.coalesce("component", "node").alias("component"), own.alias("component_id")))

@@ -71,6 +71,8 @@ def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 
 #: Keys that are broadcast: those of so many rows, and how many there can be.
 LEAST_HOT, MOST_HOT = 1000, 10_000
+#: Rows of a table that is broadcast as a whole for a lookup.
+FEW_ROWS = 100_000
 
 
 def hot_limit(rows: int) -> int:
@@ -79,10 +81,14 @@ def hot_limit(rows: int) -> int:
 
 
 def lookup(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
-    """``rows`` (computed before), left-joined to ``table``, which has each ``key`` once.
+    """``rows``, left-joined to ``table``, which has each ``key`` once and was computed before.
 
-    The entries of hot keys are broadcast, so their rows stay where they are; others are dealt.
+    A table of ``FEW_ROWS`` at most, counted first, is broadcast. Of a larger one the entries of hot
+    keys are, so their rows stay where they are; others are dealt.
     """
+    if table.count() <= FEW_ROWS:
+        return rows.join(F.broadcast(table), key, "left")
+    rows = materialize(rows)
     hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_limit(rows.count())).select(key)
     near = table.join(F.broadcast(hot), key, "left_semi").withColumn("_near", F.lit(True))
     met = rows.join(F.broadcast(near), key, "left")

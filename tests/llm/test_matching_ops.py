@@ -75,7 +75,9 @@ def test_every_boundary_gives_the_same_links(spark, monkeypatch, boundary):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
 
 
-def test_jaccard_with_rows_dealt_several_times(spark):
+def test_jaccard_with_rows_dealt_several_times(spark, monkeypatch):
+    monkeypatch.setattr(shared, "FEW_ROWS", 0)
+    monkeypatch.setattr(shared, "LEAST_HOT", 1)
     rows = near_copies(3)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = jaccard.jaccard_components(docs, fan=3, bucket_bytes=64).collect()
@@ -112,7 +114,9 @@ def test_components_with_hubs(spark):
     assert {got[x] for e in edges for x in e if abs(x) < 20_000} == {-5} and {got[20_000 + i] for i in range(31)} == {20_000}
 
 
-def test_lookup_of_hot_and_missing_keys(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_lookup_of_hot_and_missing_keys(spark, monkeypatch, few):
+    monkeypatch.setattr(shared, "FEW_ROWS", few)
     rows = materialize(spark.createDataFrame([(1, i) for i in range(2500)] + [(2, 0), (3, 0), (None, 7)], "k long, v long"))
     table = spark.createDataFrame([(1, "one"), (2, None), (9, "nine")], "k long, name string")
     got = {}
