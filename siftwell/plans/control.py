@@ -12,7 +12,10 @@ from siftwell.schemas import PIPELINE_STAGES
 from siftwell.session import table
 from siftwell.sources import providers
 
-_N = F.col("event_id")
+
+def _n():
+    return F.col("event_id")
+
 
 
 def _events(spark, sf_dir):
@@ -89,9 +92,9 @@ _BODY_SQL = """
 
 def _answers(spark, sf_dir, link: str, one: str):
     """Recorded answers of three entries each; the second one's URL is none."""
-    entry = [F.struct(F.concat(F.lit(" T"), _N, F.lit(" ")).alias("title"), (F.lit("not a url") if i == 1 else F.concat(F.lit("HTTPS://H"), _N % 97, F.lit(f".example/p{i}#x"))).alias(link), F.lit("").alias("snippet"), F.date_format("ts", "yyyy-MM-dd").alias("date")) for i in range(3)]
-    body = F.to_json(F.struct(F.concat(F.lit("id"), _N).alias("id"), F.array(*entry).alias(one)))
-    return _events(spark, sf_dir).select(_N.cast("string").alias("request_id"), F.concat(F.lit("q"), F.col("user_id") % 7).alias("query"), body.alias("body"))
+    entry = [F.struct(F.concat(F.lit(" T"), _n(), F.lit(" ")).alias("title"), (F.lit("not a url") if i == 1 else F.concat(F.lit("HTTPS://H"), _n() % 97, F.lit(f".example/p{i}#x"))).alias(link), F.lit("").alias("snippet"), F.date_format("ts", "yyyy-MM-dd").alias("date")) for i in range(3)]
+    body = F.to_json(F.struct(F.concat(F.lit("id"), _n()).alias("id"), F.array(*entry).alias(one)))
+    return _events(spark, sf_dir).select(_n().cast("string").alias("request_id"), F.concat(F.lit("q"), F.col("user_id") % 7).alias("query"), body.alias("body"))
 
 
 @query(f"WITH {_BODY_SQL} SELECT CAST(event_id AS VARCHAR) AS request_id, rank, title, url, CAST(NULL AS VARCHAR) AS snippet, CAST(date_trunc('day', ts) AS TIMESTAMP) AS published_at, 'id' || event_id AS provider_request_id FROM h JOIN events USING (event_id)")
@@ -110,7 +113,7 @@ def google_hits(spark, sf_dir):
                  WHEN c < 200 OR c >= 300 THEN 'INVALID_RESPONSE' WHEN event_id % 2 = 1 THEN 'INVALID_RESPONSE' END AS category, coalesce(c = 429 OR c >= 500, FALSE) AS retryable
           FROM (SELECT event_id, event_id % 600 AS c FROM events)""")
 def answer_errors(spark, sf_dir):
-    error = providers.response_error(_N % 600, F.when(_N % 2 == 1, "{").otherwise("{}"))
+    error = providers.response_error(_n() % 600, F.when(_n() % 2 == 1, "{").otherwise("{}"))
     return _events(spark, sf_dir).select("event_id", error["category"].alias("category"), F.coalesce(error["retryable"], F.lit(False)).alias("retryable"))
 
 
@@ -142,10 +145,10 @@ def redirect_walks(spark, sf_dir):
                  CASE entry WHEN 'SSRF_BLOCKED' THEN entry WHEN 'NETWORK_FAILURE' THEN 'DNS_ERROR' WHEN 'UNAVAILABLE_ALLOW' THEN NULL WHEN 'PARSED' THEN CASE WHEN NOT rules THEN 'ROBOTS_BLOCKED' END ELSE 'ROBOTS_BLOCKED' END AS page_status FROM e""")
 def robots_gate(spark, sf_dir):
     """How robots.txt fetches count, and what that means for a page."""
-    k = _N % 6
+    k = _n() % 6
     status = F.when(k == 0, "SSRF_BLOCKED").when(k == 1, "DNS_ERROR").when(k == 2, "OK").when(k.isin(3, 4), "HTTP_ERROR").otherwise("READ_TIMEOUT")
     entry = crawl.robots_entry(status, F.when(k == 3, 404).when(k == 4, 503))
-    rows = _events(spark, sf_dir).select("event_id", entry.alias("entry"), (_N % 4 == 0).alias("rules"), status.alias("s"))
+    rows = _events(spark, sf_dir).select("event_id", entry.alias("entry"), (_n() % 4 == 0).alias("rules"), status.alias("s"))
     return rows.select("event_id", "entry", crawl.robots_gate(F.col("entry"), F.col("rules"), F.col("s")).alias("g")).select("event_id", "entry", "g.*")
 
 
@@ -163,10 +166,10 @@ def robots_cache(spark, sf_dir):
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'cross_host_redirect' WHEN 1 THEN 'cross_host_redirect' WHEN 2 THEN CASE WHEN event_id % 3 = 0 THEN 'deadline_capped' ELSE 'other' END
                  ELSE CASE WHEN event_id % 3 = 0 THEN 'deadline_capped' ELSE 'other' END END AS kind FROM events""")
 def timeout_kinds(spark, sf_dir):
-    k = _N % 4
+    k = _n() % 4
     site = F.concat(F.lit("https://u"), F.col("user_id"), F.lit(".example/"))
     hop = F.struct(site.alias("url"), F.lit(302).alias("http_status"), F.when(k == 0, "https://elsewhere.example/").otherwise("/next").alias("location"), F.lit(None).cast("string").alias("connected_ip"))
-    kind = sources.timeout_kind(site, F.when(k == 1, "https://final.example/").when(k == 2, site), F.array(hop), _N % 3 == 0)
+    kind = sources.timeout_kind(site, F.when(k == 1, "https://final.example/").when(k == 2, site), F.array(hop), _n() % 3 == 0)
     return _events(spark, sf_dir).select("event_id", kind.alias("kind"))
 
 
@@ -197,8 +200,8 @@ def text_budget(spark, sf_dir):
                  CASE WHEN e IS NOT NULL THEN e WHEN stop = 'JOB_DEADLINE' THEN 'JOB_DEADLINE_EXCEEDED' WHEN stop = 'STAGE_TIMEOUT' THEN 'CRAWL_STAGE_TIMEOUT' END AS code
           FROM (SELECT event_id, ['CANCELLED', 'FINALIZED', 'JOB_DEADLINE', 'STAGE_TIMEOUT', NULL][1 + event_id % 5] AS stop, CASE WHEN event_id % 7 = 0 THEN 'CRAWL_FAILED' END AS e FROM events)""")
 def crawl_outcome(spark, sf_dir):
-    stop = F.get(F.array(*(F.lit(x) for x in ("CANCELLED", "FINALIZED", "JOB_DEADLINE", "STAGE_TIMEOUT", None))), (_N % 5).cast("int"))
-    return _events(spark, sf_dir).select("event_id", jobs.crawl_outcome(stop, F.when(_N % 7 == 0, "CRAWL_FAILED")).alias("o")).select("event_id", "o.status", "o.code")
+    stop = F.get(F.array(*(F.lit(x) for x in ("CANCELLED", "FINALIZED", "JOB_DEADLINE", "STAGE_TIMEOUT", None))), (_n() % 5).cast("int"))
+    return _events(spark, sf_dir).select("event_id", jobs.crawl_outcome(stop, F.when(_n() % 7 == 0, "CRAWL_FAILED")).alias("o")).select("event_id", "o.status", "o.code")
 
 
 @query("""SELECT event_id, CASE WHEN cancelled OR covered = 0 THEN CASE WHEN cancelled THEN 'CANCELLED' ELSE 'FAILED' END WHEN stop = 'JOB_DEADLINE_EXCEEDED' THEN 'PARTIAL' END AS status,
@@ -206,8 +209,8 @@ def crawl_outcome(spark, sf_dir):
                  coalesce(stop = 'SEARCH_STAGE_TIMEOUT', FALSE) OR covered < 3 AS degraded
           FROM (SELECT event_id, event_id % 7 = 0 AS cancelled, CASE event_id % 5 WHEN 0 THEN 'JOB_DEADLINE_EXCEEDED' WHEN 1 THEN 'SEARCH_STAGE_TIMEOUT' END AS stop, event_id % 4 AS covered, event_id % 3 AS errors FROM events)""")
 def after_search(spark, sf_dir):
-    stop = F.when(_N % 5 == 0, "JOB_DEADLINE_EXCEEDED").when(_N % 5 == 1, "SEARCH_STAGE_TIMEOUT")
-    return _events(spark, sf_dir).select("event_id", jobs.after_search(_N % 7 == 0, stop, _N % 4, F.lit(3), _N % 3).alias("a")).select("event_id", "a.*")
+    stop = F.when(_n() % 5 == 0, "JOB_DEADLINE_EXCEEDED").when(_n() % 5 == 1, "SEARCH_STAGE_TIMEOUT")
+    return _events(spark, sf_dir).select("event_id", jobs.after_search(_n() % 7 == 0, stop, _n() % 4, F.lit(3), _n() % 3).alias("a")).select("event_id", "a.*")
 
 
 @query("""SELECT event_id, CASE WHEN stored = 'FAILED' THEN stored WHEN cancelled THEN 'CANCELLED' WHEN e IS NOT NULL THEN 'FAILED' WHEN stop = 'JOB_DEADLINE' THEN CASE WHEN usable > 0 THEN 'PARTIAL' ELSE 'FAILED' END END AS status,
@@ -216,9 +219,9 @@ def after_search(spark, sf_dir):
           FROM (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'FAILED' ELSE 'CRAWLING' END AS stored, event_id % 7 = 0 AS cancelled, CASE WHEN event_id % 5 = 0 THEN 'CRAWL_FAILED' END AS e,
                        CASE event_id % 3 WHEN 0 THEN 'JOB_DEADLINE' WHEN 1 THEN 'STAGE_TIMEOUT' END AS stop, event_id % 2 AS usable FROM events)""")
 def after_crawl(spark, sf_dir):
-    stop = F.when(_N % 3 == 0, "JOB_DEADLINE").when(_N % 3 == 1, "STAGE_TIMEOUT")
-    stored = F.when(_N % 11 == 0, "FAILED").otherwise("CRAWLING")
-    found = jobs.after_crawl(stored, _N % 7 == 0, F.when(_N % 5 == 0, "CRAWL_FAILED"), stop, _N % 2)
+    stop = F.when(_n() % 3 == 0, "JOB_DEADLINE").when(_n() % 3 == 1, "STAGE_TIMEOUT")
+    stored = F.when(_n() % 11 == 0, "FAILED").otherwise("CRAWLING")
+    found = jobs.after_crawl(stored, _n() % 7 == 0, F.when(_n() % 5 == 0, "CRAWL_FAILED"), stop, _n() % 2)
     return _events(spark, sf_dir).select("event_id", found.alias("a")).select("event_id", "a.status", "a.error", "a.degraded")
 
 
@@ -229,7 +232,7 @@ _STAGES_SQL = "['PLANNING', 'SEARCHING', 'CRAWLING', 'NORMALIZING']"
            SELECT event_id, array_to_string(list_transform({_STAGES_SQL}[i + 1:], lambda s: s || '=NOT_RUN'), ',') AS skipped, {_STAGES_SQL}[i] AS stage, CAST(i - 1 AS INT) AS stage_index, 4 AS total_stages FROM e""")
 def stage_walk(spark, sf_dir):
     """What an early end leaves out, and how far a job is."""
-    reached = F.get(F.array(*(F.lit(s) for s in PIPELINE_STAGES)), (_N % 4).cast("int"))
+    reached = F.get(F.array(*(F.lit(s) for s in PIPELINE_STAGES)), (_n() % 4).cast("int"))
     left = F.transform(jobs.stage_outcomes(PIPELINE_STAGES, reached), lambda s: F.concat_ws("=", s["stage"], s["status"]))
     at = jobs.progress(reached, PIPELINE_STAGES, F.array(F.lit("COVERED")))
     return _events(spark, sf_dir).select("event_id", F.array_join(left, ",").alias("skipped"), at["stage"].alias("stage"), at["stage_index"].alias("stage_index"), at["total_stages"].alias("total_stages"))
@@ -252,8 +255,8 @@ _CATEGORIES = ("TIMEOUT", "CANCELLED", "FETCH_ERROR", "EXTRACTION_ERROR", "FETCH
            SELECT event_id, code, CASE WHEN code IS NOT NULL THEN category END AS category, CASE WHEN code IS NULL THEN NULL WHEN event_id % 2 = 0 THEN 'p/X/TIMEOUT' ELSE '' END AS provider_errors FROM e""")
 def error_views(spark, sf_dir):
     """Errors as they are shown; what providers said only where results are."""
-    code = F.get(F.array(*(F.lit(c) for c in _CODES), F.lit(None).cast("string")), (_N % 8).cast("int"))
-    said = F.when(_N % 2 == 0, F.array(F.struct(F.lit("p").alias("provider"), F.lit("X").alias("code"), F.lit("TIMEOUT").alias("category"), F.lit("hidden").alias("message"))))
+    code = F.get(F.array(*(F.lit(c) for c in _CODES), F.lit(None).cast("string")), (_n() % 8).cast("int"))
+    said = F.when(_n() % 2 == 0, F.array(F.struct(F.lit("p").alias("provider"), F.lit("X").alias("code"), F.lit("TIMEOUT").alias("category"), F.lit("hidden").alias("message"))))
     v = views.error_view(code, F.lit("SEARCHING"), F.lit("m"), said)
     return _events(spark, sf_dir).select("event_id", v["code"].alias("code"), v["category"].alias("category"), F.array_join(F.transform(v["provider_errors"], lambda e: F.concat_ws("/", e["provider"], e["code"], e["category"])), ",").alias("provider_errors"))
 
@@ -263,11 +266,11 @@ def error_views(spark, sf_dir):
                  CASE WHEN status = 'FAILED' THEN 'NO_DOCUMENTS/FETCH_ERROR/CRAWLING' END AS error, CASE WHEN event_id % 3 = 0 THEN 'CANCELLED' ELSE '' END AS warnings FROM v""")
 def job_views(spark, sf_dir):
     """The newest version of each job as a caller sees it."""
-    status = F.get(F.array(*(F.lit(s) for s in ("QUEUED", "PLANNING", "SEARCHING", "COMPLETED", "FAILED"))), (_N % 5).cast("int"))
+    status = F.get(F.array(*(F.lit(s) for s in ("QUEUED", "PLANNING", "SEARCHING", "COMPLETED", "FAILED"))), (_n() % 5).cast("int"))
     stored = _events(spark, sf_dir).select(
-        F.concat(F.lit("j"), "user_id").alias("id"), _N.alias("version"), F.lit("q").alias("query"), status.alias("status"), F.array(*(F.lit(s) for s in PIPELINE_STAGES)).alias("stages"),
-        F.lit(False).alias("cancel_requested"), *(F.col("ts").alias(c) for c in ("created_at", "started_at", "completed_at", "deadline_at")), F.when(_N % 2 == 0, "COMPLETE").alias("coverage"), (_N % 9).alias("results"),
-        F.when(status == "FAILED", "NO_DOCUMENTS").alias("error_code"), F.lit("CRAWLING").alias("error_step"), F.when(_N % 3 == 0, F.array(F.lit("CANCELLED"))).otherwise(F.array().cast("array<string>")).alias("warning_codes"),
+        F.concat(F.lit("j"), "user_id").alias("id"), _n().alias("version"), F.lit("q").alias("query"), status.alias("status"), F.array(*(F.lit(s) for s in PIPELINE_STAGES)).alias("stages"),
+        F.lit(False).alias("cancel_requested"), *(F.col("ts").alias(c) for c in ("created_at", "started_at", "completed_at", "deadline_at")), F.when(_n() % 2 == 0, "COMPLETE").alias("coverage"), (_n() % 9).alias("results"),
+        F.when(status == "FAILED", "NO_DOCUMENTS").alias("error_code"), F.lit("CRAWLING").alias("error_step"), F.when(_n() % 3 == 0, F.array(F.lit("CANCELLED"))).otherwise(F.array().cast("array<string>")).alias("warning_codes"),
     )
     e, r = F.col("error"), F.col("result_summary")
     return views.job_views(views.latest(stored)).select(
@@ -292,33 +295,33 @@ def results_views(spark, sf_dir):
 
 @query("""SELECT event_id, '{"data":' || CASE WHEN event_id % 2 = 0 THEN '{"status":"OK"}' ELSE 'null' END || ',"error":' || CASE WHEN event_id % 2 = 1 THEN '{"code":"NOT_FOUND"}' ELSE 'null' END || ',"meta":{"request_id":"r' || event_id || '"}}' AS body FROM events""")
 def envelopes(spark, sf_dir):
-    data = F.when(_N % 2 == 0, F.struct(F.lit("OK").alias("status")))
-    error = F.when(_N % 2 == 1, F.struct(F.lit("NOT_FOUND").alias("code")))
-    return _events(spark, sf_dir).select("event_id", views.envelope(data, F.concat(F.lit("r"), _N), error).alias("body"))
+    data = F.when(_n() % 2 == 0, F.struct(F.lit("OK").alias("status")))
+    error = F.when(_n() % 2 == 1, F.struct(F.lit("NOT_FOUND").alias("code")))
+    return _events(spark, sf_dir).select("event_id", views.envelope(data, F.concat(F.lit("r"), _n()), error).alias("body"))
 
 
 @query("""WITH f AS (SELECT 'j' || (user_id % 300) AS job_id, event_id, CASE event_id % 5 WHEN 0 THEN 'SIGNAL' WHEN 1 THEN 'CANCELLED' ELSE 'FAILURE' END AS kind FROM events)
           SELECT job_id, arg_min(kind, (kind <> 'SIGNAL', event_id)) AS kind, arg_min('e' || event_id, (kind <> 'SIGNAL', event_id)) AS code FROM f WHERE kind <> 'CANCELLED' GROUP BY job_id""")
 def first_failures(spark, sf_dir):
-    kind = F.when(_N % 5 == 0, "SIGNAL").when(_N % 5 == 1, "CANCELLED").otherwise("FAILURE")
-    rows = _events(spark, sf_dir).select(F.concat(F.lit("j"), F.col("user_id") % 300).alias("job_id"), _N.alias("seq"), kind.alias("kind"), F.concat(F.lit("e"), _N).alias("code"))
+    kind = F.when(_n() % 5 == 0, "SIGNAL").when(_n() % 5 == 1, "CANCELLED").otherwise("FAILURE")
+    rows = _events(spark, sf_dir).select(F.concat(F.lit("j"), F.col("user_id") % 300).alias("job_id"), _n().alias("seq"), kind.alias("kind"), F.concat(F.lit("e"), _n()).alias("code"))
     return views.first_failure(rows)
 
 
 @query("""SELECT event_id, NOT (event_id % 5 IN (0, 1, 2)) AS request, event_id % 4 <> 0 AS plan, event_id % 3 <> 0 AS stages FROM events""")
 def validity(spark, sf_dir):
     """Requests, plans and stage lists, sound and broken."""
-    k = _N % 5
+    k = _n() % 5
     text = F.when(k == 0, "ab").when(k == 1, "a\x00bc").otherwise("a  good\tquery")
     language = F.when(k == 2, "english").when(k == 3, "en")
-    plan = F.when(_N % 4 == 0, F.array(F.lit("a"), F.lit(" a "))).otherwise(F.array(F.lit("a"), F.lit("b")))
-    stages = F.when(_N % 3 == 0, F.array(F.lit("SEARCHING"), F.lit("PLANNING"))).otherwise(F.array(F.lit("PLANNING"), F.lit("CRAWLING")))
+    plan = F.when(_n() % 4 == 0, F.array(F.lit("a"), F.lit(" a "))).otherwise(F.array(F.lit("a"), F.lit("b")))
+    stages = F.when(_n() % 3 == 0, F.array(F.lit("SEARCHING"), F.lit("PLANNING"))).otherwise(F.array(F.lit("PLANNING"), F.lit("CRAWLING")))
     return _events(spark, sf_dir).select("event_id", jobs.valid_request(text, language, F.lit("DE")).alias("request"), jobs.valid_plan(plan).alias("plan"), jobs.valid_stages(stages).alias("stages"))
 
 
 @query("""WITH e AS (SELECT 'j' || user_id AS job_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events) SELECT job_id, event_id, seq FROM e""")
 def event_numbers(spark, sf_dir):
-    rows = _events(spark, sf_dir).select(F.concat(F.lit("j"), "user_id").alias("job_id"), "event_id", F.col("ts").alias("at"), _N.alias("arrival"))
+    rows = _events(spark, sf_dir).select(F.concat(F.lit("j"), "user_id").alias("job_id"), "event_id", F.col("ts").alias("at"), _n().alias("arrival"))
     return jobs.number_events(rows).select("job_id", "event_id", "seq")
 
 
