@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import codecs
 import re
+from collections.abc import Iterator
 from datetime import UTC, datetime
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ LANGUAGE = r"[a-z]{2,3}(-[a-z0-9]{2,8})*"
 META_CHARSET = rb"(?i)<meta[^>]+charset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)"
 MEDIA_TYPE = r"[a-z0-9!#$&^_.+-]+/[a-z0-9!#$&^_.+-]+"
 MOST_BACKOFF = 30.0
+_DECODED = {"charset": pa.string(), "content": pa.string(), "content_sha256": pa.string(), "content_length": pa.int32()}
+#: Bytes of bodies that a worker decodes before it hands on their texts.
+DECODE_BYTES = 1 << 20
 
 
 def parse_date(value: str | None) -> datetime | None:
@@ -95,18 +100,33 @@ def choose_charset(declared: str | None, body: bytes) -> str:
     return "utf-8"
 
 
-@F.pandas_udf(struct(charset="string", content="string", content_sha256="string", content_length="int"))
-def decode_body_udf(body: pd.Series, declared: pd.Series) -> pd.DataFrame:
+def decode_text(raw: bytes | None, declared: str | None) -> tuple:
+    """Charset, text, hash and length of a body."""
     from hashlib import sha256
 
-    rows = []
-    for raw, name in zip(body, declared, strict=True):
-        if raw is None:
-            rows.append((None, None, None, None))
-            continue
-        charset = choose_charset(name, raw)
-        rows.append((charset, raw.decode(charset, "replace"), sha256(raw).hexdigest(), len(raw)))
-    return pd.DataFrame(rows, columns=["charset", "content", "content_sha256", "content_length"])
+    if raw is None:
+        return None, None, None, None
+    charset = choose_charset(declared, raw)
+    return charset, raw.decode(charset, "replace"), sha256(raw).hexdigest(), len(raw)
+
+
+@F.arrow_udf(struct(charset="string", content="string", content_sha256="string", content_length="int"))
+def decode_body_udf(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """``decode_text`` of each row. Only ``DECODE_BYTES`` of a batch and one body are Python objects at once."""
+
+    def packed(rows: list[tuple]) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _DECODED.values(), strict=True)], names=list(_DECODED))
+
+    for body, declared in batches:
+        rows, size = [], 0
+        for raw, name in zip(body, declared, strict=True):
+            rows.append(decode_text(raw.as_py(), name.as_py()))
+            size += rows[-1][3] or 0
+            if size >= DECODE_BYTES:
+                yield packed(rows)
+                rows, size = [], 0
+        if rows:
+            yield packed(rows)
 
 
 def charset_warnings(content: Column, charset: Column) -> Column:

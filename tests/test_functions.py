@@ -1,8 +1,11 @@
 """Scalar tables: URLs, text, headers, policy, robots, decoding."""
 
 import gzip
+import tracemalloc
 import zlib
+from hashlib import sha256
 
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -117,6 +120,36 @@ def test_dates_and_charsets():
     assert headers.choose_charset(None, b"x") == "utf-8"
 
 
+def test_bodies_are_decoded_by_the_megabyte():
+    """Of a batch of 40 MB, no more than a few are Python objects at once, and each text goes on in its slice."""
+    bodies = pa.array([b"\xc3\xa9" * 100_000] * 200 + [None, b""])
+    rows, largest = 0, 0
+    tracemalloc.start()
+    for part in headers.decode_body_udf.func(iter([(bodies, pa.nulls(len(bodies), pa.string()))])):
+        rows, largest = rows + len(part), max(largest, part.nbytes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(bodies)
+    assert largest < 2 * headers.DECODE_BYTES and peak < 5 * headers.DECODE_BYTES
+
+
+def test_decoded_bodies_stay_with_their_rows(spark):
+    """Several slices in a batch, bodies over a slice, empty and missing ones; and a table without rows."""
+    def body(i):
+        return None if i % 7 == 3 else (f"{i} é" * (i % 5 * 5000 if i != 100 else 400_000)).encode()
+
+    rows = [(i, body(i), "latin-1" if i % 3 == 1 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, b binary, c string").coalesce(1)
+    shown = df.select("i", headers.decode_body_udf("b", "c").alias("d")).select("i", "d.*")
+    expected = []
+    for i, b, c in rows:
+        charset = "iso8859-1" if c else "utf-8"
+        expected.append((i, None, None, None, None) if b is None else (i, charset, b.decode(charset), sha256(b).hexdigest(), len(b)))
+    assert [tuple(r) for r in shown.orderBy("i").collect()] == expected
+    assert df.where("i < 0").select(headers.decode_body_udf("b", "c").alias("d")).count() == 0
+    assert df.where("length(b) < 0").select(headers.decode_body_udf("b", "c").alias("d")).select("d.content").collect() == []
+
+
 ADDRESSES = [
     ("8.8.8.8", False), ("127.0.0.1", True), ("10.0.0.1", True), ("169.254.1.1", True), ("224.0.0.1", True), ("0.0.0.0", True), ("::1", True), ("2606:4700::1", False),
     ("::ffff:127.0.0.1", True), ("64:ff9b::7f00:1", True), ("64:ff9b::808:808", False), ("2002:7f00:1::", True), ("fe80::1%eth0", True), ("x", True),
